@@ -8,7 +8,15 @@ from tidemark.llm.decontamination import decontamination
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secret_scan import secret_scan
+from tidemark.llm.sentencepiece_codec import round_trip
 from tidemark.llm.shared import documents
+from tidemark.llm.toxicity import held_out, toxicity, train
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, labels.where(~held_out("doc_id")))
+    return toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +31,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_license_scans, op6_secret_scans, op7_quality_rules, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op4_license_scans, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
