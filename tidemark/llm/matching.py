@@ -1,0 +1,116 @@
+"""Which hashed items occur more than once in the corpus, asked in packed blocks.
+
+A task gathers (document key, position, hash) of many documents and first settles what repeats among
+these. Each remaining hash is asked once a block: blocks go by ranges of the hash to *buckets*, and a
+bucket answers with the positions whose hash came from somewhere else too. An item that is everywhere
+thus costs each block one entry, never one for each place, and no bucket gathers a hot item's places.
+The number of buckets grows with the number of shuffle partitions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.shared import n_partitions
+
+#: Items that a task gathers before it sends blocks.
+BLOCK = 1 << 20
+#: keys/counts/hashes/places: asked, by document; others: hashes that need no answer; known_*: settled.
+ASKED = "bucket int, keys binary, counts binary, hashes binary, places binary, others binary, known_keys binary, known_counts binary, known_places binary"
+ANSWER = "key long, places binary"
+_FIELDS = [f.split()[0] for f in ASKED.split(", ")]
+_ASKED = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in _FIELDS[1:])])
+
+
+def n_buckets(df: DataFrame) -> int:
+    return 3 * n_partitions(df.sparkSession)
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of runs of equal values and their lengths."""
+    start = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(sorted_keys)))
+
+
+class Asks:
+    """Gathers items and turns them into rows of ``ASKED``."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.size = buckets, [], 0
+
+    def add(self, keys: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(hashes):
+            self.parts.append((keys.astype(np.int64), places.astype(np.uint32), hashes))
+            self.size += len(hashes)
+        if self.size >= BLOCK:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        keys, places, hashes = (np.concatenate(c) for c in zip(*self.parts))
+        self.parts, self.size = [], 0
+        order = np.argsort(hashes, kind="stable")
+        start, length = runs(hashes[order])
+        again = np.zeros(len(hashes), bool)
+        again[order] = np.repeat(length > 1, length)
+        others = hashes[order[start[length > 1]]]
+        bucket = bucket_of(hashes, self.buckets)
+        by = np.lexsort((keys, bucket, again))
+        n_once = int((~again).sum())
+        once, known = by[:n_once], by[n_once:]
+        cut = lambda b: np.searchsorted(b, np.arange(self.buckets + 1))
+        at, at_known, at_other = cut(bucket[once]), cut(bucket[known]), cut(bucket_of(others, self.buckets))
+        rows = []
+        for b in range(self.buckets):
+            asked, settled, other = once[at[b] : at[b + 1]], known[at_known[b] : at_known[b + 1]], others[at_other[b] : at_other[b + 1]]
+            if len(asked) or len(settled):
+                (s, n), (t, m) = runs(keys[asked]), runs(keys[settled])
+                rows.append((b, keys[asked][s].tobytes(), n.astype(np.uint32).tobytes(), hashes[asked].tobytes(), places[asked].tobytes(), other.tobytes(), keys[settled][t].tobytes(), m.astype(np.uint32).tobytes(), places[settled].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    hashes, others = _joined(table["hashes"], np.uint64), _joined(table["others"], np.uint64)
+    keys = np.repeat(_joined(table["keys"], np.int64), _joined(table["counts"], np.uint32))
+    places = _joined(table["places"], np.uint32)
+    order = np.argsort(both := np.concatenate([hashes, others]), kind="stable")
+    _, length = runs(both[order])
+    again = np.zeros(len(both), bool)
+    again[order] = np.repeat(length > 1, length)
+    hit = np.flatnonzero(again[: len(hashes)])
+    keys = np.concatenate([keys[hit], np.repeat(_joined(table["known_keys"], np.int64), _joined(table["known_counts"], np.uint32))])
+    places = np.concatenate([places[hit], _joined(table["known_places"], np.uint32)])
+    order = np.argsort(keys, kind="stable")
+    start, length = runs(keys[order])
+    offsets = pa.array(4 * np.append(start, len(keys)), pa.int64())
+    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, offsets.buffers()[1], pa.py_buffer(places[order].tobytes())])
+    return pa.table({"key": pa.array(keys[order][start]), "places": data.cast(pa.binary())})
+
+
+def repeated(asked: DataFrame) -> DataFrame:
+    """(key, places: list of packed uint32): the positions of each document whose item is also elsewhere."""
+    answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWER)
+    return answers.groupBy("key").agg(F.collect_list("places").alias("places"))
+
+
+def unpacked(lists: pa.Array, first: np.ndarray) -> np.ndarray:
+    """Row positions of ``repeated`` as one array: document i's positions are moved by first[i]."""
+    out = []
+    for i, parts in enumerate(lists.to_pylist()):
+        if parts:
+            out.append(np.frombuffer(b"".join(parts), np.uint32).astype(np.int64) + first[i])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import decontamination
 from tidemark.llm.license_scan import license_scan
@@ -10,6 +11,7 @@ from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.sentencepiece_codec import round_trip
 from tidemark.llm.shared import documents
+from tidemark.llm.substring_dedup import n_removed, substring_dedup
 from tidemark.llm.toxicity import held_out, toxicity, train
 
 
@@ -19,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", n_removed().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -41,7 +48,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_license_scans, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_license_scans, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
