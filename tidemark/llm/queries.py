@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import decontamination
+from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secret_scan import secret_scan
@@ -15,6 +16,10 @@ from tidemark.llm.substring_dedup import n_removed, substring_dedup
 from tidemark.llm.toxicity import held_out, toxicity, train
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(~held_out("doc_id")))
@@ -48,7 +53,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_substring_dedup, op4_license_scans, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
