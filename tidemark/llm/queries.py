@@ -11,6 +11,7 @@ from tidemark.llm.license_scan import license_scan
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.sentencepiece_codec import round_trip
+from tidemark.llm.sharding import shard
 from tidemark.llm.shared import documents
 from tidemark.llm.substring_dedup import n_removed, substring_dedup
 from tidemark.llm.toxicity import held_out, toxicity, train
@@ -35,6 +36,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(documents(spark, sf_dir))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
@@ -53,7 +58,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op5_sharding, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
