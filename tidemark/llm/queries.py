@@ -14,6 +14,7 @@ from tidemark.llm.sentencepiece_codec import round_trip
 from tidemark.llm.sharding import shard
 from tidemark.llm.shared import documents
 from tidemark.llm.substring_dedup import n_removed, substring_dedup
+from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.toxicity import held_out, toxicity, train
 
 
@@ -57,8 +58,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", n_removed().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op5_sharding, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op5_sharding, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
