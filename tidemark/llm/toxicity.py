@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import written
 from tidemark.llm.textarrays import chunks
 
 ORDERS = (4, 5, 6, 7)
@@ -65,38 +66,43 @@ class Model(NamedTuple):
     intercept: float
 
 
-def fit(rows: list[tuple[int, np.ndarray]]) -> Model:
-    """From (label, distinct buckets) of the sample."""
-    weights = np.zeros(1 << BITS, np.float32)
-    labels = np.array([y for y, _ in rows], float)
-    n_pos, n_neg = labels.sum(), (1 - labels).sum()
-    if not n_pos or not n_neg:
-        share = min(max(n_pos / max(1, len(rows)), 1e-6), 1 - 1e-6)
-        return Model(weights, float(np.log(share / (1 - share))))
-    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for y, buckets in rows:
-        (pos if y else neg)[buckets] += 1
+class Scale(NamedTuple):
+    """What the label counts of the sample say about each bucket."""
+
+    ratio: np.ndarray
+    kept: np.ndarray
+
+
+def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> Scale:
+    """From the toxic and the clean training texts that hold each bucket, and the numbers of all such texts."""
     p, q = (pos + SMOOTHING) / (n_pos + 2 * SMOOTHING), (neg + SMOOTHING) / (n_neg + 2 * SMOOTHING)
     ratio = np.log(p / q)
     error = np.sqrt((1 - p) / (p * (n_pos + 1)) + (1 - q) / (q * (n_neg + 1)))
-    kept = (pos + neg >= MIN_DOCS) & (np.abs(ratio) >= MIN_Z * error)
-    place = np.cumsum(kept) - 1
-    k = int(kept.sum())
-    columns = [place[b[kept[b]]] for _, b in rows]
+    return Scale(ratio, (pos + neg >= MIN_DOCS) & (np.abs(ratio) >= MIN_Z * error))
+
+
+def fit(scale: Scale, rows: list[tuple[int, np.ndarray]]) -> Model:
+    """From (label, distinct kept buckets) of the sample, which has both labels."""
+    weights = np.zeros(1 << BITS, np.float32)
+    labels = np.array([y for y, _ in rows], float)
+    n_pos, n_neg = labels.sum(), (1 - labels).sum()
+    place = np.cumsum(scale.kept) - 1
+    k = int(scale.kept.sum())
+    columns = [place[b] for _, b in rows]
     row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
-    column = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-    scale = ratio[kept]
+    column = np.concatenate(columns)
+    factor = scale.ratio[scale.kept]
     balance = np.where(labels == 1, 0.5 / n_pos, 0.5 / n_neg)
     w, b = np.zeros(k), 0.0
-    m1, m2, t = np.zeros(k + 1), np.zeros(k + 1), 0
+    m1, m2 = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, STEPS + 1):  # Adam; the problem is convex and small
-        z = b + np.bincount(row, (w * scale)[column], len(rows))
+        z = b + np.bincount(row, (w * factor)[column], len(rows))
         g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        gradient = np.append(np.bincount(column, g[row], k) * scale + PENALTY / max(1, len(rows)) * w, g.sum())
+        gradient = np.append(np.bincount(column, g[row], k) * factor + PENALTY / len(rows) * w, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.99 * m2 + 0.01 * gradient**2
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    weights[kept] = w * scale
+    weights[scale.kept] = w * factor
     return Model(weights, float(b))
 
 
@@ -119,21 +125,46 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the training rows: ``labels`` (doc_id, toxic) joined to their texts."""
+    """Fit on the training rows: ``labels`` (doc_id, toxic) joined to their texts.
+
+    Tasks count the buckets; the driver gets their sums, and then of each sampled text the buckets whose
+    ratio is significant, one partition at a time.
+    """
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text")
     usable = one.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     few = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in MAX_ROWS.items()]
-    sample = texts.join(F.broadcast(few[0].unionAll(few[1])), "doc_id").dropDuplicates(["doc_id"])
+    sample = written(texts.join(F.broadcast(few[0].unionAll(few[1])), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+        for batch in batches:
+            for rows, data, offsets in chunks(batch):
+                for y, a, b in zip(rows.column("toxic").to_pylist(), offsets[:-1], offsets[1:]):
+                    held[int(y == 1)][features(data[a:b])] += 1
+                    n[int(y == 1)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["clean", "toxic", "held"])
+
+    held, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    for r in sample.mapInArrow(count, "clean long, toxic long, held binary").toLocalIterator():
+        held += np.frombuffer(r.held, np.int32).reshape(2, -1)
+        n += (r.clean, r.toxic)
+    if not n.all():
+        share = min(max(n[1] / max(1, n.sum()), 1e-6), 1 - 1e-6)
+        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+    scale = log_count_ratios(held[1], held[0], int(n[1]), int(n[0]))
+    kept = docs.sparkSession.sparkContext.broadcast(scale.kept)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in chunks(batch):
-                packed = [features(data[a:b]).astype("<u4").tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+                own = [features(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+                packed = [f[kept.value[f]].astype("<u4").tobytes() for f in own]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("toxic"), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "packed"])
 
-    packed = sample.mapInArrow(found, "doc_id long, toxic int, packed binary").collect()
-    return fit([(r.toxic, np.frombuffer(r.packed, "<u4")) for r in sorted(packed, key=lambda r: r.doc_id)])
+    packed = sample.mapInArrow(found, "doc_id long, toxic int, packed binary").toLocalIterator()
+    rows = sorted(((r.doc_id, int(r.toxic == 1), np.frombuffer(r.packed, "<u4")) for r in packed), key=lambda r: r[0])
+    return fit(scale, [r[1:] for r in rows])
 
 
 SCORED = "doc_id long, score double, predicted int"
