@@ -107,12 +107,10 @@ class Detection(NamedTuple):
 def rules() -> tuple[Rule, ...]:
     """All rules, the most specific first: a sentence with a version before one without."""
     made = []
-    for (label, names, keys, versions), (priority, confidence, before, after) in product(FAMILIES, SENTENCES):
+    for (label, names, keys, versions), (priority, confidence, before, after) in product(FAMILIES, (*SENTENCES, (60, 0.6, "", ""))):
         for version, suffix in versions.items():
             tail = rf",?\s*(?:\(?\s*(?:version|ver\.?|v\.?)\s*|-\s*)?{version}(?![0-9.]*[0-9])" if version else ""
             made.append(Rule(priority - 5 * bool(version), label + suffix, confidence, tuple(keys.split()), re.compile(rf"(?<![a-z0-9]){before}(?:{names}){tail}{after}(?![a-z0-9])")))
-    for label, names, keys, _ in FAMILIES:
-        made.append(Rule(60, label, 0.6, tuple(keys.split()), re.compile(rf"(?<![a-z0-9])(?:{names})(?![a-z0-9])")))
     made += [Rule(15, label, confidence, (key,), re.compile(sentence)) for label, confidence, key, sentence in BODIES]
     return tuple(sorted(made, key=lambda r: r.priority))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontamination import decontamination
 from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.license_scan import license_scan
+from tidemark.llm.oracles import ORACLES
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.sentencepiece_codec import round_trip
@@ -68,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
