@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import in_time, lag, so_far
 
 
+def factor() -> Column:
+    """Growth of a bar; costs on top of a loss take no more than all there is."""
+    return F.greatest(1 + F.col("strategy_return"), F.lit(0.0))
+
+
 def positions(prices: DataFrame, signals: DataFrame, threshold: float = 0.5, cost: float = 0.001, delay: int = 2) -> DataFrame:
     """Bars with position, strategy return, equity and drawdown. The signal (score) acts ``delay`` bars later:
 
@@ -19,13 +24,13 @@ def positions(prices: DataFrame, signals: DataFrame, threshold: float = 0.5, cos
     held = F.coalesce(lag("position"), F.lit(0)) if delay == 2 else F.col("position")
     step = step.withColumns({"_held": held, "_change": F.abs(F.col("position") - F.coalesce(lag("position"), F.lit(0)))})
     step = step.withColumn("strategy_return", F.col("_held") * F.col("_ret") - F.col("_change") * cost)
-    step = step.withColumn("equity", F.exp(F.sum(F.log1p("strategy_return")).over(so_far())))
+    step = step.withColumn("equity", F.product(factor()).over(so_far()))
     return step.withColumn("drawdown", F.col("equity") / F.max("equity").over(so_far()) - 1).drop("_want", "_ret", "_held", "_change", "score")
 
 
 def summary(bars: DataFrame) -> DataFrame:
     """Return, annual return, Sharpe ratio and largest drawdown of each asset's ``positions``."""
-    done = bars.groupBy("asset").agg(F.count("*").alias("n_bars"), F.exp(F.sum(F.log1p("strategy_return"))).alias("growth"), F.stddev_samp("strategy_return").alias("sd"), F.min("drawdown").alias("max_drawdown"))
+    done = bars.groupBy("asset").agg(F.count("*").alias("n_bars"), F.product(factor()).alias("growth"), F.stddev_samp("strategy_return").alias("sd"), F.min("drawdown").alias("max_drawdown"))
     annual = F.pow("growth", F.lit(252) / F.col("n_bars")) - 1
     return done.select("asset", "n_bars", (F.col("growth") - 1).alias("total_return"), annual.alias("annual_return"), F.coalesce(F.try_divide(annual, F.col("sd") * F.sqrt(F.lit(252.0))), F.lit(0.0)).alias("sharpe"), "max_drawdown")
 

@@ -91,12 +91,12 @@ def _positions_sql(delay: int) -> str:
     held = f"coalesce(lag(position) OVER ({S}), 0)" if delay == 2 else "position"
     steps = f"SELECT *, coalesce(lag(want) OVER ({S}), 0) AS position, coalesce(close / lag(close) OVER ({S}) - 1, 0) AS r FROM ({SIGNALS})"
     steps = f"SELECT *, {held} * r - abs(position - coalesce(lag(position) OVER ({S}), 0)) * 0.001 AS strategy_return FROM ({steps})"
-    steps = f"SELECT *, exp(sum(ln(1 + strategy_return)) OVER ({S} ROWS UNBOUNDED PRECEDING)) AS equity FROM ({steps})"
+    steps = f"SELECT *, product(greatest(1 + strategy_return, 0)) OVER ({S} ROWS UNBOUNDED PRECEDING) AS equity FROM ({steps})"
     return f"SELECT *, equity / max(equity) OVER ({S} ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM ({steps})"
 
 
 def _summary_sql(delay: int) -> str:
-    inner = f"SELECT asset, count(*) AS n_bars, exp(sum(ln(1 + strategy_return))) AS g, stddev_samp(strategy_return) AS sd, min(drawdown) AS max_drawdown FROM ({_positions_sql(delay)}) GROUP BY asset"
+    inner = f"SELECT asset, count(*) AS n_bars, product(greatest(1 + strategy_return, 0)) AS g, stddev_samp(strategy_return) AS sd, min(drawdown) AS max_drawdown FROM ({_positions_sql(delay)}) GROUP BY asset"
     return picked(f"SELECT *, g - 1 AS total_return, pow(g, 252.0 / n_bars) - 1 AS annual_return, (pow(g, 252.0 / n_bars) - 1) / (sd * sqrt(252)) AS sharpe FROM ({inner})", ["asset", "n_bars"], ["total_return", "annual_return", "sharpe", "max_drawdown"])
 
 
