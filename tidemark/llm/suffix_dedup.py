@@ -2,7 +2,8 @@
 
 Suffixes are compared to a depth of ``length`` bytes, which is all that decides a removal.
 
-1. Places whose ``length`` bytes cannot repeat leave first: of the shorter windows in such a string the
+1. Of documents with equal texts only the earliest is searched; all of the others repeats, if they have
+   ``length`` bytes. Places whose ``length`` bytes cannot repeat leave first: of the shorter windows in such a string the
    one with the smallest hash is the same in all its copies, so it must occur twice.
 2. Places 1 and 2 modulo 3 are the sample. Its strings of length - 2 bytes get names: strings of 38 bytes
    are sorted and numbered, then triples of those numbers (at 0, 30 and 60 bytes, so all of the sample)
@@ -123,9 +124,9 @@ def _removed(length: int):
         for batch in batches:
             for rows, data, offsets in chunks(batch):
                 spans, kept = [], []
-                for a, b, places in zip(offsets[:-1].tolist(), offsets[1:].tolist(), rows.column("hits").to_pylist()):
+                for a, b, places, later in zip(offsets[:-1].tolist(), offsets[1:].tolist(), rows.column("hits").to_pylist(), rows.column("later").to_pylist()):
                     own = data[a:b]
-                    gone = covered(np.array(places or [], np.int64), length, b - a)
+                    gone = np.full(b - a, b - a >= length) if later else covered(np.array(places or [], np.int64), length, b - a)
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
                     spans.append([{"start": i, "end": j} for i, j in edges.tolist()])
                     kept.append(own[~gone].tobytes())
@@ -136,8 +137,11 @@ def _removed(length: int):
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
     """n_bytes, the removed byte spans and the kept bytes of each row of ``docs``."""
-    texts = keyed(docs)
-    once = texts.dropDuplicates(["key"])
+    texts = keyed(docs).withColumn("digest", F.sha2("text", 256))
+    rank = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "key")
+    firsts = written(texts.groupBy("digest").agg(F.min(rank)["key"].alias("first")), "firsts")
+    known = texts.join(firsts, "digest", "left").withColumn("later", F.coalesce(F.col("key") != F.col("first"), F.lit(False))).drop("digest", "first")
+    once = known.where("not later").dropDuplicates(["key"])
     repeats = repeated(once.select("key", "text").mapInArrow(_asker(length, short, n_buckets(docs)), ASKED))
     places = written(once.select("key", "text").join(repeats, "key").mapInArrow(_places(length, short), PLACES), "places")
     _, step = widths(length - 2)
@@ -162,5 +166,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> D
     runs = keys.groupBy("distance", "name", "rest").agg(F.min("place").alias("earliest"), F.max("place").alias("latest")).where("earliest < latest")
     hits = keys.join(runs, ["distance", "name", "rest"]).where("place > earliest").select("place.key", "place.at")
     hits = hits.groupBy("key").agg(F.collect_set("at").alias("hits"))
-    return texts.join(hits, "key", "left").select("doc_id", "text", "hits").mapInArrow(_removed(length), REMOVED)
+    return known.join(hits, "key", "left").select("doc_id", "text", "hits", "later").mapInArrow(_removed(length), REMOVED)
 
