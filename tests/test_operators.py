@@ -2,12 +2,14 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows
-from tidemark.operators import asof, backtest, features, graph, quality, validation
-from tidemark.sources import payloads, tables
+from tidemark.operators import asof, backtest, discovery, features, graph, lifecycle, quality, validation
+from tidemark.plans import governance
+from tidemark.sources import payloads, sinks, tables
 from tidemark.streaming.bars import bucketed, stream_bars
 
 DAY = dt.date(2024, 1, 1)
@@ -97,3 +99,54 @@ def test_stream_equals_batch(spark, tmp_path):
     assert run.awaitTermination(120)
     got, want = spark.table("bars_out"), bucketed(events)
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_chi2_tail_of_known_values():
+    # P(X > x) for 1, 2, 3 and 5 degrees of freedom
+    for x, df, p in ((3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (11.070498, 5, 0.05)):
+        assert abs(discovery.chi2_tail(x, df) - p) < 1e-6
+
+
+def test_granger_finds_the_planted_direction():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=400)
+    y = 0.8 * np.concatenate([[0], x[:-1]]) + 0.3 * rng.normal(size=400)
+    assert discovery.granger_p(x, y) < 1e-6 < discovery.granger_p(y, x)
+    assert discovery.granger_p(x[:20], y[:20]) is None
+
+
+def test_discovery_queries(spark):
+    d = "/root/testdata/sf0.001"
+    p = governance.catalog()["granger"][0](spark, d).toPandas()
+    assert len(p) > 0 and p[["p_a_causes_b", "p_b_causes_a"]].stack().between(0, 1).all()
+    clusters = governance.catalog()["regime_clusters"][0](spark, d).toPandas()
+    assert set(clusters["cluster"]) == {0, 1, 2}
+    mixture = governance.catalog()["regime_mixture"][0](spark, d).toPandas()
+    assert mixture["probability"].between(0.5, 1).all()
+    factors = governance.catalog()["latent_factors"][0](spark, d).toPandas()
+    assert len(factors) == 10 and abs((factors.groupby("component")["loading"].apply(lambda v: (v**2).sum()) - 1)).max() < 1e-4
+
+
+def test_sinks(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "k int, at int, v string")
+    one, two = str(tmp_path / "1"), str(tmp_path / "2")
+    assert sinks.stored(spark, one) is None
+    sinks.upsert(frame([(1, 1, "a"), (2, 1, "b")]), one, one + "x", ["k"], ["at"])
+    sinks.upsert(frame([(2, 2, "c"), (3, 1, "d")]), one + "x", two, ["k"], ["at"])
+    assert sorted(map(tuple, sinks.stored(spark, two).collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
+    bad = frame([(1, 1, "a")]).withColumnRenamed("v", "reason")
+    for entry_id in ("e1", "e2"):
+        sinks.quarantine(bad, one, entry_id, "s", "2024-01-01")
+    done = spark.createDataFrame([("e1",)], "entry_id string")
+    assert [tuple(r) for r in sinks.quarantine_summary(spark.read.parquet(one), done).collect()] == [("s", "a", 2, 2, 1)]
+
+
+def test_registry_edge_cases(spark):
+    registry = spark.createDataFrame([("a", "discovered"), ("b", "approved"), ("c", None)], "id string, status string")
+    changes = spark.createDataFrame([("a", "sampled"), ("b", "sampled"), ("c", "sampled")], "id string, new_status string")
+    got = {r.id: (r.status, r.accepted) for r in lifecycle.transitioned(registry, changes, "id").collect()}
+    assert got == {"a": ("sampled", True), "b": ("approved", False), "c": (None, False)}
+    log = [("x", i, i, a) for i, a in enumerate(["promote", "finish", "promote", "backtest", "promote", "promote", "archive"])]
+    states = lifecycle.experiments(spark.createDataFrame(log[:6], "experiment_id string, at int, seq int, action string")).collect()
+    assert [tuple(r) for r in states] == [("x", "promoted", True, 1, 3)]
+    assert lifecycle.experiments(spark.createDataFrame(log, "experiment_id string, at int, seq int, action string")).first().status == "archived"

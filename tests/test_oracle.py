@@ -36,7 +36,7 @@ def close(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=3e-5))
 
 
-@pytest.mark.parametrize("name", sorted(entry.CORE))
+@pytest.mark.parametrize("name", sorted(n for n, (_, text) in entry.CORE.items() if text))
 def test_rows_equal_sql(spark, sql, name):
     query, text = entry.CORE[name]
     got, want = query(spark, DIR).toPandas(), sql.sql(text).df()
