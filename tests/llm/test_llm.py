@@ -132,6 +132,62 @@ def test_license_versions(docs):
     assert got[13] == "apache,apache-2.0,mit"
 
 
+LICENSE_TEXTS = {
+    "creative commons attribution-sharealike 4.0": "cc-by-sa-4.0", "creative commons attribution-noncommercial-noderivatives 4.0": "cc-by-nc-nd-4.0", "creative commons attribution noncommercial sharealike 3.0": "cc-by-nc-sa-3.0",
+    "creative commons attribution-noncommercial 4.0": "cc-by-nc-4.0", "creative commons attribution-noderivatives 3.0": "cc-by-nd-3.0", "creative commons attribution 2.0": "cc-by-2.0", "creative commons zero 1.0": "cc0-1.0", "gfdl 1.3": "gfdl-1.3",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc", "permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published": "gpl", "altered source versions must be plainly marked as such": "zlib", "free and unencumbered software released into the public domain": "unlicense",
+    "proprietary and confidential": "proprietary", "all rights reserved": "proprietary", "the Apache License, version 2.0": "apache-2.0", "under the GNU Lesser General Public License version 2.1": "lgpl-2.1", "the Mozilla Public License, v. 2.0": "mpl-2.0",
+}
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "\r\n    ", "\n * ", "\n# ", "\n// ", " */\n/* ", "\ndnl "])
+def test_licenses_wrapped_at_every_blank(gap):
+    for text, label in LICENSE_TEXTS.items():
+        got = license_scan.scan_text(f"x {gap.join(text.split())} y".encode())
+        assert label in got[5].split(","), (text, got[5])
+
+
+@pytest.mark.parametrize("run", [" " * 200_000, "\n" * 200_000, "\n * " * 50_000])
+def test_licenses_of_long_blanks(run):
+    for text in ("apache license", "licensed under the terms of the gnu gpl"):
+        assert license_scan.scan_text(f"{text}{run}x".encode())[5] in ("apache", "gpl")
+
+
+@pytest.mark.parametrize("gap", [" ", "\n * "])
+def test_every_license_rule_passes_its_gates(gap):
+    """An example is made of each rule's pattern: the first of all choices, each optional part once present and once left out."""
+    from re import _parser
+
+    def example(parsed, most):
+        made = ""
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                made += chr(arg)
+            elif op == "IN":
+                made += "x" if len(arg) > 1 and str(arg[0][0]) == "CATEGORY" else {"LITERAL": lambda a: chr(a), "RANGE": lambda a: chr(a[0]), "CATEGORY": lambda a: " ", "NEGATE": lambda a: "x"}[str(arg[0][0])](arg[0][1])
+            elif op == "ANY":
+                made += "-"
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                made += example(arg[2], most) * max(arg[0], most and min(arg[1], 1))
+            elif op == "SUBPATTERN":
+                made += example(arg[3], most)
+            elif op == "BRANCH":
+                made += example(arg[1][0], most)
+            else:
+                assert op in ("ASSERT", "ASSERT_NOT", "AT"), op
+        return made
+
+    for k, rule in enumerate(license_scan.rules()):
+        plain = rule.pattern.pattern.replace(license_scan.GAP, " ")
+        for most in (0, 1):
+            text = example(_parser.parse(plain), most).replace(" ", gap)
+            assert rule.pattern.search(text), (rule.label, plain, text)
+            assert k in license_scan.open_rules(text), (rule.label, text)
+
+
 @pytest.mark.parametrize("which", ["docs", "real"])
 def test_shards(which, request):
     df = request.getfixturevalue(which)

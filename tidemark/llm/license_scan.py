@@ -2,7 +2,8 @@
 
 A rule is (priority, label, confidence, keywords, regex). Several hundred come from hand-written
 sentence patterns for each license family in ``FAMILIES``. A rule's regex runs only over texts that
-hold one of its keywords. Matches of all rules are resolved in order of priority: a match whose
+hold one of its keywords and, in a family, one of its names: without both it cannot match. A blank in a
+name, sentence or body also stands for a line break with the comment marks around it. Matches of all rules are resolved in order of priority: a match whose
 interval lies inside the interval of an earlier accepted one is dropped.
 
 Base phrases (whole words, lower case) are counted beside the rules and always give their label.
@@ -28,6 +29,10 @@ from tidemark.llm.textarrays import buffers
 #: Base phrases and labels, as the contract of the query fixes them.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: What a blank in a pattern matches: white space, or the end of a line and what begins the next in a comment.
+MARKS = r"#*/;%!>|<\-"
+GAP = rf"(?:[^\S\n]*+(?:[{MARKS}]++[^\S\n]*+)?\n[\s{MARKS}]*+(?:(?:dnl|rem)\s++)?|\s++)"
+
 #: label, names of the license as a regex, versions as regexes with the suffix each gives the label.
 FAMILIES = (
     ("apache", r"apache(?: software)? licen[cs]e", "apache", {"": "", r"1\.0": "-1.0", r"1\.1": "-1.1", r"2(?:\.0)?": "-2.0"}),
@@ -78,7 +83,7 @@ BODIES = (
     ("mit", 0.95, "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("isc", 0.95, "permission", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
     ("bsd", 0.90, "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("bsd-3-clause", 0.95, "endorse", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote"),
+    ("bsd-3-clause", 0.95, "endorse", r"neither the name of [\s\S]{1,160}? nor the names of its contributors may be used to endorse or promote"),
     ("zlib", 0.93, "altered", r"altered source versions must be plainly marked as such"),
     ("gpl", 0.92, "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
     ("unlicense", 0.95, "unencumbered", r"free and unencumbered software released into the public domain"),
@@ -94,6 +99,15 @@ class Rule(NamedTuple):
     confidence: float
     keywords: tuple[str, ...]
     pattern: re.Pattern[str]
+    family: str | None
+
+
+class Group(NamedTuple):
+    """Rules that share their keywords and a pattern that each of their matches holds."""
+
+    keywords: tuple[str, ...]
+    need: re.Pattern[str] | None
+    rules: tuple[int, ...]
 
 
 class Detection(NamedTuple):
@@ -103,36 +117,61 @@ class Detection(NamedTuple):
     confidence: float
 
 
+def loose(pattern: str) -> str:
+    """The pattern with its blanks as gaps, and its optional blanks as optional gaps."""
+    return pattern.replace(r"\s*", " ?").replace(" ", GAP)
+
+
+def loose_names(names: str) -> str:
+    """So too; their dots stand for a hyphen, a gap, both or any other sign."""
+    return loose(names.replace(".", "(?:- | |.)"))
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, the most specific first: a sentence with a version before one without."""
     made = []
     for (label, names, keys, versions), (priority, confidence, before, after) in product(FAMILIES, (*SENTENCES, (60, 0.6, "", ""))):
         for version, suffix in versions.items():
-            tail = rf",?\s*(?:\(?\s*(?:version|ver\.?|v\.?)\s*|-\s*)?{version}(?![0-9.]*[0-9])" if version else ""
-            made.append(Rule(priority - 5 * bool(version), label + suffix, confidence, tuple(keys.split()), re.compile(rf"(?<![a-z0-9]){before}(?:{names}){tail}{after}(?![a-z0-9])")))
-    made += [Rule(15, label, confidence, (key,), re.compile(sentence)) for label, confidence, key, sentence in BODIES]
+            tail = rf",?{GAP}?(?:(?:\({GAP}?)?(?:version|ver\.?|v\.?){GAP}?|-{GAP}?)?{version}(?![0-9.]*[0-9])" if version else ""
+            made.append(Rule(priority - 5 * bool(version), label + suffix, confidence, tuple(keys.split()), re.compile(rf"(?<![a-z0-9]){loose(before)}(?:{loose_names(names)}){tail}{after}(?![a-z0-9])"), label))
+    made += [Rule(15, label, confidence, (key,), re.compile(loose(sentence)), None) for label, confidence, key, sentence in BODIES]
     return tuple(sorted(made, key=lambda r: r.priority))
 
 
+@lru_cache(maxsize=1)
+def groups() -> tuple[Group, ...]:
+    """A group for each family, and one for each body."""
+    found = []
+    for label, names, keys, _ in FAMILIES:
+        found.append(Group(tuple(keys.split()), re.compile(rf"(?<![a-z0-9])(?:{loose_names(names)})"), tuple(k for k, r in enumerate(rules()) if r.family == label)))
+    return (*found, *(Group(r.keywords, None, (k,)) for k, r in enumerate(rules()) if r.family is None))
+
+
 @lru_cache(maxsize=1)
 def prefilter() -> ahocorasick.Automaton:
-    """Keyword to the numbers of its rules."""
+    """Keyword to the numbers of its groups."""
     gates: dict[str, list[int]] = {}
-    for k, rule in enumerate(rules()):
-        for word in rule.keywords:
+    for k, group in enumerate(groups()):
+        for word in group.keywords:
             gates.setdefault(word, []).append(k)
     machine = ahocorasick.Automaton()
     for word, numbers in gates.items():
-        machine.add_word(word, numbers)
+        machine.add_word(word, tuple(numbers))
     machine.make_automaton()
     return machine
 
 
-def detect(lowered: str, open_rules: set[int]) -> list[Detection]:
+def open_rules(lowered: str) -> set[int]:
+    """Numbers of the rules that can match in a lower-cased text."""
+    hit = {k for numbers in {numbers for _, numbers in prefilter().iter(lowered)} for k in numbers}
+    return {r for k in hit for group in [groups()[k]] if group.need is None or group.need.search(lowered) for r in group.rules}
+
+
+def detect(lowered: str, numbers: set[int]) -> list[Detection]:
     """Accepted matches of these rules in a lower-cased text, by start."""
     accepted: list[Detection] = []
-    for k in sorted(open_rules):  # the order of rules() is that of priority
+    for k in sorted(numbers):  # the order of rules() is that of priority
         rule = rules()[k]
         for m in rule.pattern.finditer(lowered):
             if not any(d.start <= m.start() and m.end() <= d.end for d in accepted):
@@ -143,7 +182,6 @@ def detect(lowered: str, open_rules: set[int]) -> list[Detection]:
 #: Lower-cases A-Z; all other ASCII but digits and letters becomes a space.
 WORDS = bytes.maketrans(bytes(range(128)), bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)))
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-LICENSE_HINT = re.compile(rb"licen[cs]e|gpl|cc.by|cc0|copyright|permi|redistrib|altered|public domain|rights reserved|confidential|spdx|wtfpl|eupl|cddl|bsd|mpl|epl")
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
@@ -173,11 +211,8 @@ def scan_text(text: bytes) -> tuple:
     lowered = text.translate(LOWER)
     words = text.translate(WORDS).split()
     starts, base = places(words)
-    found: list[Detection] = []
-    if LICENSE_HINT.search(lowered):
-        plain = lowered.decode()
-        gates = {k for _, numbers in prefilter().iter(plain) for k in numbers}
-        found = detect(plain, gates)
+    plain = lowered.decode()
+    found = detect(plain, open_rules(plain))
     missed = 1.0
     for d in found:
         missed *= 1 - d.confidence
