@@ -260,6 +260,54 @@ def test_quality(which, request):
     assert not any(r.base_failed and r.kept for r in got)
 
 
+PROSE = (
+    "The lighthouse keeper climbed the narrow stairs every evening, long before the sun went down, because the lamp needed an hour of care. He trimmed the wick, wiped the glass and wrote the weather into a book that nobody had asked to read for years. When the first ships turned round the cape, he lifted his hand, though no one on board could see it from so far away. ",
+    "Der alte Müller stand am Fenster und sah hinaus auf das Feld, über dem seit Tagen der Nebel hing. Früher hatte er jeden Morgen das Rad geprüft, die Säcke gezählt und mit den Bauern über die Preise gestritten. Jetzt kam nur noch selten jemand den schmalen Weg herauf, und wenn doch einer kam, dann fragte er meistens nach der Straße zur Stadt. ",
+    "La petite gare fermait toujours avant la tombée de la nuit, mais le chef restait assis sur le banc pour regarder passer le dernier train. Il connaissait les visages derrière les vitres, les valises trop lourdes et les enfants endormis. Quelquefois une voyageuse lui faisait signe, et il gardait ce geste comme une lettre que personne ne lui avait écrite. ",
+    "El mercado abría temprano, cuando las calles todavía estaban mojadas y los gatos dormían debajo de los carros. Las mujeres colocaban las naranjas en filas, discutían el precio del pescado y se contaban lo que había pasado la noche anterior. A mediodía, el calor vaciaba la plaza, y sólo quedaba un viejo que vendía relojes que nunca daban la misma hora. ",
+)
+
+
+def compressed(text):
+    import zstandard
+
+    return quality_rules.compression(text, zstandard.ZstdCompressor(level=quality_rules.LEVEL))[2]
+
+
+def junk(kind, size, seed):
+    import base64
+    import random
+    import string
+
+    rng = random.Random(seed)
+    if kind == "base64":
+        return b"\n".join(base64.b64encode(rng.randbytes(57)) for _ in range(size // 76 + 1))[:size]
+    letters = {"lower": string.ascii_lowercase, "mixed": string.ascii_letters, "alphanumeric": string.ascii_lowercase + string.digits}[kind]
+    return " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(size))[:size].encode()
+
+
+@pytest.mark.parametrize("kind, sizes", [("lower", (2048, 4096, 16000, 70000)), ("mixed", (1024, 4096, 16000, 70000)), ("alphanumeric", (1536, 4096, 16000, 70000)), ("base64", (512, 1024, 4096, 16000, 70000))])
+def test_quality_of_junk(kind, sizes):
+    for size in sizes:
+        assert {compressed(junk(kind, size, seed)) for seed in range(10)} == {"incompressible"}, size
+
+
+def test_quality_of_prose(real):
+    for text in PROSE:
+        assert compressed(text.encode()) == "prose"
+    assert compressed("".join(PROSE).encode()) == "prose"
+    long = [r.text.encode() for r in real.where("n_chars > 4200").collect()]
+    for size in (512, 1024, 2048, 4096):
+        cut = [compressed(t[:size].decode(errors="ignore").encode()) for t in long]
+        assert cut.count("incompressible") <= 0.02 * len(cut), size
+
+
+def test_quality_of_junk_inside_long_texts(real):
+    prose = max((r.text.encode() for r in real.where("lang = 'en'").collect()), key=len)[:16384]
+    assert compressed(prose) == "prose"
+    assert compressed(prose + junk("lower", 20480, 1)) in ("chunks", "incompressible")
+
+
 @pytest.mark.parametrize("which", ["docs", "real"])
 def test_round_trip(which, request):
     df = request.getfixturevalue(which)
