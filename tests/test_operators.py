@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows
 from tidemark.operators import asof, backtest, discovery, features, graph, lifecycle, quality, validation
-from tidemark.plans import governance
+from tidemark.plans import governance, operations
 from tidemark.sources import payloads, sinks, tables
 from tidemark.streaming.bars import bucketed, stream_bars
 
@@ -150,3 +150,24 @@ def test_registry_edge_cases(spark):
     states = lifecycle.experiments(spark.createDataFrame(log[:6], "experiment_id string, at int, seq int, action string")).collect()
     assert [tuple(r) for r in states] == [("x", "promoted", True, 1, 3)]
     assert lifecycle.experiments(spark.createDataFrame(log, "experiment_id string, at int, seq int, action string")).first().status == "archived"
+
+
+def test_top_k_of_a_table_of_queries(spark):
+    from tidemark.operators import vectors
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(120, 8))
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    plan = vectors.top_k(rows, rows.selectExpr("vec_id as query_id", "embedding as query"), 7)
+    assert repr(float(points[3][0])) not in plan.sparkSession._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "extended")  # queries are no literals
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    want = {(q, int(v), r + 1) for q in range(120) for r, v in enumerate(np.argsort(-np.round(unit @ unit[q], 9), kind="stable")[:7])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in plan.collect()} == want
+
+
+def test_searches_start_from_all_rows(spark):
+    d = "/root/testdata/sf0.001"
+    found = {n: q for n, (q, _) in operations.catalog().items()}
+    ids = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r.query_id for r in found["vector_top_k_of_twentieth"](spark, d).collect()} == ids
+    assert found["graph_hops_of_all"](spark, d).where("hop = 0").count() == spark.read.parquet(f"{d}/part.parquet").count()

@@ -15,12 +15,17 @@ def cosine(a: str, b: str) -> Column:
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = -1.0) -> DataFrame:
-    """(query_id, vec_id, score): for each of a few stated queries (query_id, query; they come to the driver) the nearest vectors by cosine.
+    """(query_id, vec_id, score, rank): for each query (query_id, query) the nearest vectors by cosine.
 
-    Each row meets the array of queries once; ranks are then taken of each query's own candidates.
+    Vectors are dealt into blocks, and each block meets all queries by a join. Ranks are taken of each
+    block's own candidates, then of the best of all blocks.
     """
-    asked = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("asked")).first()["asked"]
-    wanted = F.array(*(F.struct(F.lit(q.query_id).cast("long").alias("query_id"), F.array(*(F.lit(float(x)) for x in q.query)).alias("query")) for q in asked))
-    met = vectors.select("vec_id", "embedding", F.explode(wanted).alias("q")).select("vec_id", "q.query_id", cosine("embedding", "q.query").alias("score")).where(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    met = dealt.join(asked, "block").select("block", "query_id", "vec_id", cosine("embedding", "query").alias("score")).where(F.col("score") >= threshold)
+
+    def best(found: DataFrame, *by: str) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "vec_id"))).where(F.col("rank") <= k)
+
+    return best(best(met, "block", "query_id").drop("block", "rank"), "query_id").select("vec_id", "query_id", "score", "rank")
