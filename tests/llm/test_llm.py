@@ -239,6 +239,22 @@ def test_novel_strings_only_in_sensitive_places(spark):
     assert got == {1: "novel:17:37", 2: "", 3: ""}
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [("<dbPassword>", "</dbPassword>"), ('setClientSecret("', '")'), ("<accessToken>", "</accessToken>"), ('tokens: ["', '"]'), ("encryption_key ", ""), ("the signing key ", ""), ("DB_PASSWORDS [", "]"), ("userCredentials(", ")"), ("privateKey ", ""), ("", " is the password"), ('["', '", "secret"]')],
+)
+def test_novel_strings_beside_sensitive_words_of_code(before, after):
+    random, plain = "q8Zr2LxT9vWm4KpB7nYd", "server_configuration"
+    at = secret_scan.Novelty().spans(f"x {before}{random}{after} y")
+    assert at == [(2 + len(before), 3, 2 + len(before) + len(random))]
+    assert secret_scan.Novelty().spans(f"x {before}{plain}{after} y") == []
+
+
+def test_words_that_only_contain_sensitive_ones():
+    for word in ("passage", "author", "tokenizer", "secretary", "monkey", "keyboard", "key-value", "compass"):
+        assert secret_scan.Novelty().spans(f"the {word} q8Zr2LxT9vWm4KpB7nYd here") == []
+
+
 def test_redacted_keeps_rows_and_columns(docs):
     got = secret_scan.redacted(docs)
     assert got.columns == docs.columns and got.count() == docs.count()

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and candidates whose zstandard novelty is high.
 
 Base spans come from three patterns (``ASSIGN``, ``ACCESS``, ``HEX``). Beside them, every token of 12 or
-more characters in a sensitive context (a word such as *password* or *key* shortly before it) is a
-candidate. Its novelty is the number of bytes by which it lengthens the zstandard frame of its
+more characters in a sensitive context (a word such as *password* or *key* shortly before or behind it)
+is a candidate. Its novelty is the number of bytes by which it lengthens the zstandard frame of its
 surrounding text, where the compressor is primed with a dictionary of code and identifiers. Words,
 identifiers and repeated strings add few bytes; random strings add about as many as their entropy. A
 candidate with at least ``MIN_NOVELTY`` added bytes a character is reported as kind ``novel``.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,10 +32,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
-#: Words that make what follows them sensitive, and how far before a candidate they may stand.
-SENSITIVE = re.compile(r"(?<![A-Za-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|auth(?:orization)?|bearer|credentials?|signature|session[_-]?id)(?![A-Za-z])", re.I | re.A)
+#: Words that make a string near them sensitive: whole words or parts of camelCase, snake_case and kebab-case
+#: identifiers, in the plural too. ``key`` counts where it ends an identifier.
+SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])(?i:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|(?:access|auth)[_-]?token|token|(?:api|access|private|client)[_-]?key|auth(?:orization)?|bearer|credential|signature|session[_-]?id)"
+    r"|(?<=[a-z0-9])(?:Pass(?:[Ww]ord|[Ww]d|[Pp]hrase|[Cc]ode)?|Pwd|Secret|Token|Auth(?:orization)?|Bearer|Credential|Signature|SessionI[dD]))[sS]?(?![a-z]|(?<=[A-Z])[A-Z])"
+    r"|(?:(?<![A-Za-z])(?i:key)|(?<=[a-z0-9])Key)[sS]?(?![A-Za-z0-9]|[_-][A-Za-z0-9])",
+    re.A,
+)
 REACH, CONTEXT = 48, 256
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}", re.A)
+MIN_CANDIDATE = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}", re.A)
 MIN_NOVELTY = 0.70
 #: Quick tests on bytes: texts without any of these have no span of that kind.
 HAS_ASSIGN = re.compile(rb"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}")
@@ -79,17 +87,25 @@ class Novelty:
         return (len(self.pack.compress(around + candidate)) - len(self.pack.compress(around))) / len(candidate)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        found = []
-        for hint in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, hint.end(), min(len(text), hint.end() + REACH + 256)):
-                if m.start() > hint.end() + REACH:
-                    break
-                end = CANDIDATE.match(text, m.start()).end()  # the whole string, where the search window cut it
-                if (not found or m.start() >= found[-1][2]) and self.of(text, m.start(), end) >= MIN_NOVELTY:
-                    found.append((m.start(), 3, end))
+        hints = [m.span() for m in SENSITIVE.finditer(text)]
+        if not hints:
+            return []
+        starts, ends, found = [a for a, _ in hints], [b for _, b in hints], []
+        for m in CANDIDATE.finditer(text):
+            for a, b in pieces(m.start(), m.end(), hints[bisect_left(starts, m.start()) : bisect_left(starts, m.end())]):
+                k, j = bisect_right(ends, a) - 1, bisect_left(starts, b)  # the last hint before it and the first behind it
+                near = (k >= 0 and a - ends[k] <= REACH) or (j < len(starts) and starts[j] - b <= REACH)
+                if near and self.of(text, a, b) >= MIN_NOVELTY:
+                    found.append((a, 3, b))
         return found
 
 
+def pieces(start: int, end: int, inside: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A string cut at the sensitive words inside it; an identifier such as ``setClientSecret`` leaves no long piece."""
+    cuts = [start, *(x for span in inside for x in span), end]
+    return [(a, b) for a, b in zip(cuts[::2], cuts[1::2]) if b - a >= MIN_CANDIDATE]
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
