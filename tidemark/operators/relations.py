@@ -1,4 +1,4 @@
-"""Relationships between series: lagged correlation, factor exposure, leading indicators."""
+"""Relationships between series: lagged correlation, factor exposure."""
 
 from __future__ import annotations
 
