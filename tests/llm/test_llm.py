@@ -389,3 +389,12 @@ def test_pipeline(spark):
         docs = after
     assert corpus_pipeline.run(spark, DIR).where("not exact").count() == 0
     assert isinstance(corpus_pipeline.run(spark, DIR).toPandas(), pd.DataFrame)
+
+
+def test_pipeline_decontaminates_rows_with_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").where("text is not null").first().text
+    rows = [(None, f"see {item} here"), (None, "clean"), (7, f"{item}"), (7, "clean too"), (8, None)]
+    got = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR)
+    same([tuple(r) for r in got.collect()], [(None, "clean"), (7, "clean too"), (8, None)])
