@@ -5,11 +5,11 @@ Each run of ``window`` words of an item is a pattern, or the whole item if it is
 a document finds all patterns; hits are mapped back to word numbers and to byte offsets of the original.
 
 The automaton is broadcast. Its size is bounded: items are dealt into parts of at most
-``MAX_PART_BYTES`` of text (measured first), each part has its automaton and pass, and a document's hits
+``MAX_PART_BYTES`` of text (measured first; an item is not divided), each part has its automaton and pass, and a document's hits
 of all parts are united. Ordinary benchmarks are one part.
 
 Null and empty texts have no words; an item without words hits nothing; rows of ``benchmark`` that share
-an item_id are one item; items with a null item_id are left out. Equal documents get equal results, one
+an item_id are one item; those with a null item_id are one item that hits words and counts, but is not listed. Equal documents get equal results, one
 row for each row of ``docs``; columns other than doc_id, text and item_id are not read.
 """
 
@@ -31,6 +31,9 @@ WINDOW = 10
 #: Benchmark text in one automaton; about 40 times as much memory.
 MAX_PART_BYTES = 4 << 20
 
+#: Stands for a null item_id.
+NO_ID = "\x00"
+
 SPAN = "array<struct<start:long,end:long>>"
 #: ``runs`` are hit words, ``spans`` the bytes from the first to the last of each run.
 SCHEMA = f"row long, doc_id long, n_words long, items array<string>, runs {SPAN}, spans {SPAN}"
@@ -111,18 +114,50 @@ def merged(spans: Column) -> Column:
     )
 
 
+def parts_of(benchmark: DataFrame, part_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text) of items with words, and in how many parts of about ``part_bytes`` they are dealt."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit(NO_ID)).alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, -(-size // part_bytes) or 1
+
+
+def machine_of(items: DataFrame, k: int, parts: int, window: int):
+    share = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+    return items.sparkSession.sparkContext.broadcast(automaton([(r[0], r[1]) for r in share.toLocalIterator()], window))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = MAX_PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a passage of any item, whatever their ids; one filter after the other for the parts."""
+    items, parts = parts_of(benchmark, part_bytes)
+    clean, schema = docs, docs.schema
+    for k in range(parts):
+        clean = clean.mapInArrow(_kept(machine_of(items, k, parts, window)), schema)
+    return clean
+
+
+def _kept(machine) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(batches):
+        patterns = machine.value
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            raw, offsets = memoryview(data), offsets.tolist()
+            clean = []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                words = bytes(raw[a:b]).translate(WORDS).split()
+                clean.append(patterns is None or next(patterns.iter(f" {b' '.join(words).decode()} "), None) is None)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return keep
+
+
 def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = MAX_PART_BYTES) -> DataFrame:
     """n_words, hit words, items that occur (ids, digest) and byte spans of hits: one row for each row of ``docs``."""
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // part_bytes) or 1
+    items, parts = parts_of(benchmark, part_bytes)
     texts = docs.select((F.lit(0) if parts == 1 else F.xxhash64("doc_id", "text")).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for k in range(parts):
-        share = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        machine = spark.sparkContext.broadcast(automaton([(r[0], r[1] or "") for r in share.toLocalIterator()], window))
-        one_pass = texts.mapInArrow(scanner(machine), SCHEMA)
+        one_pass = texts.mapInArrow(scanner(machine_of(items, k, parts, window)), SCHEMA)
         found = one_pass if found is None else found.unionByName(one_pass)
     if parts > 1:  # equal rows have equal hits and stand again as often as they came
         by_row = found.groupBy("row", "doc_id").agg(
@@ -131,4 +166,5 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         )
         found = by_row.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "items", "spans")
+    listed = F.array_remove("items", NO_ID)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), listed.alias("items"), "spans")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textarrays import chunks, span_hashes
+from tidemark.llm.textarrays import SECOND, SEED, chunks, span_hashes
 
 MARK = "▁"
 #: Units that a task remembers; beyond, it forgets all and begins anew.
@@ -148,8 +148,10 @@ class Encoder:
         end = np.append(start[1:], len(data))
         opens = np.zeros(len(start), bool)  # the first unit of a text has a space put before it
         opens[np.searchsorted(start, offsets[:-1][np.diff(offsets) > 0])] = True
-        hashes = span_hashes(data, start, end) ^ opens.astype(np.uint64)
+        hashes, second = (span_hashes(data, start, end, seed) ^ opens.astype(np.uint64) for seed in (SEED, SECOND))
         _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if (second[one][which] != second).any():  # two units of one hash: none is taken for another
+            one = which = np.arange(len(start))
         if len(self.memory) > MEMORY:
             self.memory.clear()
         raw, memory, encode = data.tobytes(), self.memory, self.codec.encode_unit

@@ -8,31 +8,58 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A group is hot if it holds more than this part of all rows; there are at most as many hot groups.
+HOT = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a local one is set."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session may do without: it gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a ``written`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text) of each row: equal rows share a key, rows that share only an id do not."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined to ``groups`` (one row a key, with its number of rows ``size``; of ``total``), however large a group is.
+
+    At most ``HOT`` groups can hold more than total / HOT rows each: these are broadcast, so that no task
+    gathers the rows of one; the others are joined by a shuffle.
+    """
+    hot = F.col(size) * HOT > total
+    few = F.broadcast(groups.where(hot))
+    own = [f"{c}" for c in rows.columns]
+    found = rows.join(few, key)
+    rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key, "left")
+    columns = own + [c for c in groups.columns if c not in own]
+    return found.select(columns).unionAll(rest.select(columns))

@@ -1,12 +1,13 @@
 """Removal of repeated word windows, found by level-wise doubling.
 
-Windows of a first length are looked up in the whole corpus; only where they repeat are windows of
-twice the length (at most the wanted one) formed and looked up, and so on until the wanted length is
-reached or no candidate survives. At the first level one window of each candidate of the second level
-suffices: the one with the smallest hash, which all copies of a candidate agree on (ties all count).
+Windows of a first length (``FIRST`` words) are looked up in the whole corpus; only where they repeat are
+windows of up to twice the length looked up, and so on until the wanted length is reached or no candidate
+survives: 5, 9, 18 and 35 words. A candidate is a place of the wanted length. At each level one window of
+each candidate suffices, the one with the smallest hash, which all copies of the candidate agree on (ties
+all count): if it does not repeat, the candidate does not. At the last level every candidate is looked up.
 
 A word is removed if a window of ``window`` words that covers it also starts anywhere else in the input,
-the same document included. Windows are compared by 64-bit hashes of their words.
+the same document included. Windows are told apart by 128 bits of two independent hashes of their words.
 
 Null and empty texts have no words and stay empty; texts shorter than a window stay whole. Rows that are
 equal in all respects count as places of their own, so both lose what they share. Columns other than
@@ -15,7 +16,6 @@ doc_id and text are not read. Without rows the result is empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -23,14 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.matching import ASKED, Asks, n_buckets, repeated, unpacked
-from tidemark.llm.shared import keyed
-from tidemark.llm.textarrays import Words, chunks, covered, inside, window_hashes
+from tidemark.llm.blocks import ASKED, Items, Texts, answers, asked, blocks, flagged, passing
+from tidemark.llm.textarrays import MOST, SECOND, Words, anchors, covered, inside, pieces, sliding, window_hashes
 
 WINDOW = 35
 #: Lengths are halved down to this many words or fewer.
-FIRST = 20
-MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+FIRST = 5
 
 REMOVED = "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept string"
 
@@ -43,92 +41,93 @@ def lengths(window: int, first: int = FIRST) -> list[int]:
     return found
 
 
-def sliding(x: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
-    """Smallest (or, by np.maximum, largest) value of each run of ``width`` values."""
-    n, span = len(x) - width + 1, 1
-    if n <= 0:
-        return x[:0]
-    while 2 * span <= width:
-        x = least(x[:-span], x[span:])
-        span *= 2
-    return least(x[:n], x[width - span : width - span + n])
-
-
-def anchors(hashes: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
-    """Which windows have the smallest hash of a run of ``width`` windows that starts where ``ok``."""
-    smallest = np.where(ok[: len(hashes) - width + 1], sliding(hashes, width), np.uint64(0))
-    around = np.zeros(width - 1, np.uint64)
-    return (hashes == sliding(np.concatenate([around, smallest, around]), width, np.maximum)) & (hashes > 0)
-
-
-def candidates(level: int, sizes: list[int], hashes: np.ndarray, first: np.ndarray, survive: np.ndarray) -> np.ndarray:
-    """Starts of windows of this level that what survives (starts of the level before) allows."""
-    size, before = sizes[level], sizes[level - 1]
-    ok = inside(first, size, len(hashes) - size + 1)
-    if not len(ok):
-        return np.zeros(0, np.int64)
-    alive = np.zeros(len(hashes) - before + 1, bool)
-    alive[survive] = True
-    step = size - before
-    if level == 1:
-        short = window_hashes(hashes, before)
-        return np.flatnonzero(ok & (sliding(np.where(alive, short, MOST), step + 1) == sliding(short, step + 1)))
-    return np.flatnonzero(ok & alive[: len(ok)] & alive[step : step + len(ok)])
+class Search:
+    """Candidates of one block, level by level; in pieces of a few megabytes."""
+
+    def __init__(self, texts: Texts, sizes: list[int]):
+        self.texts, self.sizes = texts, sizes
+        self.words, self.hashes, self.alive = [], [], []
+        for a, b in pieces(texts.offsets):
+            words = Words(texts.data[texts.offsets[a] : texts.offsets[b]], texts.offsets[a : b + 1] - texts.offsets[a])
+            hashes = words.hashes()
+            self.words.append(words)
+            self.hashes.append(hashes)
+            self.alive.append(inside(words.first, sizes[-1], len(hashes) - sizes[-1] + 1))
+
+    def at_level(self, level: int) -> list[np.ndarray]:
+        """Windows of this level that are looked up: their starts, in each piece."""
+        width = self.sizes[-1] - self.sizes[level] + 1
+        if width == 1:
+            return [np.flatnonzero(alive) for alive in self.alive]
+        self.windows = [window_hashes(h, self.sizes[level]) for h in self.hashes]
+        return [np.flatnonzero(anchors(w, alive, width)) if alive.any() else np.zeros(0, np.int64) for w, alive in zip(self.windows, self.alive)]
+
+    def items(self, level: int, at: list[np.ndarray]) -> Items:
+        last = level == len(self.sizes) - 1
+        found = [w[a] for w, a in zip([window_hashes(h, self.sizes[level]) for h in self.hashes] if last else self.windows, at)]
+        second = [window_hashes(words.hashes(seed=SECOND), self.sizes[level])[a] for words, a in zip(self.words, at)] if last else None
+        flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        return Items(flat(found), flat(second) if last else None)
+
+    def narrow(self, level: int, at: list[np.ndarray], repeats: np.ndarray) -> None:
+        """Only candidates whose smallest window repeats stay."""
+        width, done = self.sizes[-1] - self.sizes[level] + 1, 0
+        for k, own in enumerate(at):
+            flag = repeats[done : done + len(own)]
+            done += len(own)
+            again = np.full(len(self.windows[k]) if width > 1 else len(self.alive[k]), False)
+            again[own[flag]] = True
+            if width == 1:
+                self.alive[k] = again
+            elif len(self.alive[k]):
+                self.alive[k] &= sliding(np.where(again, self.windows[k], MOST), width) == sliding(self.windows[k], width)
+
+    def upto(self, level: int, found: pa.Table | None, buckets: int) -> tuple[list[np.ndarray], Items]:
+        """What is looked up at ``level``, by the answers of all levels before."""
+        for before in range(level):
+            at = self.at_level(before)
+            self.narrow(before, at, flagged(self.items(before, at), found, before, buckets))
+        at = self.at_level(level)
+        return at, self.items(level, at)
 
 
 def _asker(level: int, sizes: list[int], buckets: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asks = Asks(buckets)
-        for batch in batches:
-            for rows, data, offsets in chunks(batch):
-                words = Words(data, offsets)
-                hashes = words.hashes()
-                windows = window_hashes(hashes, sizes[level])
-                if not len(windows):
-                    continue
-                if level == 0:
-                    wanted = sizes[min(1, len(sizes) - 1)]
-                    ok = inside(words.first, wanted, len(hashes) - wanted + 1)
-                    at = np.flatnonzero(anchors(windows, ok, wanted - sizes[0] + 1)) if len(ok) else np.zeros(0, np.int64)
-                else:
-                    at = candidates(level, sizes, hashes, words.first, unpacked(rows.column("places"), words.first))
-                doc = np.searchsorted(words.first, at, "right") - 1
-                yield from asks.add(rows.column("key").to_numpy()[doc], at - words.first[doc], windows[at])
-        yield from asks.flush()
+    def ask(texts: Texts, found: pa.Table | None) -> pa.Table:
+        return asked(texts.block, Search(texts, sizes).upto(level, found, buckets)[1], buckets)
 
     return ask
 
 
-def _removed(window: int):
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            for rows, data, offsets in chunks(batch):
-                n_words, spans, kept = [], [], []
-                for a, b, parts in zip(offsets[:-1].tolist(), offsets[1:].tolist(), rows.column("places").to_pylist()):
-                    words = data[a:b].tobytes().split()
-                    n_words.append(len(words))
-                    if parts:
-                        gone = covered(np.frombuffer(b"".join(parts), np.uint32).astype(np.int64), window, len(words))
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                        spans.append([{"start": i, "end": j} for i, j in edges.reshape(-1, 2).tolist()])
-                        words = compress(words, (~gone).tolist())
-                    else:
-                        spans.append([])
-                    kept.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.string())], names=["doc_id", "n_words", "removed", "kept"])
+def _removed(sizes: list[int], buckets: int):
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def remove(texts: Texts, found: pa.Table) -> pa.Table:
+        search, last = Search(texts, sizes), len(sizes) - 1
+        at, items = search.upto(last, found, buckets)
+        search.narrow(last, at, flagged(items, found, last, buckets))
+        n_words, spans, kept = [], [], []
+        for words, alive in zip(search.words, search.alive):
+            gone = covered(np.flatnonzero(alive), sizes[-1], len(words.start))
+            for a, b, i, j in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), words.first[:-1].tolist(), words.first[1:].tolist()):
+                own, out = words.data[a:b].tobytes().split(), gone[i:j]
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
+                n_words.append(j - i)
+                spans.append([{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()])
+                kept.append(b" ".join(compress(own, (~out).tolist()) if len(edges) else own).decode())
+        return pa.table({"doc_id": pa.array(texts.doc_ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "removed": pa.array(spans, spans_type), "kept": pa.array(kept, pa.string())})
 
     return remove
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
     """n_words, the removed word spans and the kept words of each row of ``docs``."""
-    texts, sizes = keyed(docs), lengths(window, first)
+    (table, buckets, _), sizes = blocks(docs), lengths(window, first)
     found = None
     for level in range(len(sizes)):
-        asked = texts.select("key", "text") if found is None else texts.select("key", "text").join(found, "key")
-        found = repeated(asked.mapInArrow(_asker(level, sizes, n_buckets(docs)), ASKED))
-    return texts.join(found, "key", "left").select("doc_id", "text", "places").mapInArrow(_removed(window), REMOVED)
+        questions = passing(table, found, _asker(level, sizes, buckets), ASKED)
+        known = answers(questions, level, wide=level == len(sizes) - 1)
+        found = known if found is None else found.unionAll(known)
+    return passing(table, found, _removed(sizes, buckets), REMOVED)
 
 
 def n_removed(removed: str = "removed"):

@@ -1,170 +1,223 @@
-"""Removal of byte strings that also start earlier, by a difference cover of bounded depth.
+"""Removal of byte strings that also start earlier, by suffix order of a difference cover.
 
 Suffixes are compared to a depth of ``length`` bytes, which is all that decides a removal.
 
 1. Of documents with equal texts only the earliest is searched; all of the others repeats, if they have
-   ``length`` bytes. Places whose ``length`` bytes cannot repeat leave first: of the shorter windows in such a string the
-   one with the smallest hash is the same in all its copies, so it must occur twice.
-2. Places 1 and 2 modulo 3 are the sample. Its strings of length - 2 bytes get names: strings of 38 bytes
-   are sorted and numbered, then triples of those numbers (at 0, 30 and 60 bytes, so all of the sample)
-   are sorted and numbered again - the recursion, which ends there for 100 bytes.
-3. Any two places are alike in ``length`` bytes if two bytes and a sampled name are alike at a distance
-   that both have in the sample. There are three such distances and each place has two of them. This merges
-   the remaining suffixes with the sample: equal keys are neighbours, and of each run of neighbours all
-   but the earliest repeat.
-
-Names are ranks over all partitions; only the number of names in each partition comes to the driver.
+   ``length`` bytes.
+2. Of the windows of ``short`` bytes in a string the one with the smallest hash is the same in all its copies.
+   The blocks (blocks.py) ask which of these occur twice; places whose window does not leave.
+3. The remaining places are dealt by that window: neighbouring places with the same one are a *stretch*, which is
+   sent with the bytes of its strings to the window's bucket. So all copies of a string meet in one bucket; of
+   equal stretches a block sends its earliest.
+4. Each bucket orders the suffixes of its stretches by a difference cover (difference_cover.py: sampled
+   strings are sorted, triples of their names sorted again, the remaining suffixes merged) and compares
+   neighbours: of each run of equal strings all but the earliest repeat.
 
 Null and empty texts have no bytes; texts shorter than ``length`` stay whole. Earlier is: smaller doc_id
-(null first), for rows that share one smaller hash of the row, then smaller start. Rows that are equal in
+(null first), for rows that share one smaller digest of the text, then smaller start. Rows that are equal in
 doc_id and text are one document, each with the same result. Columns other than doc_id and text are not
 read. Without rows the result is empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.matching import ASKED, Asks, n_buckets, repeated, unpacked
-from tidemark.llm.sharding import running
-from tidemark.llm.shared import keyed, written
-from tidemark.llm.substring_dedup import MOST, anchors, sliding
-from tidemark.llm.textarrays import BYTE, chunks, covered, inside, window_hashes
+from tidemark.llm.blocks import ASKED, Items, Texts, answers, asked, blocks, bucket_of, flagged, passing
+from tidemark.llm.difference_cover import Text, later_repeats
+from tidemark.llm.shared import written
+from tidemark.llm.textarrays import BYTE, MOST, anchors, covered, inside, pieces, sliding, window_hashes
 
 LENGTH = 100
-#: Bytes of the windows that step 1 looks up.
-SHORT = 40
-
-PLACES = "key long, at int, run binary, bytes binary, wanted boolean"
+#: Bytes of the windows that step 2 looks up, and bytes of text whose stretches make a bucket of step 4.
+SHORT, SUFFIX_BYTES = 40, 8 << 20
+
+INFO = "block int, place int, doc_id long, digest binary"
+STRETCHES = "block int, bucket int, sizes binary, orders binary, packed binary"
+_STRETCHES = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("orders", pa.binary()), ("packed", pa.binary())])
+#: One row a question of any level, or of a text that is the earliest of its equals (level -1).
+FOUND = "block int, level int, bucket int, flags binary"
 REMOVED = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
-#: Rows of a place that one Arrow batch holds at most.
-ROWS = 1 << 16
-
-
-def widths(depth: int) -> tuple[int, int]:
-    """(width of the strings of the first sort, distance of the three in a triple) that span ``depth`` bytes."""
-    step = 3 * (depth // 9)
-    return depth - 2 * step, step
-
-
-def _asker(length: int, short: int, buckets: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asks = Asks(buckets)
-        for batch in batches:
-            for rows, data, offsets in chunks(batch):
-                hashes = BYTE[data]
-                windows = window_hashes(hashes, short)
-                ok = inside(offsets, length, len(data) - length + 1)
-                if not len(ok):
-                    continue
-                at = np.flatnonzero(anchors(windows, ok, length - short + 1))
-                doc = np.searchsorted(offsets, at, "right") - 1
-                yield from asks.add(rows.column("key").to_numpy()[doc], at - offsets[doc], windows[at])
-        yield from asks.flush()
+#: Order of a stretch: whether the document has an id, the id, the text's digest, the start.
+ORDER = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("digest", "<u8"), ("start", "<u4")])
+
+
+def _info(length: int):
+    def describe(texts: Texts, found: pa.Table | None) -> pa.Table:
+        """Texts that can lose bytes; of equal rows the first."""
+        rows = [(texts.block, k, texts.doc_ids[k], texts.digests[k]) for k in range(len(texts)) if texts.offsets[k + 1] - texts.offsets[k] >= length and not _equal(texts, k)]
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "place", "doc_id", "digest"])
+
+    return describe
+
+
+def _equal(texts: Texts, k: int) -> bool:
+    """Whether a row is equal to the one before it."""
+    return k > 0 and texts.doc_ids[k] == texts.doc_ids[k - 1] and texts.digests[k] == texts.digests[k - 1]
+
+
+class Search:
+    """Places of the texts of a block that are the earliest of their equals, in pieces of a few megabytes."""
+
+    def __init__(self, texts: Texts, found: pa.Table, length: int, short: int):
+        self.texts, self.length, self.short, self.around = texts, length, short, length - short + 1
+        self.places = sorted(b for b, level in zip(found["bucket"].to_pylist(), found["level"].to_pylist()) if level == -1)
+        raw = [texts.data[texts.offsets[k] : texts.offsets[k + 1]] for k in self.places]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
+        self.data = [np.concatenate(raw[a:b]) for a, b in pieces(offsets)]
+        self.doc = [np.arange(a, b) for a, b in pieces(offsets)]
+        self.offsets = [offsets[a : b + 1] - offsets[a] for a, b in pieces(offsets)]
+        self.windows = [window_hashes(BYTE[d], short) for d in self.data]
+        self.ok = [inside(o, length, len(d) - length + 1) for o, d in zip(self.offsets, self.data)]
+        self.at = [np.flatnonzero(anchors(w, ok, self.around)) if len(ok) else np.zeros(0, np.int64) for w, ok in zip(self.windows, self.ok)]
+
+    def items(self) -> Items:
+        found = [w[a] for w, a in zip(self.windows, self.at)]
+        return Items(np.concatenate(found) if found else np.zeros(0, np.uint64))
+
+    def stretches(self, found: pa.Table, buckets: int) -> None:
+        """Sets arrays over all stretches: piece, lo and hi (first and last place), bucket; and ``first``: of equal ones the earliest."""
+        flags, done, parts = flagged(self.items(), found, 0, buckets[0]), 0, []
+        for k, (windows, ok, at) in enumerate(zip(self.windows, self.ok, self.at)):
+            again = np.zeros(len(windows), bool)
+            again[at[flags[done : done + len(at)]]] = True
+            done += len(at)
+            if not again.any():
+                continue
+            alive = np.flatnonzero(ok & (sliding(np.where(again, windows, MOST), self.around) == sliding(windows, self.around)))
+            if not len(alive):
+                continue
+            # the window by which a place is dealt: of smallest high bits, the leftmost
+            key = (windows & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(windows), dtype=np.uint64)
+            anchor = (sliding(key, self.around)[alive] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            new = np.ones(len(alive), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (alive[1:] != alive[:-1] + 1)
+            start = np.flatnonzero(new)
+            lo, hi = alive[start], alive[np.append(start[1:], len(alive)) - 1]
+            whole = window_hashes(BYTE[self.data[k]], self.length)
+            parts.append((np.full(len(lo), k), lo, hi, windows[anchor[start]], whole[lo], whole[hi]))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3)
+        self.piece, self.lo, self.hi, hashes, a, b = (np.concatenate(c) for c in zip(*parts)) if parts else empty
+        self.bucket = bucket_of(hashes, buckets[1])
+        # equal stretches: as many places, the same first and last string and window
+        order = np.lexsort((np.arange(len(a)), self.hi - self.lo, b, a, hashes))
+        new = np.ones(len(order), bool)
+        for c in (hashes, a, b, self.hi - self.lo):
+            new[1:] &= c[order][1:] == c[order][:-1]
+        new[1:] = ~new[1:]
+        self.first = np.zeros(len(order), bool)
+        self.first[order[new]] = True
+
+    def sent(self) -> np.ndarray:
+        """Numbers of the stretches that are sent, by bucket and then in order."""
+        one = np.flatnonzero(self.first)
+        return one[np.argsort(self.bucket[one], kind="stable")]
+
+
+def _ask(length: int, short: int, buckets: int):
+    def ask(texts: Texts, found: pa.Table) -> pa.Table:
+        return asked(texts.block, Search(texts, found, length, short).items(), buckets)
 
     return ask
 
 
-def _places(length: int, short: int):
-    width, step = widths(length - 2)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each place that may repeat (``wanted``), and for those whose name its own is made of."""
-        for batch in batches:
-            for rows, data, offsets in chunks(batch):
-                ok = inside(offsets, length, len(data) - length + 1)
-                if not len(ok):
-                    continue
-                windows = window_hashes(BYTE[data], short)
-                alive = np.zeros(len(windows), bool)
-                alive[unpacked(rows.column("places"), offsets)] = True
-                around = length - short + 1
-                wanted = np.zeros(len(data), bool)
-                wanted[: len(ok)] = ok & (sliding(np.where(alive, windows, MOST), around) == sliding(windows, around))
-                needed = wanted.copy()
-                for further in (1, 2, step, step + 1, step + 2, 2 * step, 2 * step + 1, 2 * step + 2):
-                    needed[further:] |= wanted[:-further]
-                at = np.flatnonzero(needed)
-                doc = np.searchsorted(offsets, at, "right") - 1
-                padded = np.concatenate([data, np.zeros(length, np.uint8)])
-                keys = rows.column("key").to_numpy()
-                for i in range(0, len(at), ROWS):
-                    a, d = at[i : i + ROWS], doc[i : i + ROWS]
-                    place = (a - offsets[d]).astype(np.int32)
-                    runs = padded[a[:, None] + np.arange(width)]
-                    ends = padded[a[:, None] + np.array([0, 1, length - 2, length - 1])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[d]), pa.array(place), packed(runs), packed(ends), pa.array(wanted[a])], names=["key", "at", "run", "bytes", "wanted"]
-                    )
-
-    return spread
-
-
-def packed(rows: np.ndarray) -> pa.Array:
-    """A binary value for each row of a matrix of bytes."""
-    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def named(strings: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """Distinct ``columns`` of ``strings``, sorted over all partitions and numbered as ``name``."""
-    distinct = strings.select(columns).distinct().withColumn("one", F.lit(1).cast("long"))
-    kinds = ", ".join(f"{c} {t}" for c, t in distinct.dtypes)
-    return written(running(distinct, columns, {"one": name}, f"{kinds}, {name} long").drop("one"), "names")
-
-
-def _removed(length: int):
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            for rows, data, offsets in chunks(batch):
-                spans, kept = [], []
-                for a, b, places, later in zip(offsets[:-1].tolist(), offsets[1:].tolist(), rows.column("hits").to_pylist(), rows.column("later").to_pylist()):
-                    own = data[a:b]
-                    gone = np.full(b - a, b - a >= length) if later else covered(np.array(places or [], np.int64), length, b - a)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
-                    spans.append([{"start": i, "end": j} for i, j in edges.tolist()])
-                    kept.append(own[~gone].tobytes())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offsets)), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
+def _send(length: int, short: int, buckets: tuple[int, int]):
+    def send(texts: Texts, found: pa.Table) -> pa.Table:
+        search = Search(texts, found, length, short)
+        search.stretches(found, buckets)
+        pack, rows = zstandard.ZstdCompressor(level=3), []
+        sent = search.sent()
+        for own in np.split(sent, np.flatnonzero(np.diff(search.bucket[sent])) + 1) if len(sent) else []:
+            order, raw = np.zeros(len(own), ORDER), []
+            for i, s in enumerate(own.tolist()):
+                k, lo, hi = search.piece[s], search.lo[s], search.hi[s]
+                doc = int(np.searchsorted(search.offsets[k], lo, "right")) - 1
+                place = search.places[search.doc[k][doc]]
+                doc_id = texts.doc_ids[place]
+                order[i] = (doc_id is not None, doc_id or 0, int.from_bytes(texts.digests[place][:8], "big"), lo - search.offsets[k][doc])
+                raw.append(search.data[k][lo : hi + length].tobytes())
+            sizes = (search.hi[own] - search.lo[own] + 1).astype(np.uint8)
+            rows.append((int(search.bucket[own[0]]), sizes.tobytes(), pack.compress(order.tobytes()), pack.compress(b"".join(raw))))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        return pa.Table.from_arrays([pa.array([texts.block] * len(rows), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(_STRETCHES)[1:]))], schema=_STRETCHES)
+
+    return send
+
+
+def _compare(length: int):
+    def compare(table: pa.Table) -> pa.Table:
+        """For each place of the stretches of a bucket whether its string is also at an earlier place."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts = [np.frombuffer(s, np.uint8) for s in table["sizes"].to_pylist()]
+        size = np.concatenate(parts).astype(np.int64)
+        order = np.concatenate([np.frombuffer(unpack(o), ORDER) for o in table["orders"].to_pylist()])
+        text = Text(np.frombuffer(b"".join(unpack(p) for p in table["packed"].to_pylist()), np.uint8), length)
+        begin = np.cumsum(size + length - 1) - (size + length - 1)
+        rank = np.empty(len(size), np.int64)
+        rank[np.lexsort((order["start"], order["digest"], order["doc_id"], order["known"]))] = np.arange(len(size))
+        total = np.concatenate([[0], np.cumsum(size)])
+        offset = np.arange(total[-1]) - np.repeat(total[:-1], size)
+        later = later_repeats(text, np.repeat(begin, size) + offset, length, np.repeat(rank, size) * 256 + offset)
+        ends = total[np.cumsum([0, *(len(p) for p in parts)])].tolist()
+        flags = [np.packbits(later[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        n = table.num_rows
+        return pa.table([table["block"].combine_chunks(), pa.array([1] * n, pa.int32()), table["bucket"].combine_chunks(), pa.array(flags, pa.binary())], names=["block", "level", "bucket", "flags"])
+
+    return compare
+
+
+def _removed(length: int, short: int, buckets: tuple[int, int]):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def remove(texts: Texts, found: pa.Table) -> pa.Table:
+        search = Search(texts, found, length, short)
+        search.stretches(found, buckets)
+        starts = [[] for _ in search.data]
+        known = np.flatnonzero(~search.first)
+        for k, lo, hi in zip(search.piece[known].tolist(), search.lo[known].tolist(), search.hi[known].tolist()):
+            starts[k].append(np.arange(lo, hi + 1))
+        answer = {b: f for level, b, f in zip(found["level"].to_pylist(), found["bucket"].to_pylist(), found["flags"].to_pylist()) if level == 1}
+        sent = search.sent()
+        for own in np.split(sent, np.flatnonzero(np.diff(search.bucket[sent])) + 1) if len(sent) else []:
+            size = search.hi[own] - search.lo[own] + 1
+            total = np.concatenate([[0], np.cumsum(size)])
+            later = np.unpackbits(np.frombuffer(answer[int(search.bucket[own[0]])], np.uint8), count=total[-1]).astype(bool)
+            place = np.arange(total[-1]) + np.repeat(search.lo[own] - total[:-1], size)
+            piece = np.repeat(search.piece[own], size)
+            for k in np.unique(piece[later]).tolist():
+                starts[k].append(place[later & (piece == k)])
+        gone = {}
+        for data, offsets, doc, at in zip(search.data, search.offsets, search.doc, starts):
+            cut = covered(np.concatenate(at) if at else np.zeros(0, np.int64), length, len(data))
+            for d, a, b in zip(doc.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                gone[search.places[d]] = cut[a:b]
+        spans, kept = [], []
+        for k in range(len(texts)):
+            own = texts.data[texts.offsets[k] : texts.offsets[k + 1]]
+            out = gone.get(k)
+            if out is None:
+                out = gone[k] = gone[k - 1] if _equal(texts, k) else np.full(len(own), len(own) >= length)
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]]))).reshape(-1, 2)
+            spans.append([{"start": i, "end": j} for i, j in edges.tolist()])
+            kept.append(own[~out].tobytes())
+        return pa.table([pa.array(texts.doc_ids, pa.int64()), pa.array(np.diff(texts.offsets)), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
     return remove
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
     """n_bytes, the removed byte spans and the kept bytes of each row of ``docs``."""
-    texts = keyed(docs).withColumn("digest", F.sha2("text", 256))
-    rank = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "key")
-    firsts = written(texts.groupBy("digest").agg(F.min(rank)["key"].alias("first")), "firsts")
-    known = texts.join(firsts, "digest", "left").withColumn("later", F.coalesce(F.col("key") != F.col("first"), F.lit(False))).drop("digest", "first")
-    once = known.where("not later").dropDuplicates(["key"])
-    repeats = repeated(once.select("key", "text").mapInArrow(_asker(length, short, n_buckets(docs)), ASKED))
-    places = written(once.select("key", "text").join(repeats, "key").mapInArrow(_places(length, short), PLACES), "places")
-    _, step = widths(length - 2)
-
-    sample = places.where(F.col("at") % 3 != 0)
-    first = sample.join(named(sample, ["run"], "first_name"), "run").select("key", "at", "first_name")
-    # step is a multiple of 3, so a triple stays in the sample and within one remainder of step
-    line = Window.partitionBy("key", F.col("at") % step).orderBy("at")
-    further = lambda k: F.first("first_name").over(line.rangeBetween(k, k))
-    triples = written(first.select("key", "at", F.col("first_name").alias("n0"), further(step).alias("n1"), further(2 * step).alias("n2")).dropna(), "triples")
-    names = named(triples, ["n0", "n1", "n2"], "name")
-    names = triples.join(names, ["n0", "n1", "n2"]).select("key", "at", "name")
-
-    byte = lambda k: F.substring("bytes", k, 1)
-    # the name stands 0, 1 or 2 bytes into the string; the other bytes are before and after it
-    where = lambda d, rest: F.struct(F.lit(d).alias("distance"), (F.col("at") + d).alias("name_at"), rest.alias("rest"))
-    ways = [where(0, F.concat(byte(3), byte(4))), where(1, F.concat(byte(1), byte(4))), where(2, F.concat(byte(1), byte(2)))]
-    wanted = places.where("wanted").select("key", "at", F.explode(F.filter(F.array(*ways), lambda x: x["name_at"] % 3 != 0)).alias("way"))
-    keys = wanted.select("key", "at", "way.*").join(names.withColumnRenamed("at", "name_at"), ["key", "name_at"]).select("key", "at", "distance", "name", "rest")
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "key", "at").alias("place")
-    keys = written(keys.join(once.select("key", "doc_id"), "key").select("distance", "name", "rest", order), "suffixes")
-    runs = keys.groupBy("distance", "name", "rest").agg(F.min("place").alias("earliest"), F.max("place").alias("latest")).where("earliest < latest")
-    hits = keys.join(runs, ["distance", "name", "rest"]).where("place > earliest").select("place.key", "place.at")
-    hits = hits.groupBy("key").agg(F.collect_set("at").alias("hits"))
-    return known.join(hits, "key", "left").select("doc_id", "text", "hits", "later").mapInArrow(_removed(length), REMOVED)
-
+    table, buckets, size = blocks(docs)
+    many = max(buckets, -(-size // SUFFIX_BYTES))
+    rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "block", "place")
+    firsts = passing(table, None, _info(length), INFO).groupBy("digest").agg(F.min(rank).alias("first"))
+    found = written(firsts.select("first.block", F.lit(-1).alias("level"), F.col("first.place").alias("bucket"), F.lit(None).cast("binary").alias("flags")), "firsts")
+    found = found.unionAll(answers(passing(table, found, _ask(length, short, buckets), ASKED), 0))
+    sent = passing(table, found, _send(length, short, (buckets, many)), STRETCHES)
+    found = found.unionAll(written(sent.groupBy("bucket").applyInArrow(_compare(length), FOUND), "repeats"))
+    return passing(table, found, _removed(length, short, (buckets, many)), REMOVED)

@@ -2,6 +2,10 @@
 
 Texts are handled as UTF-8 bytes, a few megabytes at a time, so that memory stays bounded however long
 a batch is. A text is never cut; one longer than a chunk is a chunk of its own.
+
+Hashes are chains of multiply-and-shift steps, not polynomials: words with structure (Thue-Morse words,
+say) collide no more often than random ones. What must not collide by chance among many billions is
+told apart by two hashes of different seeds.
 """
 
 from __future__ import annotations
@@ -11,19 +15,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once.
 CHUNK = 2 << 20
 #: What `[^\x20\x09-\x0D]+` leaves out.
 SPACES = b" \t\n\x0b\x0c\r"
-
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_odd = lambda n: _rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A random number for each byte; folded() gives a letter the number of its lower case.
-BYTE = _odd(256)
-BASE, WORD_BASE = (int(x) for x in _odd(2))
-FOLDED = BYTE.copy()
-FOLDED[65:91] = BYTE[97:123]
+#: Seeds of two independent families of hashes.
+SEED, SECOND = 20240229, 977
+#: Spans up to this many bytes are hashed together, eight bytes at a time.
+TOGETHER = 64
+
+_rng = np.random.Generator(np.random.PCG64(SEED))
+#: A random number for each byte.
+BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A, _B, _C = (x | np.uint64(1) for x in _rng.integers(1 << 62, 1 << 63, 3, dtype=np.uint64))
+#: A-Z to a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
@@ -39,24 +49,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                x = np.full(size, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up[:n], self.down[:n]
-
-
-_bytes, _words = _Powers(BASE), _Powers(WORD_BASE)
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs, one step of a chain."""
+    h = b * _A
+    h += a
+    h ^= h >> np.uint64(32)
+    h *= _B
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +70,20 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(first, last) of consecutive texts with about ``size`` bytes together."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = min(n, max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1))
+        yield first, last
+        first = last
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of consecutive rows with about ``size`` bytes of text."""
     data, offsets = buffers(batch.column(column))
-    first, n = 0, batch.num_rows
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
-        last = min(last, n)
+    for first, last in pieces(offsets, size):
         yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
 
 
 class Words:
@@ -97,29 +102,44 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
 
-    def hashes(self, table: np.ndarray = BYTE) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end, table)
+    def hashes(self, folded: bool = False, seed: int = SEED) -> np.ndarray:
+        """A hash of each word; ``folded``: with A-Z as a-z."""
+        return span_hashes(LOWER[self.data] if folded else self.data, self.start, self.end, seed)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
     """A 64-bit hash of each span of bytes, the same wherever it stands."""
+    length = end - start
+    out = mixed(length.astype(np.uint64) * _C + np.uint64(seed))
     if not len(data) or not len(start):
-        return np.zeros(len(start), np.uint64)
-    up, down = _bytes.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[:-1], out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    row = np.flatnonzero((length > 0) & (length <= TOGETHER))
+    at, left = start[row], length[row]
+    while len(row):
+        out[row] = joined(eight[at] & _MASK[np.minimum(left, 8)], out[row])
+        more = left > 8
+        row, at, left = row[more], at[more] + 8, left[more] - 8
+    raw = memoryview(padded)
+    for i in np.flatnonzero(length > TOGETHER).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]], seed)
+    return mixed(out)
 
 
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``length`` word hashes (len(words) - length + 1 of them)."""
+    """A 64-bit hash of each run of ``length`` hashes (len(words) - length + 1 of them), by doubling."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _words.get(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:-1], out=total[1:])
-    return mixed((total[length:] - total[:-length]) * down[:n] + np.uint64(length))
+    h, span = words, 1
+    while 2 * span <= length:
+        h = joined(h[:-span], h[span:])
+        span *= 2
+    if span < length:
+        h = joined(h[:n], h[length - span : length - span + n])
+    return mixed(h + np.uint64(length))
 
 
 def inside(first: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -137,3 +157,30 @@ def covered(starts: np.ndarray, length: int | np.ndarray, n: int) -> np.ndarray:
     np.add.at(delta, starts, 1)
     np.add.at(delta, np.minimum(starts + length, n), -1)
     return np.cumsum(delta[:n]) > 0
+
+
+MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def sliding(x: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
+    """Smallest (or, by np.maximum, largest) value of each run of ``width`` values."""
+    n, span = len(x) - width + 1, 1
+    if n <= 0:
+        return x[:0]
+    while 2 * span <= width:
+        x = least(x[:-span], x[span:])
+        span *= 2
+    return least(x[:n], x[width - span : width - span + n])
+
+
+def anchors(hashes: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
+    """Which windows have the smallest hash of a run of ``width`` windows that starts where ``ok``."""
+    smallest = np.where(ok[: len(hashes) - width + 1], sliding(hashes, width), np.uint64(0))
+    around = np.zeros(width - 1, np.uint64)
+    return (hashes == sliding(np.concatenate([around, smallest, around]), width, np.maximum)) & (hashes > 0)
+
+
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of runs of equal values and their lengths."""
+    start = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(sorted_keys)))

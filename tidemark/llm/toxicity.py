@@ -9,7 +9,8 @@ The classifier is fitted on a bounded sample of the labelled rows: at most ``MAX
 those of the smallest hash of doc_id (all, where there are fewer), with texts of at most ``MAX_TEXT``
 bytes. Scoring covers every text whole.
 
-Labels that are null are no labels. A document with several labels is toxic if one of them is 1. Null and
+Labels that are null are no labels. A document with several labels is toxic if one of them is 1;
+of several texts with one id that of the least hash is learned from. Null and
 empty texts have no features and get the score of the intercept. Without labels of both kinds every
 score is the share of toxic labels (0 without labels). Equal rows get equal results; other columns are
 not read.
@@ -134,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text")
     usable = one.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     few = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in MAX_ROWS.items()]
-    sample = written(texts.join(F.broadcast(few[0].unionAll(few[1])), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    sample = written(texts.join(F.broadcast(few[0].unionAll(few[1])), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text"), F.xxhash64("text")).alias("row")).select("doc_id", "row.*"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
@@ -196,5 +197,5 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id) -> Column:
-    """Rows that no label is learned from: a fifth by the CRC of doc_id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Rows that no label is learned from: a fifth by the CRC of doc_id; not those without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
