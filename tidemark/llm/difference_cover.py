@@ -39,7 +39,7 @@ class Text:
 
 def named(columns: list[np.ndarray]) -> np.ndarray:
     """Ranks of rows, from 1, equal ones alike. Equal rows are gathered by a hash, so that only distinct ones are sorted."""
-    columns = [c.astype(np.uint64) for c in columns]
+    columns = [np.asarray(c, np.uint64) for c in columns]
     hashes = reduce(joined, columns)
     order = np.argsort(hashes)
     same, hashes = np.ones(max(len(order) - 1, 0), bool), hashes[order]
@@ -84,9 +84,9 @@ def suffix_order(text: Text, places: np.ndarray, depth: int) -> np.ndarray:
     name[:] = 0
     name[sample] = triples
     most = np.int64(int(triples.max()) + 1 if len(triples) else 1)
-    byte = text.bytes.astype(np.int64)
-    one = lambda at: byte[at] * most + name[at + 1]
-    two = lambda at: (byte[at] * 256 + byte[at + 1]) * most + name[at + 2]
+    byte = lambda at: text.bytes[at].astype(np.int64)
+    one = lambda at: byte(at) * most + name[at + 1]
+    two = lambda at: (byte(at) * 256 + byte(at + 1)) * most + name[at + 2]
     part = places % 3
     rest, ones, twos = (np.flatnonzero(part == k) for k in range(3))
     sampled = np.flatnonzero(part != 0)

@@ -34,7 +34,7 @@ from tidemark.llm.textarrays import BYTE, MOST, anchors, covered, inside, pieces
 
 LENGTH = 100
 #: Bytes of the windows that step 2 looks up, and bytes of text whose stretches make a bucket of step 4.
-SHORT, SUFFIX_BYTES = 40, 8 << 20
+SHORT, SUFFIX_BYTES = 40, 4 << 20
 
 INFO = "block int, place int, doc_id long, digest binary"
 STRETCHES = "block int, bucket int, sizes binary, orders binary, packed binary"
