@@ -57,16 +57,21 @@ def rolling_corr(a: str, b: str, n: int) -> Column:
     return F.when(F.count(both).over(last_rows(n)) == n, safe_corr(a, b, last_rows(n)))
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], adjust: tuple[str, ...] = ()) -> DataFrame:
+def ewm(df: DataFrame, columns: dict[str, tuple[str | tuple[str, str], float]], adjust: tuple[str, ...] = ()) -> DataFrame:
     """Adds exponentially weighted means: name -> (column, alpha). The recurrence y + alpha (x - y) starts at the first value.
 
+    For a pair of columns, which may be means made before, the mean is of their difference.
+
     A recurrence is no window aggregate; a task runs it over one asset's series in one pass.
     """
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{n}` double" for n in columns)])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts", kind="stable")
-        return rows.assign(**{n: rows[x].ewm(alpha=a, adjust=n in adjust).mean() for n, (x, a) in columns.items()})
+        for name, (x, alpha) in columns.items():
+            values = rows[x] if isinstance(x, str) else rows[x[0]] - rows[x[1]]
+            rows[name] = values.ewm(alpha=alpha, adjust=name in adjust).mean()
+        return rows
 
     return df.groupBy("asset").applyInPandas(run, schema)
 

@@ -10,13 +10,15 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, skip_nulls: bo
     """``left`` with the latest ``value`` of ``right`` (key, ts, value) at or before each row's ts, of the same key.
 
     skip_nulls: the latest that is not null; else the latest row, null or not. Rows of ``left`` stay as often as they came.
+    The distinct days of a key are aligned first (their number is bounded by the calendar), so that a key of
+    many rows is no large window; the values are joined by key and day.
     """
-    kept = left.columns
-    both = left.withColumns({"_right": F.lit(1), value: F.lit(None).cast(right.schema[value].dataType), "_any": F.lit(None).cast("struct<v:double>")})
-    other = right.select(key, "ts", value, F.lit(0).alias("_right"), F.struct(F.col(value).cast("double").alias("v")).alias("_any"))
+    days = left.select(key, "ts").distinct().withColumns({"_right": F.lit(1), "_value": F.lit(None).cast(right.schema[value].dataType), "_any": F.lit(None).cast("struct<v:double>")})
+    other = right.select(key, "ts", F.lit(0).alias("_right"), F.col(value).alias("_value"), F.struct(F.col(value).cast("double").alias("v")).alias("_any"))
     w = Window.partitionBy(key).orderBy("ts", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(value, ignorenulls=True).over(w) if skip_nulls else F.last("_any", ignorenulls=True).over(w)["v"]
-    return both.unionByName(other, allowMissingColumns=True).withColumn("_found", found).where("_right = 1").select(*kept, F.col("_found").alias(value))
+    found = F.last("_value", ignorenulls=True).over(w) if skip_nulls else F.last("_any", ignorenulls=True).over(w)["v"]
+    known = days.unionByName(other).withColumn(value, found).where("_right = 1").select(key, "ts", value)
+    return left.join(known, [key, "ts"], "left").select(*left.columns, value)
 
 
 def event_distance(days: DataFrame, events: list[str]) -> DataFrame:

@@ -42,9 +42,8 @@ def moving_averages(bars: DataFrame) -> DataFrame:
     """rsi_14, rsi_28 (Wilder; null without losses), macd, macd_signal, macd_hist, ema_{9,21,50,200} and their crosses."""
     move = F.col("close") - lag("close")
     step = bars.withColumns({"_gain": F.greatest(move, F.lit(0.0)), "_loss": F.greatest(-move, F.lit(0.0))}).withColumns({c: F.when(lag("close").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
-    means = {f"_g{n}": ("_gain", 1 / n) for n in (14, 28)} | {f"_l{n}": ("_loss", 1 / n) for n in (14, 28)} | {f"ema_{n}": ("close", span(n)) for n in (9, 12, 21, 26, 50, 200)}
+    means = {f"_g{n}": ("_gain", 1 / n) for n in (14, 28)} | {f"_l{n}": ("_loss", 1 / n) for n in (14, 28)} | {f"ema_{n}": ("close", span(n)) for n in (9, 12, 21, 26, 50, 200)} | {"macd_signal": (("ema_12", "ema_26"), span(9))}
     done = ewm(step, means).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
-    done = ewm(done, {"macd_signal": ("macd", span(9))})
     rsi = {f"rsi_{n}": 100 - 100 / (1 + F.col(f"_g{n}") / F.nullif(F.col(f"_l{n}"), F.lit(0.0))) for n in (14, 28)}
     done = done.withColumns(rsi | {"macd_hist": F.col("macd") - F.col("macd_signal"), "ema_9_21_cross": flag(F.col("ema_9") > F.col("ema_21")), "ema_21_50_cross": flag(F.col("ema_21") > F.col("ema_50"))})
     return done.drop("_gain", "_loss", *(f"_{k}{n}" for k in "gl" for n in (14, 28)), "ema_12", "ema_26")
