@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from tidemark.llm.shared import n_partitions, new_path, written
 from tidemark.llm.textarrays import chunks
 
-#: Bytes of text of a block, and bytes of text whose items make a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+#: Most and least bytes of text of a block (where partitions would go without), bytes of text whose items make a bucket, and least buckets.
+BLOCK_BYTES, LEAST_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 1 << 20, 128 << 20, 32
 
 ASKED = "block int, bucket int, hashes binary, others binary"
 ANSWER = "block int, level int, bucket int, flags binary"
@@ -64,14 +64,14 @@ def blocks(docs: DataFrame, whole: bool = False) -> Blocks:
     """
     spark, n = docs.sparkSession, n_partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(2 * n, -(-size // BLOCK_BYTES))
+    count = max(1, -(-size // BLOCK_BYTES), min(2 * n, -(-size // LEAST_BYTES)))
     row = [F.struct([F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if whole else []
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
     schema = T.StructType([f for f in dealt.schema if f.name != "text"]).add("packed", "binary")
     name = new_path(spark, "blocks")
     table = "tidemark_" + name.rsplit("-", 1)[1]
     dealt.mapInArrow(_pack, schema).repartition(n, "block").write.option("path", name).option("compression", "none").bucketBy(n, "block").saveAsTable(table)
-    return Blocks(spark.table(table), max(2 * n, -(-size // BUCKET_BYTES)), size)
+    return Blocks(spark.table(table), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), size)
 
 
 class Texts:

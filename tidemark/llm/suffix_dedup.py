@@ -34,7 +34,7 @@ from tidemark.llm.textarrays import BYTE, MOST, anchors, covered, inside, pieces
 
 LENGTH = 100
 #: Bytes of the windows that step 2 looks up, and bytes of text whose stretches make a bucket of step 4.
-SHORT, SUFFIX_BYTES = 40, 4 << 20
+SHORT, SUFFIX_BYTES = 40, 16 << 20
 
 INFO = "block int, place int, doc_id long, digest binary"
 STRETCHES = "block int, bucket int, sizes binary, orders binary, packed binary"
@@ -213,7 +213,7 @@ def _removed(length: int, short: int, buckets: tuple[int, int]):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
     """n_bytes, the removed byte spans and the kept bytes of each row of ``docs``."""
     table, buckets, size = blocks(docs)
-    many = max(buckets, -(-size // SUFFIX_BYTES))
+    many = max(2 * buckets, -(-size // SUFFIX_BYTES))
     rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "block", "place")
     firsts = passing(table, None, _info(length), INFO).groupBy("digest").agg(F.min(rank).alias("first"))
     found = written(firsts.select("first.block", F.lit(-1).alias("level"), F.col("first.place").alias("bucket"), F.lit(None).cast("binary").alias("flags")), "firsts")
