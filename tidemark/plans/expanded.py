@@ -160,7 +160,8 @@ def _query(make, exact, names):
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = expanded.sequences(bars(spark, sf_dir), ["close", "volume"], 20)
     total = F.aggregate("steps", F.lit(0.0), lambda n, x: n + x[0])
-    return rounded(made.select("asset", "ts", total.alias("sum_close"), F.element_at("steps", 1)[1].alias(X
+    return rounded(made.select("asset", "ts", total.alias("sum_close"), F.element_at("steps", 1)[1].alias("first_volume"), "target"), [*KEY, "target"], ["sum_close", "first_volume"])
+
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that the whole set keeps, by asset."""
