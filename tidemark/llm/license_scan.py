@@ -1,10 +1,11 @@
 """License detection by ordered signature rules.
 
-A rule is (priority, label, confidence, keywords, regex). Several hundred come from hand-written
-sentence patterns for each license family in ``FAMILIES``. A rule's regex runs only over texts that
-hold one of its keywords and, in a family, one of its names: without both it cannot match. A blank in a
-name, sentence or body also stands for a line break with the comment marks around it. Matches of all rules are resolved in order of priority: a match whose
-interval lies inside the interval of an earlier accepted one is dropped.
+A rule is (priority, label, confidence, keywords, regex). Over a hundred are sentences of license bodies and
+notices (``BODIES``), each written by hand; the others combine the names and versions of each family in
+``FAMILIES`` with the sentences that name a license. A rule's regex runs only over texts that hold one of its
+keywords and, in a family, one of its names: without both it cannot match. A blank in a name, sentence or
+body also stands for a line break with the comment marks around it. Matches of all rules are resolved in
+order of priority: a match whose interval lies inside that of an accepted one, or around one, is dropped.
 
 Base phrases (whole words, lower case) are counted beside the rules and always give their label.
 
@@ -15,6 +16,7 @@ columns than ``doc_id`` and ``text`` are not read. Without rows the result is em
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -78,18 +80,115 @@ SENTENCES = (
     (30, 0.93, r"(?:copy of|see) the ", ""),
     (40, 0.90, r"licen[cs]e\s*[:=]\s*(?:the )?[\"']?", ""),
 )
-#: License bodies: label, confidence, keyword, a sentence that only this text has.
+#: License bodies and notices: label, confidence, keyword, a sentence that only these texts have.
+Q = "[\"'\u201c\u201d\u2018\u2019]{0,2}"
 BODIES = (
     ("mit", 0.95, "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("isc", 0.95, "permission", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"),
+    ("mit", 0.90, "sublicense", r"to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software"),
+    ("mit", 0.80, "substantial", r"(?:this|the above copyright notice and this) permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 0.75, "warranty", rf"the software is provided {Q}as is{Q}, without warranty of any kind, express or implied"),
+    ("mit-0", 0.85, "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the .{0,2}software.{0,2}\), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so\. the software"),
+    ("isc", 0.95, "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee"),
+    ("isc", 0.85, "disclaims", rf"the software is provided {Q}as is{Q} and (?:the author|isc) disclaims all warranties"),
+    ("0bsd", 0.90, "permission", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\. the software"),
     ("bsd", 0.90, "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", 0.85, "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", 0.85, "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", 0.80, "warranties", rf"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? {Q}as is{Q} and any express or implied warranties"),
     ("bsd-3-clause", 0.95, "endorse", r"neither the name of [\s\S]{1,160}? nor the names of its contributors may be used to endorse or promote"),
-    ("zlib", 0.93, "altered", r"altered source versions must be plainly marked as such"),
+    ("bsd-4-clause", 0.95, "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3-clause-clear", 0.90, "patent", r"no express or implied licenses to any party's patent rights are granted by this license"),
+    ("apache-2.0", 0.95, "applicable", rf"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an {Q}as is{Q} basis"),
+    ("apache-2.0", 0.95, "compliance", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", 0.95, "apache.org", r"www\.apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", 0.98, "january", r"apache license version 2\.0, january 2004"),
+    ("apache-2.0", 0.85, "perpetual", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"),
+    ("apache-1.1", 0.90, "foundation", r"this product includes software developed by the apache software foundation"),
     ("gpl", 0.92, "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl", 0.85, "received", r"you should have received a copy of the gnu general public licen[cs]e along with"),
+    ("gpl", 0.80, "merchantability", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public licen[cs]e"),
+    ("gpl-1.0", 0.97, "february", r"gnu general public licen[cs]e version 1, february 1989"),
+    ("gpl-2.0", 0.98, "june", r"gnu general public licen[cs]e version 2, june 1991"),
+    ("gpl-3.0", 0.98, "june", r"gnu general public licen[cs]e version 3, 29 june 2007"),
+    ("gpl-2.0", 0.90, "option", r"either version 2 of the licen[cs]e, or \(at your option\) any later version"),
+    ("gpl-3.0", 0.90, "option", r"either version 3 of the licen[cs]e, or \(at your option\) any later version"),
+    ("gpl-3.0", 0.85, "copyleft", r"the gnu general public licen[cs]e is a free, copyleft license for software and other kinds of works"),
+    ("gpl-2.0", 0.85, "take", r"the licenses for most software are designed to take away your freedom to share and change it\. by contrast, the gnu general public"),
+    ("gpl-2.0", 0.80, "linking", r"linking [\s\S]{1,80}? statically or dynamically with other modules is making a combined work"),
+    ("lgpl", 0.92, "lesser", r"you can redistribute it and/or modify it under the terms of the gnu lesser general public licen[cs]e"),
+    ("lgpl-2.0", 0.92, "library", r"you can redistribute it and/or modify it under the terms of the gnu library general public licen[cs]e"),
+    ("lgpl-2.0", 0.98, "june", r"gnu library general public licen[cs]e version 2, june 1991"),
+    ("lgpl-2.1", 0.98, "february", r"gnu lesser general public licen[cs]e version 2\.1, february 1999"),
+    ("lgpl-3.0", 0.98, "june", r"gnu lesser general public licen[cs]e version 3, 29 june 2007"),
+    ("lgpl-3.0", 0.85, "incorporates", r"this version of the gnu lesser general public licen[cs]e incorporates the terms and conditions of version 3"),
+    ("agpl", 0.92, "affero", r"you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("agpl-3.0", 0.98, "november", r"gnu affero general public licen[cs]e version 3, 19 november 2007"),
+    ("agpl-3.0", 0.85, "remotely", r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", 0.90, "invariant", r"with no invariant sections, (?:with )?no front-cover texts,? and (?:with )?no back-cover texts"),
+    ("gfdl-1.3", 0.97, "november", r"gnu free documentation licen[cs]e version 1\.3, 3 november 2008"),
+    ("gfdl-1.2", 0.97, "november", r"gnu free documentation licen[cs]e version 1\.2, november 2002"),
+    ("mpl-2.0", 0.97, "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. 2\.0"),
+    ("mpl-1.1", 0.95, "mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1"),
+    ("mpl-2.0", 0.85, "incompatible", rf"this source code form is {Q}incompatible with secondary licenses{Q}"),
+    ("mpl", 0.80, "mozilla.org", r"you can obtain one at https?://(?:www\.)?mozilla\.org/mpl"),
+    ("epl-1.0", 0.95, "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1\.0"),
+    ("epl-2.0", 0.95, "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v\. )?2\.0"),
+    ("epl", 0.85, "accompanying", rf"accompanying program is provided under the terms of this eclipse public licen[cs]e \({Q}agreement{Q}\)"),
+    ("cpl-1.0", 0.90, "common", rf"the accompanying program is provided under the terms of this common public licen[cs]e \({Q}agreement{Q}\)"),
+    ("cddl-1.0", 0.92, "development", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("bsl-1.0", 0.97, "organization", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsl-1.0", 0.90, "machine-executable", r"solely in the form of machine-executable object code generated by a source language processor"),
+    ("busl-1.1", 0.85, "production", r"make non-production use of the licensed work"),
+    ("artistic", 0.85, "artistic", r"the intent of this document is to state the conditions under which a package may be copied, such that the copyright holder maintains some semblance of artistic control"),
+    ("artistic-2.0", 0.90, "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed\. preamble this license establishes the terms under which a given free software package may be copied"),
+    ("psf-2", 0.92, "psf", rf"psf is making python available to licensee on an {Q}as is{Q} basis"),
+    ("psf-2", 0.90, "python", r"this license agreement is between the python software foundation"),
+    ("zlib", 0.93, "altered", r"altered source versions must be plainly marked as such"),
+    ("zlib", 0.88, "warranty", rf"this software is provided {Q}as-is{Q}, without any express or implied warranty\. in no event will the authors be held liable"),
+    ("zlib", 0.85, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("libpng", 0.88, "reference", r"the png reference library is supplied"),
     ("unlicense", 0.95, "unencumbered", r"free and unencumbered software released into the public domain"),
+    ("unlicense", 0.90, "dedication", r"we make this dedication for the benefit of the public at large and to the detriment of our heirs"),
+    ("wtfpl", 0.95, "fuck", r"you just do what the fuck you want to"),
+    ("cc0-1.0", 0.95, "waived", r"to the extent possible under law, [\s\S]{1,120}? has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", 0.95, "universal", r"cc0 1\.0 universal"),
+    ("cc-by-4.0", 0.92, "commons", r"this work is licensed under (?:a|the) creative commons attribution 4\.0 international license"),
+    ("cc-by-sa-4.0", 0.92, "commons", r"this work is licensed under (?:a|the) creative commons attribution-sharealike 4\.0 international license"),
+    ("cc-by-nc-4.0", 0.92, "commons", r"this work is licensed under (?:a|the) creative commons attribution-noncommercial 4\.0 international license"),
+    ("cc-by", 0.85, "creativecommons.org", r"creativecommons\.org/licenses/by/[0-9.]+"),
+    ("cc-by-sa", 0.85, "creativecommons.org", r"creativecommons\.org/licenses/by-sa/[0-9.]+"),
+    ("cc-by-nc", 0.85, "creativecommons.org", r"creativecommons\.org/licenses/by-nc/[0-9.]+"),
+    ("cc-by-nd", 0.85, "creativecommons.org", r"creativecommons\.org/licenses/by-nd/[0-9.]+"),
+    ("cc-by-nc-sa", 0.85, "creativecommons.org", r"creativecommons\.org/licenses/by-nc-sa/[0-9.]+"),
+    ("cc-by-nc-nd", 0.85, "creativecommons.org", r"creativecommons\.org/licenses/by-nc-nd/[0-9.]+"),
+    ("cc0-1.0", 0.85, "creativecommons.org", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    ("ofl-1.1", 0.95, "font", r"this font software is licensed under the sil open font licen[cs]e, version 1\.1"),
+    ("ofl-1.1", 0.90, "font", r"the fonts, including any derivative works, can be bundled, embedded, redistributed and/or sold with any software"),
+    ("openssl", 0.92, "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", 0.90, "cryptographic", r"this product includes cryptographic software written by eric young"),
+    ("ms-pl", 0.90, "governs", r"this license governs use of the accompanying software\. if you use the software, you accept this license"),
+    ("ncsa", 0.88, "illinois", r"university of illinois/ncsa open source licen[cs]e"),
+    ("w3c", 0.90, "w3c", r"w3c software (?:notice and|and document) (?:license|notice)"),
+    ("x11", 0.85, "consortium", r"the name of the x consortium shall not be used in advertising or otherwise to promote"),
+    ("hpnd", 0.85, "permission", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose"),
+    ("curl", 0.88, "permission", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("postgresql", 0.88, "california", r"in no event shall the university of california be liable to any party for direct, indirect, special, incidental, or consequential damages"),
+    ("ruby", 0.85, "verbatim", r"you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("vim", 0.85, "vim", r"there are no restrictions on distributing unmodified copies of vim"),
+    ("icu", 0.85, "icu", r"icu 1\.8\.1 and later"),
+    ("unicode", 0.88, "unicode", r"unicode license v3"),
+    ("json", 0.92, "evil", r"the software shall be used for good, not evil"),
+    ("beerware", 0.92, "beer", r"you can buy me a beer in return"),
+    ("sspl-1.0", 0.92, "server", r"server side public licen[cs]e version 1, october 16, 2018"),
+    ("elastic-2.0", 0.92, "elastic", r"elastic licen[cs]e 2\.0"),
+    ("commons-clause", 0.90, "clause", r"commons clause.{0,3} license condition"),
+    ("llama", 0.85, "llama", r"llama [0-9.]+ community licen[cs]e agreement"),
+    ("openrail", 0.85, "rail", r"(?:creativeml|bigscience|bigcode)(?: |-)open ?rail"),
     ("public-domain", 0.80, "domain", r"(?:is|placed|released) (?:in|into|to) the public domain"),
     ("proprietary", 0.70, "reserved", r"all rights reserved"),
     ("proprietary", 0.75, "confidential", r"proprietary and confidential"),
+    ("proprietary", 0.85, "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|program|document),? (?:via any medium )?is (?:strictly )?prohibited"),
+    ("proprietary", 0.80, "permission", r"may not be (?:reproduced|copied|distributed)[\s\S]{0,60}? without (?:the )?(?:prior )?(?:express )?written permission"),
 )
 
 
@@ -169,14 +268,24 @@ def open_rules(lowered: str) -> set[int]:
 
 
 def detect(lowered: str, numbers: set[int]) -> list[Detection]:
-    """Accepted matches of these rules in a lower-cased text, by start."""
+    """Accepted matches of these rules in a lower-cased text, by start.
+
+    No accepted match holds another, so their ends ascend like their starts and two looks by bisection tell
+    whether a match lies in an accepted one or around one.
+    """
     accepted: list[Detection] = []
     for k in sorted(numbers):  # the order of rules() is that of priority
-        rule = rules()[k]
+        rule, starts = rules()[k], [d.start for d in accepted]
+        new = []
         for m in rule.pattern.finditer(lowered):
-            if not any(d.start <= m.start() and m.end() <= d.end for d in accepted):
-                accepted.append(Detection(m.start(), m.end(), rule.label, rule.confidence))
-    return sorted(accepted)
+            before, after = bisect_right(starts, m.start()) - 1, bisect_left(starts, m.start())
+            inside = before >= 0 and accepted[before].end >= m.end()
+            around = after < len(accepted) and accepted[after].end <= m.end()
+            if not (inside or around):
+                new.append(Detection(m.start(), m.end(), rule.label, rule.confidence))
+        if new:
+            accepted = sorted(accepted + new)
+    return accepted
 
 
 #: Lower-cases A-Z; all other ASCII but digits and letters becomes a space.
