@@ -398,3 +398,40 @@ def test_pipeline_decontaminates_rows_with_null_and_shared_ids(spark):
     rows = [(None, f"see {item} here"), (None, "clean"), (7, f"{item}"), (7, "clean too"), (8, None)]
     got = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR)
     same([tuple(r) for r in got.collect()], [(None, "clean"), (7, "clean too"), (8, None)])
+
+
+def test_licenses_contained_either_way():
+    got = license_scan.scan_text(b"SPDX-License-Identifier: MIT License. All rights reserved.")[7]
+    assert [(d["label"]) for d in got] == ["mit", "proprietary"]  # the bare name inside the sentence is dropped
+
+
+def test_licenses_of_many_matches_stay_linear():
+    import time
+
+    took = []
+    for n in (4000, 32000):
+        begun = time.perf_counter()
+        assert len(license_scan.scan_text(b"all rights reserved. " * n)[7]) == n
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_novelty_has_few_errors_of_either_kind():
+    import base64
+    import random
+    import string
+
+    rng, novelty, words = random.Random(5), secret_scan.Novelty(), []
+    for line in open(secret_scan.VOCABULARY, "rb"):
+        token = base64.b64decode(line.split()[0])
+        if re.fullmatch(rb" [a-z]{4,10}", token):
+            words.append(token.strip().decode())
+    inside = lambda x: bool(novelty.spans(f'def connect(host):\n    token = load("{x}") and more\n    return client'))
+    plain = ["".join(w.capitalize() for w in rng.sample(words[:8000], 3)) for _ in range(300)] + ["_".join(rng.sample(words[:8000], 2)) for _ in range(300)]
+    short, long = [x for x in plain if 12 <= len(x) < 20], [x for x in plain if len(x) >= 20]
+    assert sum(map(inside, short)) <= 0.15 * len(short) and sum(map(inside, long)) <= 0.05 * len(long)
+    for kind in (string.ascii_letters + string.digits, "0123456789ABCDEF", string.ascii_lowercase + string.digits):
+        for length in (16, 24, 40):
+            assert sum(inside("".join(rng.choices(kind, k=length))) for _ in range(100)) >= 90, (kind, length)
+    for word in ("internationalization", "documentation-reference", "responsibilities", "getUserAuthenticationToken", "ResourceNotFoundException"):
+        assert not inside(word), word
