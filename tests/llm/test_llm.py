@@ -435,3 +435,132 @@ def test_novelty_has_few_errors_of_either_kind():
             assert sum(inside("".join(rng.choices(kind, k=length))) for _ in range(100)) >= 90, (kind, length)
     for word in ("internationalization", "documentation-reference", "responsibilities", "getUserAuthenticationToken", "ResourceNotFoundException"):
         assert not inside(word), word
+
+
+def thue_morse(n, a, b):
+    """A word of n letters and its complement; polynomial hashes modulo powers of two take them for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 8192])
+def test_structured_texts_are_told_apart(spark, n):
+    s, t = thue_morse(n, "a", "b")
+    u, v = thue_morse(n, "x ", "y ")
+    pair = spark.createDataFrame([(1, f"x {s} z"), (2, f"x {t} z"), (3, u), (4, v)], "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(pair).collect()}
+    assert groups[1] == 1 and groups[2] == 2
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(sentencepiece_codec.encode(pair)).collect()}
+    assert back == {1: f"x {s} z", 2: f"x {t} z", 3: u, 4: v}
+    lines = spark.createDataFrame([(1, f"{s}\n{t}\n{s}")], "doc_id long, text string")
+    assert quality_rules.quality_rules(lines).first().n_dup_lines == 1
+    padded = " ".join(f"w{i}" for i in range(34))
+    words = spark.createDataFrame([(1, f"{padded} {s}"), (2, f"{padded} {t}")], "doc_id long, text string")
+    assert substring_dedup.substring_dedup(words).agg({"removed": "count"}).first()[0] == 2
+    assert all(r.removed == [] for r in substring_dedup.substring_dedup(words).collect())
+
+
+@pytest.mark.parametrize("size", [20, 300, 3000])
+def test_trees_prune_nodes_of_unlike_sets(size):
+    import numpy as np
+
+    from tidemark.llm import signature_tree
+
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(400)]
+    sets += [np.unique(np.append(s[: size - max(1, size // 20)], rng.integers(0, 1 << 63, 1, dtype=np.uint64))) for s in sets[:40]]
+    seen = {}
+    found = signature_tree.links(sets, np.arange(len(sets)), 75, seen)
+    assert {tuple(sorted(p)) for p in found} == {(i, i + 400) for i in range(40)}
+    looked, left = seen[1]
+    assert left < 0.1 * looked and seen[0][0] < 0.1 * len(sets) ** 2 / 2  # most pairs of inner nodes are pruned
+
+
+def test_fewer_candidates_survive_each_doubling(real):
+    from tidemark.llm import blocks
+
+    sizes, texts = substring_dedup.lengths(35), []
+    assert sizes == [5, 9, 18, 35]
+    table, buckets, _ = blocks.blocks(real)
+    found, asked = None, []
+    for level in range(len(sizes)):
+        questions = blocks.passing(table, found, substring_dedup._asker(level, sizes, buckets), blocks.ASKED)
+        asked.append(sum(len(r.hashes) // (16 if level == 3 else 4) for r in questions.collect()))
+        known = blocks.answers(questions, level, wide=level == 3)
+        found = known if found is None else found.unionAll(known)
+    n_words = sum(len(spaced(t)) for _, t in texts or [(0, r.text or "") for r in real.collect()])
+    assert asked[0] < n_words / 8 and asked[3] < n_words  # one window of each candidate at first, and fewer candidates later
+
+
+def test_viterbi_finds_the_best_score():
+    import random
+
+    codec = sentencepiece_codec.Codec(open(sentencepiece_codec.MODEL, "rb").read())
+    score = {p: (s, i) for p, (_, s, i) in ((p, v) for p, v in codec.machine.items())}
+    rng = random.Random(7)
+    for _ in range(200):
+        unit = " " + "".join(rng.choices("theranigsoüé", k=rng.randint(1, 9)))
+        text = unit.replace(" ", sentencepiece_codec.MARK)
+        best = [0.0] + [-math.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            for begin in range(end):
+                if text[begin:end] in score:
+                    best[end] = max(best[end], best[begin] + score[text[begin:end]][0])
+        if math.isfinite(best[-1]):
+            by_id = {i: s for s, i in score.values()}
+            assert math.isclose(sum(by_id[i] for i in codec.encode_unit(unit)), best[-1], abs_tol=1e-6), unit
+
+
+def test_decontamination_of_awkward_rows(spark, docs):
+    items = spark.createDataFrame([(None, "one two three"), (1, ""), (2, None), (3, "w0 w2916 w829"), (None, "zzz zzz")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, r["items"]) for r in decontamination.decontamination(docs, items).collect()}
+    assert got[None] == (3, 1, True, []) and got[1] == (0, 0, False, []) and got[2] == (0, 0, False, [])
+    kept = decontamination.decontaminated(docs, items)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 0 and kept.count() == docs.count() - sum(c for _, _, c, _ in [got[r.doc_id] for r in docs.select("doc_id").collect()])
+
+
+def test_toxicity_of_rows_that_share_ids(spark):
+    rows = [(i, f"you awful nasty thing number {i}" if i % 2 else f"a calm and pleasant day {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    both = rows + [(1, "a calm and pleasant day of another text"), (None, "you awful nasty thing")]
+    model = toxicity.train(spark.createDataFrame(both, "doc_id long, text string"), labels)
+    again = toxicity.train(spark.createDataFrame(both[::-1], "doc_id long, text string").repartition(3), labels)
+    assert model.intercept == again.intercept and (model.weights == again.weights).all()
+    assert toxicity.toxicity(spark.createDataFrame(both, "doc_id long, text string").limit(0), model).count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    copy = " ".join(f"a{i}" for i in range(60))
+    near = copy + " end"
+    rows = [(5, copy), (None, copy), (5, copy), (9, near), (None, near), (2, " ".join(f"b{i}" for i in range(60))), (3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, block int")
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, DIR)
+    assert got.columns == docs.columns
+    same([(r.doc_id, r.text) for r in got.collect()], [(5, copy), (2, rows[5][1]), (3, None), (4, ""), (None, None)])
+
+
+def test_pipeline_stages_of_awkward_and_empty_tables(spark, docs):
+    import corpus_pipeline
+
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, table, DIR)
+            assert got.columns == docs.columns and got.count() <= table.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, table, DIR).where("not exact").count() == 0
+
+
+def test_toxicity_scores_equal_a_plain_scorer(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    weights = np.where(rng.random(1 << toxicity.BITS) < 0.3, rng.normal(0, 0.05, 1 << toxicity.BITS), 0).astype(np.float32)
+    rows = [(1, "You AWFUL nasty thing"), (2, ""), (3, None), (4, "é" * 30), (5, "abcabcabcabc"), (6, "x")]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), toxicity.Model(weights, -0.2)).collect()}
+    for i, text in rows:
+        raw, buckets = np.frombuffer((text or "").encode(), np.uint8), set()
+        for n in toxicity.ORDERS:
+            for k in range(len(raw) - n + 1):
+                buckets.add(int(dict(toxicity.ngrams(raw[k : k + n]))[n][0]))
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(-0.2 + sum(float(weights[b]) for b in buckets)))), rel_tol=1e-5), i
