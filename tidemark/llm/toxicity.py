@@ -36,6 +36,8 @@ MAX_ROWS, MAX_TEXT = {0: 3000, 1: 1500}, 16 << 10
 #: Least document count and least z of a feature that is kept; smoothing of counts; L2 penalty.
 MIN_DOCS, MIN_Z, SMOOTHING, PENALTY = 3, 3.2, 0.5, 0.5
 STEPS = 300
+#: Texts whose features the driver unpacks at once when it fits.
+BLOCK = 256
 
 CODE = np.full(256, 32, np.uint32)
 CODE[128:] = np.arange(128, 256)
@@ -82,24 +84,43 @@ def log_count_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -
     return Scale(ratio, (pos + neg >= MIN_DOCS) & (np.abs(ratio) >= MIN_Z * error))
 
 
+class Block(NamedTuple):
+    """Some texts' kept features one after the other, and where each text begins."""
+
+    columns: np.ndarray
+    start: np.ndarray
+    row: np.ndarray
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each text the sum of x over its features."""
+        total = np.concatenate([[0.0], np.cumsum(x[self.columns])])
+        return np.diff(total[self.start])
+
+
 def fit(scale: Scale, rows: list[tuple[int, np.ndarray]]) -> Model:
-    """From (label, distinct kept buckets) of the sample, which has both labels."""
+    """From (label, distinct kept buckets) of the sample, which has both labels; the list is used up, a block of texts at a time is unpacked."""
     weights = np.zeros(1 << BITS, np.float32)
     labels = np.array([y for y, _ in rows], float)
     n_pos, n_neg = labels.sum(), (1 - labels).sum()
-    place = np.cumsum(scale.kept) - 1
+    place = (np.cumsum(scale.kept) - 1).astype(np.int32)
     k = int(scale.kept.sum())
-    columns = [place[b] for _, b in rows]
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
-    column = np.concatenate(columns)
+    blocks, rows = [], rows[::-1]
+    while rows:
+        some = [place[rows.pop()[1]] for _ in range(min(BLOCK, len(rows)))]
+        start = np.concatenate([[0], np.cumsum([len(c) for c in some])])
+        blocks.append(Block(np.concatenate(some), start, np.repeat(np.arange(len(some), dtype=np.int16), np.diff(start))))
     factor = scale.ratio[scale.kept]
     balance = np.where(labels == 1, 0.5 / n_pos, 0.5 / n_neg)
     w, b = np.zeros(k), 0.0
     m1, m2 = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, STEPS + 1):  # Adam; the problem is convex and small
-        z = b + np.bincount(row, (w * factor)[column], len(rows))
+        z = b + np.concatenate([block.sums(w * factor) for block in blocks])
         g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        gradient = np.append(np.bincount(column, g[row], k) * factor + PENALTY / len(rows) * w, g.sum())
+        slope, first = np.zeros(k), 0
+        for block in blocks:
+            slope += np.bincount(block.columns, g[first : first + len(block.start) - 1][block.row], k)
+            first += len(block.start) - 1
+        gradient = np.append(slope * factor + PENALTY / len(labels) * w, g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * gradient, 0.99 * m2 + 0.01 * gradient**2
         step = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
