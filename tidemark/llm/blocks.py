@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.shared import n_partitions, new_path, written
-from tidemark.llm.textarrays import chunks
+from tidemark.llm.textarrays import chunks, mixed
 
 #: Most and least bytes of text of a block (where partitions would go without), bytes of text whose items make a bucket, and least buckets.
 BLOCK_BYTES, LEAST_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 1 << 20, 128 << 20, 32
@@ -121,6 +121,7 @@ class Items:
     """The distinct items of a block, in order, of hashes (and second hashes, where it takes 128 bits)."""
 
     def __init__(self, hashes: np.ndarray, second: np.ndarray | None = None):
+        hashes = mixed(hashes)  # items that were chosen as the smallest hashes spread over all buckets again
         self.order = np.argsort(hashes, kind="stable") if second is None else np.lexsort((second, hashes))
         h = hashes[self.order]
         new = np.ones(len(h), bool)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.blocks import ASKED, Items, Texts, answers, asked, blocks, bucket_of, flagged, passing
 from tidemark.llm.difference_cover import Text, later_repeats
 from tidemark.llm.shared import written
-from tidemark.llm.textarrays import BYTE, MOST, anchors, covered, inside, pieces, sliding, window_hashes
+from tidemark.llm.textarrays import BYTE, MOST, anchors, covered, inside, mixed, pieces, sliding, window_hashes
 
 LENGTH = 100
 #: Bytes of the windows that step 2 looks up, and bytes of text whose stretches make a bucket of step 4.
@@ -103,7 +103,7 @@ class Search:
             parts.append((np.full(len(lo), k), lo, hi, windows[anchor[start]], whole[lo], whole[hi]))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3)
         self.piece, self.lo, self.hi, hashes, a, b = (np.concatenate(c) for c in zip(*parts)) if parts else empty
-        self.bucket = bucket_of(hashes, buckets[1])
+        self.bucket = bucket_of(mixed(hashes), buckets[1])  # the smallest hashes spread over all buckets again
         # equal stretches: as many places, the same first and last string and window
         order = np.lexsort((np.arange(len(a)), self.hi - self.lo, b, a, hashes))
         new = np.ones(len(order), bool)
@@ -113,6 +113,24 @@ class Search:
         self.first = np.zeros(len(order), bool)
         self.first[order[new]] = True
 
+    def begin(self) -> np.ndarray:
+        """First bytes of the stretches in all pieces together."""
+        before = np.cumsum([0, *(len(d) for d in self.data)])
+        return self.lo + before[self.piece]
+
+    def orders(self) -> np.ndarray:
+        """The ``ORDER`` of each stretch."""
+        ids = [self.texts.doc_ids[k] for k in self.places]
+        known, values = np.array([i is not None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64)
+        digests = np.array([int.from_bytes(self.texts.digests[k][:8], "big") for k in self.places], np.uint64)
+        starts = np.cumsum([0, *(int(o[-1] - o[0]) for o in self.offsets)])
+        first = np.concatenate([o[:-1] + s for o, s in zip(self.offsets, starts)]) if self.offsets else np.zeros(0, np.int64)
+        begin = self.begin()
+        doc = np.searchsorted(first, begin, "right") - 1
+        order = np.zeros(len(begin), ORDER)
+        order["known"], order["doc_id"], order["digest"], order["start"] = known[doc], values[doc], digests[doc], begin - first[doc]
+        return order
+
     def sent(self) -> np.ndarray:
         """Numbers of the stretches that are sent, by bucket and then in order."""
         one = np.flatnonzero(self.first)
@@ -131,18 +149,12 @@ def _send(length: int, short: int, buckets: tuple[int, int]):
         search = Search(texts, found, length, short)
         search.stretches(found, buckets)
         pack, rows = zstandard.ZstdCompressor(level=3), []
-        sent = search.sent()
+        order, begin, size = search.orders(), search.begin(), search.hi - search.lo + 1
+        raw, sent = np.concatenate(search.data) if search.data else np.zeros(0, np.uint8), search.sent()
         for own in np.split(sent, np.flatnonzero(np.diff(search.bucket[sent])) + 1) if len(sent) else []:
-            order, raw = np.zeros(len(own), ORDER), []
-            for i, s in enumerate(own.tolist()):
-                k, lo, hi = search.piece[s], search.lo[s], search.hi[s]
-                doc = int(np.searchsorted(search.offsets[k], lo, "right")) - 1
-                place = search.places[search.doc[k][doc]]
-                doc_id = texts.doc_ids[place]
-                order[i] = (doc_id is not None, doc_id or 0, int.from_bytes(texts.digests[place][:8], "big"), lo - search.offsets[k][doc])
-                raw.append(search.data[k][lo : hi + length].tobytes())
-            sizes = (search.hi[own] - search.lo[own] + 1).astype(np.uint8)
-            rows.append((int(search.bucket[own[0]]), sizes.tobytes(), pack.compress(order.tobytes()), pack.compress(b"".join(raw))))
+            span = size[own] + length - 1
+            at = np.arange(span.sum()) + np.repeat(begin[own] - (np.cumsum(span) - span), span)
+            rows.append((int(search.bucket[own[0]]), size[own].astype(np.uint8).tobytes(), pack.compress(order[own].tobytes()), pack.compress(raw[at].tobytes())))
         columns = list(zip(*rows)) if rows else [[]] * 4
         return pa.Table.from_arrays([pa.array([texts.block] * len(rows), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(_STRETCHES)[1:]))], schema=_STRETCHES)
 
