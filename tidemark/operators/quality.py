@@ -14,11 +14,12 @@ def z_scores(df: DataFrame, column: str, key: str = "asset") -> DataFrame:
 
 
 def flagged(bars: DataFrame, price_z: float = 4, volume_z: float = 6) -> DataFrame:
-    """Bars that fail a pass, each with its first reason: price outlier, then volume spike."""
-    price = z_scores(bars, "close").where(F.abs("z") > price_z).select("asset", "ts", "z", F.lit(1).alias("pass"), F.lit("price_outlier").alias("reason"))
-    spikes = z_scores(bars, "volume").where(F.col("z") > volume_z).select("asset", "ts", "z", F.lit(2).alias("pass"), F.lit("volume_spike").alias("reason"))
-    found = price.unionByName(spikes).groupBy("asset", "ts").agg(F.min_by(F.struct("z", "reason"), "pass").alias("r"))
-    return found.select("asset", "ts", "r.z", "r.reason")
+    """Bars that fail a pass, each with its first reason: price outlier, then volume spike. One window of each asset gives both."""
+    w = Window.partitionBy("asset")
+    off = lambda c: F.when((F.count(c).over(w) < 2) | (F.coalesce(F.stddev_samp(c).over(w), F.lit(0.0)) == 0), 0.0).otherwise((F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w))
+    step = bars.select("asset", "ts", off("close").alias("price"), off("volume").alias("spike"))
+    reason = F.when(F.abs("price") > price_z, F.struct(F.col("price").alias("z"), F.lit("price_outlier").alias("reason"))).when(F.col("spike") > volume_z, F.struct(F.col("spike").alias("z"), F.lit("volume_spike").alias("reason")))
+    return step.select("asset", "ts", reason.alias("r")).where("r is not null").select("asset", "ts", "r.z", "r.reason")
 
 
 def reconciled(a: DataFrame, b: DataFrame, key: str, tolerance: float = 0.005) -> DataFrame:

@@ -86,6 +86,14 @@ def exposures(rows: DataFrame, by: list[str], least_rows: int = 60) -> DataFrame
     return fit.where(F.col("n") >= least_rows).withColumn("se", se).withColumn("t", F.try_divide("beta", "se")).drop("sxx", "syy")
 
 
+def significant(fits: DataFrame, least_t: float = 2.0) -> DataFrame:
+    """``exposures`` with p of t (two-sided, n - 2 degrees) of at least ``least_t``, and their strength by t."""
+    from tidemark.operators.baseline import t_tail
+
+    size = F.abs("t")
+    return fits.where(size >= least_t).withColumns({"p": t_tail(F.col("t"), F.col("n") - 2), "strength": F.when(size >= 4, "strong").when(size >= 2.5, "moderate").otherwise("weak")})
+
+
 def bear(ret: str = "ret", n: int = 63) -> Column:
     """Days whose last n returns sum below zero; where fewer are there, false."""
     w = Window.partitionBy("asset").orderBy("ts").rowsBetween(-(n - 1), 0)
