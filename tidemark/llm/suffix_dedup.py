@@ -21,6 +21,8 @@ read. Without rows the result is empty.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.blocks import ASKED, Items, Texts, answers, asked, blocks, bucket_of, flagged, passing
 from tidemark.llm.difference_cover import Text, later_repeats
 from tidemark.llm.shared import written
-from tidemark.llm.textarrays import BYTE, MOST, anchors, covered, inside, mixed, pieces, sliding, window_hashes
+from tidemark.llm.textarrays import BYTE, covered, inside, joined, mixed, pieces, sliding, window_hashes
 
 LENGTH = 100
 #: Bytes of the windows that step 2 looks up, and bytes of text whose stretches make a bucket of step 4.
@@ -74,7 +76,19 @@ class Search:
         self.offsets = [offsets[a : b + 1] - offsets[a] for a, b in pieces(offsets)]
         self.windows = [window_hashes(BYTE[d], short) for d in self.data]
         self.ok = [inside(o, length, len(d) - length + 1) for o, d in zip(self.offsets, self.data)]
-        self.at = [np.flatnonzero(anchors(w, ok, self.around)) if len(ok) else np.zeros(0, np.int64) for w, ok in zip(self.windows, self.ok)]
+        self.anchor = [self.anchors(w) for w in self.windows]
+        own = [a[ok] for a, ok in zip(self.anchor, self.ok)]  # ascends, so equal ones are neighbours
+        self.at = [a[np.flatnonzero(np.diff(a, prepend=-1))] for a in own]
+
+    def anchors(self, windows: np.ndarray) -> np.ndarray:
+        """For each string the place of the window by which it is known: of smallest high bits, the leftmost."""
+        key = (windows & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(windows), dtype=np.uint64)
+        return (sliding(key, self.around) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+    def whole(self, windows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """A hash of the strings at some places, by windows that cover them."""
+        steps = [*range(0, self.length - self.short, self.short), self.length - self.short]
+        return reduce(joined, (windows[at + k] for k in steps))
 
     def items(self) -> Items:
         found = [w[a] for w, a in zip(self.windows, self.at)]
@@ -89,18 +103,15 @@ class Search:
             done += len(at)
             if not again.any():
                 continue
-            alive = np.flatnonzero(ok & (sliding(np.where(again, windows, MOST), self.around) == sliding(windows, self.around)))
+            alive = np.flatnonzero(ok & again[self.anchor[k]])
             if not len(alive):
                 continue
-            # the window by which a place is dealt: of smallest high bits, the leftmost
-            key = (windows & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(windows), dtype=np.uint64)
-            anchor = (sliding(key, self.around)[alive] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            anchor = self.anchor[k][alive]
             new = np.ones(len(alive), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (alive[1:] != alive[:-1] + 1)
             start = np.flatnonzero(new)
             lo, hi = alive[start], alive[np.append(start[1:], len(alive)) - 1]
-            whole = window_hashes(BYTE[self.data[k]], self.length)
-            parts.append((np.full(len(lo), k), lo, hi, windows[anchor[start]], whole[lo], whole[hi]))
+            parts.append((np.full(len(lo), k), lo, hi, windows[anchor[start]], self.whole(windows, lo), self.whole(windows, hi)))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3)
         self.piece, self.lo, self.hi, hashes, a, b = (np.concatenate(c) for c in zip(*parts)) if parts else empty
         self.bucket = bucket_of(mixed(hashes), buckets[1])  # the smallest hashes spread over all buckets again
@@ -225,7 +236,7 @@ def _removed(length: int, short: int, buckets: tuple[int, int]):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> DataFrame:
     """n_bytes, the removed byte spans and the kept bytes of each row of ``docs``."""
     table, buckets, size = blocks(docs)
-    many = max(2 * buckets, -(-size // SUFFIX_BYTES))
+    many = max(3 * buckets, -(-size // SUFFIX_BYTES))
     rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "block", "place")
     firsts = passing(table, None, _info(length), INFO).groupBy("digest").agg(F.min(rank).alias("first"))
     found = written(firsts.select("first.block", F.lit(-1).alias("level"), F.col("first.place").alias("bucket"), F.lit(None).cast("binary").alias("flags")), "firsts")
