@@ -83,7 +83,7 @@ def confidence_stats(edges: DataFrame) -> DataFrame:
     return done.select("rel_type", n.alias("n"), "mean", F.col("sorted")[0].alias("min"), at(0.25).alias("p25"), at(0.75).alias("p75"))
 
 
-def discovery_edges(found: DataFrame, causal: float = 0.05) -> DataFrame:
+def discovery_edges(found: DataFrame, causal: float = 0.05, places: int | None = 4) -> DataFrame:
     """Edges (src, dst, rel_type, pearson_r, lag, granger_p, confidence) of discoveries (a, b, relationship_type, ...).
 
     ``*_sensitive``: a is sensitive to b. All others: a correlation in alphabetical order and, below the causal limit, a cause from a to b.
@@ -93,18 +93,18 @@ def discovery_edges(found: DataFrame, causal: float = 0.05) -> DataFrame:
     correlated = one("CORRELATED_WITH", F.least("a", "b"), F.greatest("a", "b"))
     made = F.when(sensitive, F.array(one("SENSITIVE_TO", F.col("a"), F.col("b")))).when(F.col("granger_p") < causal, F.array(correlated, one("CAUSES", F.col("a"), F.col("b")))).otherwise(F.array(correlated))
     rows = found.withColumn("_e", F.explode(made)).select("*", "_e.*").drop("_e", "a", "b")
-    return rows.withColumn("confidence", edge_confidence())
+    return rows.withColumn("confidence", edge_confidence(places=places))
 
 
 #: Rank of each strength in the ladder (fixed values).
 LADDER = {"weak": 1, "moderate": 2, "strong": 3}
 
 
-def materialised(found: DataFrame, least: str = "moderate", least_r: float = 0.0, limit: int = 2000) -> DataFrame:
+def materialised(found: DataFrame, least: str = "moderate", least_r: float = 0.0, limit: int = 2000, places: int | None = 4) -> DataFrame:
     """Edges of the strongest discoveries: at least ``least`` in the ladder and ``least_r``; ``limit`` is that of a run's report."""
     rung = reduce(lambda other, kv: F.when(F.col("strength") == kv[0], kv[1]).otherwise(other), LADDER.items(), F.lit(0))
     kept = found.where((rung >= LADDER[least]) & (F.abs("pearson_r") >= least_r)).orderBy(F.desc(F.abs("pearson_r")), "a", "b").limit(limit)
-    return discovery_edges(kept)
+    return discovery_edges(kept, places=places)
 
 
 def hidden(pairs: DataFrame, known: DataFrame, least: float = 0.85, top: int = 100) -> DataFrame:

@@ -44,7 +44,7 @@ def strength_floor(strength: Column) -> Column:
     return reduce(lambda other, kv: F.when(strength == kv[0], kv[1]).otherwise(other), STRENGTHS.items(), F.lit(OTHER_STRENGTH))
 
 
-def edge_confidence(relation: str = "rel_type") -> Column:
+def edge_confidence(relation: str = "rel_type", places: int | None = 4) -> Column:
     """0..1 by relation: sensitivity (t, beta, fit), cause (significance first) or correlation; from pearson_r, granger_p, mutual_info, beta, t_stat, p_value, r_squared, strength.
 
     A fit of 0 counts as unknown.
@@ -56,7 +56,8 @@ def edge_confidence(relation: str = "rel_type") -> Column:
     t = F.coalesce(F.least(F.abs(c("t_stat")) / 4, F.lit(1.0)), F.greatest(1 - c("p_value") / 0.10, F.lit(0.0)), F.lit(0.4))
     fit = F.least(F.coalesce(F.nullif(c("r_squared"), F.lit(0.0)), F.lit(0.1)), F.lit(1.0))
     sensitivity = t * 0.35 + share(c("beta"), 1.0) * 0.25 + fit * 0.20 + floor * 0.20
-    return F.round(unit(F.when(c(relation) == "SENSITIVE_TO", sensitivity).when(c(relation) == "CAUSES", cause).otherwise(correlation)), 4)
+    score = unit(F.when(c(relation) == "SENSITIVE_TO", sensitivity).when(c(relation) == "CAUSES", cause).otherwise(correlation))
+    return score if places is None else F.round(score, places)
 
 
 def usefulness() -> Column:

@@ -120,12 +120,12 @@ def mood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), F.when(F.col("p_partkey") % 3 == 0, "put").otherwise("call").alias("kind"), F.col("p_size").alias("volume"), (F.col("p_retailprice") / 4000).alias("iv"), (F.col("p_size") + 5).alias("days"))
+    chain = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol"), F.when(F.col("p_partkey") % 3 == 0, "put").otherwise("call").alias("kind"), F.col("p_size").alias("volume"), (F.col("p_retailprice") / 4001).alias("iv"), (F.col("p_size") + 5).alias("days"))
     made = payloads.options_summary(chain).withColumn("signal", payloads.put_call_signal("ratio"))
     return rounded(made, ["symbol", "calls", "puts", "days", "signal"], ["iv", "ratio", "implied_move"])
 
 
-OPTIONS = "SELECT p_brand AS symbol, CAST(sum(CASE WHEN p_partkey % 3 <> 0 THEN p_size ELSE 0 END) AS BIGINT) AS calls, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) AS BIGINT) AS puts, CAST(min(p_size + 5) AS INT) AS days, quantile_cont(p_retailprice / 4000, 0.5) AS iv FROM part GROUP BY 1"
+OPTIONS = "SELECT p_brand AS symbol, CAST(sum(CASE WHEN p_partkey % 3 <> 0 THEN p_size ELSE 0 END) AS BIGINT) AS calls, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE 0 END) AS BIGINT) AS puts, CAST(min(p_size + 5) AS INT) AS days, quantile_cont(p_retailprice / 4001, 0.5) AS iv FROM part GROUP BY 1"
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def pulled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = series(spark, sf_dir)
-    return payloads.spread(made, "A", "N", "a_minus_n").unionAll(payloads.spread(made, "A", "R", "a_to_r", 2, ratio=True)).select("indicator", "ts", (F.col("value") + F.lit(0.0)).alias("value"))
+    return payloads.spread(made, "A", "N", "a_minus_n", 6).unionAll(payloads.spread(made, "A", "R", "a_to_r", 6, ratio=True)).select("indicator", "ts", (F.col("value") + F.lit(0.0)).alias("value"))
 
 
 def catalog() -> dict:
@@ -196,7 +196,7 @@ def catalog() -> dict:
         "macro_calendar": (calendar, _calendar_sql()),
         "pull_summary": (pulled, f"SELECT status, count(*) AS assets, CAST(sum(rows) AS BIGINT) AS rows FROM (SELECT asset, count(*) FILTER (WHERE asset < 'NO' AND month(ts) <> 2) AS rows, CASE WHEN count(*) FILTER (WHERE asset < 'NO' AND month(ts) <> 2) > 0 THEN 'success' ELSE 'failure' END AS status FROM ({BARS}) GROUP BY 1) GROUP BY 1"),
         "wide_series": (lambda s, d: payloads.wide(series(s, d), ["A", "N", "R"]), f"SELECT ts, max(value) FILTER (WHERE indicator = 'A') AS \"A\", max(value) FILTER (WHERE indicator = 'N') AS \"N\", max(value) FILTER (WHERE indicator = 'R') AS \"R\" FROM ({MACRO}) GROUP BY 1"),
-        "series_spread": (spreads, f"WITH w AS (SELECT ts, max(value) FILTER (WHERE indicator = 'A') AS a, max(value) FILTER (WHERE indicator = 'N') AS n, max(value) FILTER (WHERE indicator = 'R') AS r FROM ({MACRO}) GROUP BY 1) SELECT 'a_minus_n' AS indicator, ts, round(a - n, 4) + 0.0 AS value FROM w WHERE a IS NOT NULL AND n IS NOT NULL UNION ALL SELECT 'a_to_r', ts, round(a / r, 2) + 0.0 FROM w WHERE a IS NOT NULL AND r IS NOT NULL"),
+        "series_spread": (spreads, f"WITH w AS (SELECT ts, max(value) FILTER (WHERE indicator = 'A') AS a, max(value) FILTER (WHERE indicator = 'N') AS n, max(value) FILTER (WHERE indicator = 'R') AS r FROM ({MACRO}) GROUP BY 1) SELECT 'a_minus_n' AS indicator, ts, round(a - n, 6) + 0.0 AS value FROM w WHERE a IS NOT NULL AND n IS NOT NULL UNION ALL SELECT 'a_to_r', ts, round(a / r, 6) + 0.0 FROM w WHERE a IS NOT NULL AND r IS NOT NULL"),
         "search_hits": (lambda s, d: payloads.search_hits(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "the", 60), "SELECT item_id AS id, substring(text, CAST(greatest(strpos(lower(text), 'the') - 40, 1) AS INT), 60) AS snippet FROM benchmark WHERE strpos(lower(text), 'the') > 0"),
         "padded_keys": (lambda s, d: table(s, d, "supplier").select("s_suppkey", payloads.zero_padded("s_suppkey").alias("cik")), "SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik FROM supplier"),
     }

@@ -33,9 +33,9 @@ def discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLOOR = "CASE strength WHEN 'strong' THEN 1.0 WHEN 'moderate' THEN 0.6 ELSE 0.3 END"
-CONFIDENCE = f"""round(least(greatest(CASE rel_type WHEN 'SENSITIVE_TO' THEN coalesce(least(abs(t_stat) / 4, 1), greatest(1 - p_value / 0.1, 0), 0.4) * 0.35 + least(abs(beta), 1) * 0.25 + least(coalesce(nullif(r_squared, 0), 0.1), 1) * 0.2 + {FLOOR} * 0.2
+CONFIDENCE = f"""least(greatest(CASE rel_type WHEN 'SENSITIVE_TO' THEN coalesce(least(abs(t_stat) / 4, 1), greatest(1 - p_value / 0.1, 0), 0.4) * 0.35 + least(abs(beta), 1) * 0.25 + least(coalesce(nullif(r_squared, 0), 0.1), 1) * 0.2 + {FLOOR} * 0.2
  WHEN 'CAUSES' THEN greatest(1 - granger_p / 0.1, 0) * 0.45 + least(abs(pearson_r) / 0.8, 1) * 0.25 + least(mutual_info / 0.3, 1) * 0.15 + {FLOOR} * 0.15
- ELSE least(abs(pearson_r) / 0.8, 1) * 0.4 + greatest(1 - granger_p / 0.1, 0) * 0.3 + least(mutual_info / 0.3, 1) * 0.15 + {FLOOR} * 0.15 END, 0), 1), 4)"""
+ ELSE least(abs(pearson_r) / 0.8, 1) * 0.4 + greatest(1 - granger_p / 0.1, 0) * 0.3 + least(mutual_info / 0.3, 1) * 0.15 + {FLOOR} * 0.15 END, 0), 1)"""
 
 
 def _edges_sql(source: str) -> str:
@@ -276,9 +276,9 @@ def catalog() -> dict:
     return {
         "discovery_filter": (lambda s, d: rounded(filters.ordered(filters.matching(discoveries(s, d), {"strength": "strong", "run_id": "run1"}, least={"pearson_r": 0.5}), "pearson_r", tie="a", limit=100), ["a", "b", "strength"], ["pearson_r"]), f"SELECT a, b, strength, round(pearson_r, 6) AS pearson_r FROM ({DISCOVERIES}) WHERE strength = 'strong' AND run_id = 'run1' AND pearson_r >= 0.5"),
         "discovery_summary": (lambda s, d: filters.discovery_summary(discoveries(s, d)), f"SELECT strength AS measure, count(*) AS value FROM ({DISCOVERIES}) GROUP BY 1 UNION ALL SELECT 'series', count(DISTINCT x) FROM (SELECT unnest([a, b]) AS x FROM ({DISCOVERIES})) UNION ALL SELECT 'runs', count(DISTINCT run_id) FROM ({DISCOVERIES})"),
-        "discovery_edges": (lambda s, d: rounded(intelligence.discovery_edges(discoveries(s, d), 0.075), edge_columns, ["confidence"]), picked(_edges_sql(DISCOVERIES), edge_columns, ["confidence"])),
-        "materialised_edges": (lambda s, d: rounded(intelligence.materialised(discoveries(s, d)).where("rel_type <> 'CAUSES'"), edge_columns, ["confidence"]), picked(f"SELECT * FROM ({_edges_sql(strong)}) WHERE rel_type <> 'CAUSES'", edge_columns, ["confidence"])),
-        "confidence_stats": (lambda s, d: rounded(intelligence.confidence_stats(intelligence.discovery_edges(discoveries(s, d), 0.075)), ["rel_type", "n"], ["mean", "min", "p25", "p75"]), picked(f"SELECT rel_type, CAST(len(x) AS INT) AS n, list_avg(x) AS mean, x[1] AS min, x[CAST(floor(len(x) * 0.25) AS INT) + 1] AS p25, x[CAST(floor(len(x) * 0.75) AS INT) + 1] AS p75 FROM (SELECT rel_type, list_sort(list(confidence)) AS x FROM ({_edges_sql(DISCOVERIES)}) GROUP BY 1)", ["rel_type", "n"], ["mean", "min", "p25", "p75"])),
+        "discovery_edges": (lambda s, d: rounded(intelligence.discovery_edges(discoveries(s, d), 0.075, places=None), edge_columns, ["confidence"]), picked(_edges_sql(DISCOVERIES), edge_columns, ["confidence"])),
+        "materialised_edges": (lambda s, d: rounded(intelligence.materialised(discoveries(s, d), places=None).where("rel_type <> 'CAUSES'"), edge_columns, ["confidence"]), picked(f"SELECT * FROM ({_edges_sql(strong)}) WHERE rel_type <> 'CAUSES'", edge_columns, ["confidence"])),
+        "confidence_stats": (lambda s, d: rounded(intelligence.confidence_stats(intelligence.discovery_edges(discoveries(s, d), 0.075, places=None)), ["rel_type", "n"], ["mean", "min", "p25", "p75"]), picked(f"SELECT rel_type, CAST(len(x) AS INT) AS n, list_avg(x) AS mean, x[1] AS min, x[CAST(floor(len(x) * 0.25) AS INT) + 1] AS p25, x[CAST(floor(len(x) * 0.75) AS INT) + 1] AS p75 FROM (SELECT rel_type, list_sort(list(confidence)) AS x FROM ({_edges_sql(DISCOVERIES)}) GROUP BY 1)", ["rel_type", "n"], ["mean", "min", "p25", "p75"])),
         "source_usefulness": (useful, USEFUL_SQL),
         "source_list": (source_list, f"SELECT id, status, score FROM (SELECT *, {USEFUL} AS score FROM ({SOURCES})) WHERE NOT auth AND list_contains(data_types, 'yields') AND score >= 0.4 AND contains(lower(name), 'supplier')"),
         "experiment_filter": (lambda s, d: filters.ordered(filters.matching(experiments(s, d), {"model_type": "mlp", "status": "completed"}, {"tags": "1"}, present=("backtest",)), "created", tie="experiment_id").select("experiment_id", "created", "backtest"), f"SELECT experiment_id, created, backtest FROM ({EXPERIMENTS}) WHERE model_type = 'mlp' AND status = 'completed' AND tag = '1' AND backtest IS NOT NULL"),
