@@ -148,3 +148,14 @@ def test_online_anomalies_equal_batch(spark, tmp_path):
     got = {(r.event_type, r.ts) for r in spark.table("odd").collect()}
     batch = intelligence.rolling_anomalies(events.withColumnRenamed("event_type", "node"), window=50)
     assert got == {(r.node, r.ts) for r in batch.collect()} and len(got) >= 4
+
+
+def test_quarantine_is_restored(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    bad = spark.createDataFrame([(1, "x", "late"), (2, None, "late")], "id int, name string, reason string")
+    for entry in ("e1", "e2"):
+        sinks.quarantine(bad, str(tmp_path / "q"), entry, "s", "2024-01-01")
+    entries = spark.read.parquet(str(tmp_path / "q"))
+    assert [tuple(r) for r in sinks.restored(entries, "e1", "id int, name string").orderBy("id").collect()] == [(1, "x"), (2, None)]
+    assert len(list((tmp_path / "q").glob("day=*"))) == 1

@@ -37,8 +37,13 @@ def upsert(rows: DataFrame, path: str, into: str, keys: list[str], order: list[s
 
 
 def quarantine(rows: DataFrame, path: str, entry_id: str, source: str, at: str) -> None:
-    """Copies failed rows (with ``reason``) to the quarantine, one partition an entry; nothing is deleted at their source."""
-    append(rows.select(F.lit(entry_id).alias("entry_id"), F.lit(source).alias("source"), F.lit(at).cast("timestamp").alias("at"), "reason", F.to_json(F.struct([F.col(f"`{c}`") for c in rows.columns if c != "reason"])).alias("data")), path, ["entry_id"])
+    """Copies failed rows (with ``reason``) to the quarantine, one partition a day; nothing is deleted at their source."""
+    append(rows.select(F.to_date(F.lit(at).cast("timestamp")).alias("day"), F.lit(entry_id).alias("entry_id"), F.lit(source).alias("source"), F.lit(at).cast("timestamp").alias("at"), "reason", F.to_json(F.struct([F.col(f"`{c}`") for c in rows.columns if c != "reason"])).alias("data")), path, ["day"])
+
+
+def restored(entries: DataFrame, entry_id: str, schema: str) -> DataFrame:
+    """The rows of one entry as they were."""
+    return entries.where(F.col("entry_id") == entry_id).select(F.from_json("data", schema).alias("r")).select("r.*")
 
 
 def quarantine_summary(entries: DataFrame, resolved: DataFrame) -> DataFrame:
