@@ -32,4 +32,15 @@ DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {LETTERS} AS ws FROM documents),
  ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1)
  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
-ORACLES = {"op1_ngram_jaccard_join": JACCARD, "op3_substring_dedup": SUBSTRINGS, "op9_benchmark_decontamination": DECONTAMINATION}
+LEXICAL = f"""WITH w AS (SELECT doc_id, {LETTERS} AS ws FROM documents),
+ d AS (SELECT row_number() OVER () AS row, doc_id, ws, len(ws) AS n FROM w WHERE len(ws) > 0),
+ size AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM d),
+ item AS (SELECT DISTINCT item_id, unnest({LETTERS}) AS term FROM benchmark),
+ tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(ws) AS term FROM d) SEMI JOIN item USING (term) GROUP BY 1, 2),
+ weight AS (SELECT term, CAST(floor(1000 * ln((2 * N_ + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term, N_),
+ hit AS (SELECT item_id, row, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * N_) // L_))) AS s FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN d USING (row), size),
+ scored AS (SELECT item_id, row, CAST(sum(s) AS BIGINT) AS score FROM hit GROUP BY 1, 2),
+ ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored JOIN d USING (row) WHERE score > 0)
+ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+ORACLES = {"op13_ranked_lexical_search": LEXICAL, "op1_ngram_jaccard_join": JACCARD, "op3_substring_dedup": SUBSTRINGS, "op9_benchmark_decontamination": DECONTAMINATION}

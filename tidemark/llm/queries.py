@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import decontamination
 from tidemark.llm.jaccard_join import jaccard_groups
+from tidemark.llm.lexical_search import indexed, search
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.quality_rules import quality_rules
@@ -64,8 +65,16 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(indexed(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op5_sharding, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination, op10_suffix_array_dedup)}
+    found = (
+        op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op5_sharding, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination,
+        op10_suffix_array_dedup, op13_ranked_lexical_search,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,6 +37,9 @@ _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
+#: ASCII other than 0-9, A-Z and a-z.
+IS_SIGN = np.arange(256) < 128
+IS_SIGN[48:58] = IS_SIGN[65:91] = IS_SIGN[97:123] = False
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -87,11 +90,11 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> It
 
 
 class Words:
-    """Words of some texts: ``start``, ``end`` (bytes), ``first`` (n + 1 offsets of each text's words)."""
+    """Words of some texts: ``start``, ``end`` (bytes), ``first`` (n + 1 offsets of each text's words). Bytes ``between`` are no part of a word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE):
         self.data, self.offsets = data, offsets
-        inner = ~IS_SPACE[data]
+        inner = ~between[data]
         begins, ends = inner.copy(), inner.copy()
         if len(data):
             begins[1:] &= ~inner[:-1]
