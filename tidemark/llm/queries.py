@@ -18,6 +18,7 @@ from tidemark.llm.shared import documents
 from tidemark.llm.substring_dedup import n_removed, substring_dedup
 from tidemark.llm.suffix_dedup import suffix_dedup
 from tidemark.llm.toxicity import held_out, toxicity, train
+from tidemark.llm.whitening import whitened
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(indexed(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -72,7 +77,7 @@ def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op5_sharding, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination,
-        op10_suffix_array_dedup, op13_ranked_lexical_search,
+        op10_suffix_array_dedup, op12_embedding_whitening, op13_ranked_lexical_search,
     )
     return {f.__name__: f for f in found}
 
