@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import quality_classifier
 from tidemark.llm.decontamination import decontamination
 from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.lexical_search import indexed, search
@@ -66,6 +67,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed().alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    own = quality_classifier.held_out("doc_id")
+    return quality_classifier.quality(docs, quality_classifier.train(docs, labels.where(~own))).select("doc_id", own.alias("held_out"), "score", "predicted")
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -77,7 +84,7 @@ def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_license_scans, op5_sharding, op6_secret_scans, op7_quality_rules, op8_sentencepiece, op9_benchmark_decontamination,
-        op10_suffix_array_dedup, op12_embedding_whitening, op13_ranked_lexical_search,
+        op10_suffix_array_dedup, op11_quality_classifier, op12_embedding_whitening, op13_ranked_lexical_search,
     )
     return {f.__name__: f for f in found}
 
