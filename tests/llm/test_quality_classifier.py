@@ -34,15 +34,14 @@ TEXTS = ["", "A", "The cat, the cat sat.", "THE!! CAT!! 12 345 cat cat cat", "é
 
 
 def test_features_tell_texts_apart_as_plain_ones_do():
-    text, bucket = q.present(*arrays(TEXTS))
-    own = [set(bucket[text == i].tolist()) for i in range(len(TEXTS))]
+    own = [set(b.tolist()) for b in q.present(*arrays(TEXTS))]
+    assert [len(b) for b in q.present(*arrays(TEXTS))] == [len(o) for o in own]  # each once
     plain = [plain_features(t) for t in TEXTS]
     assert [len(o) for o in own] == pytest.approx([len(p) for p in plain], abs=2)  # buckets can coincide
     for i in range(len(TEXTS)):
         for j in range(len(TEXTS)):
             assert len(own[i] & own[j]) == pytest.approx(len(plain[i] & plain[j]), abs=2)
-        alone = q.present(*arrays([TEXTS[i]]))[1]
-        assert set(alone.tolist()) == own[i]  # neighbours in the array do not matter
+        assert [set(b.tolist()) for b in q.present(*arrays([TEXTS[i]]))] == [own[i]]  # neighbours in the array do not matter
 
 
 def test_coordinate_descent_finds_the_least_loss():
@@ -99,8 +98,7 @@ def test_scores_equal_plain_ones_and_ignore_neighbours(model):
     texts = [*TEXTS, "Some prose of the usual kind, with words that end. " * 30]
     got = q.scores(model, *arrays(texts))
     for t, s in zip(texts, got):
-        _, bucket = q.present(*arrays([t]))
-        margin = model.intercept + sum(float(model.weights[k]) for k in set(bucket.tolist()))
+        margin = model.intercept + sum(float(model.weights[k]) for k in set(next(q.present(*arrays([t]))).tolist()))
         assert s == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.shift))), abs=1e-6)
 
 

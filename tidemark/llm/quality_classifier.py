@@ -7,12 +7,12 @@ n-grams whose ratio is not significant have none. A linear model with hinge loss
 indicators times their ratios is then fitted by dual coordinate descent, and a logistic curve over the margins of
 rows kept apart from that fit turns margins into scores.
 
-The ratios count every labelled training row. The hinge loss is fitted on a bounded sample of them: at most ``MAX_ROWS`` of each
+The model is fitted on a bounded sample of the labelled rows: at most ``MAX_ROWS`` of each
 label, those of the smallest hash of doc_id, with texts of at most ``MAX_TEXT`` bytes; a fifth of these are for the
 curve, weighted as the labels stand in all training rows. Scoring covers every text whole.
 
-Labels that are null are no labels, nor are those of a null doc_id; a document with several labels is bad if one of them is 0; all
-rows with a labelled id count, the sample takes that of the least hash of its text. Null and empty texts have no features and score as the intercept. Without
+Labels that are null are no labels, nor are those of a null doc_id; a document with several labels is bad if one of them is 0; of
+several texts with one id that of the least hash is learned from. Null and empty texts have no features and score as the intercept. Without
 labels of both kinds every score is the share of good labels (1/2 without labels). Without a kind in the sample or the part kept apart, the rows of the other part stand in. Equal rows get equal
 results; other columns are not read.
 """
@@ -79,19 +79,16 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield text[ok], (window_hashes(shapes, n)[ok] >> _TOP).astype(np.int32)
 
 
-def present(data: np.ndarray, offsets: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, bucket), ascending; only ``used`` buckets, if given."""
-    keys = [np.zeros(0, np.int64)]
-    for text, bucket in ngrams(data, offsets):
-        if used is not None:
-            at = np.flatnonzero(used[bucket])
-            text, bucket = text[at], bucket[at]
-        key = text.astype(np.int64) << BITS | bucket
-        if len(key):  # most n-grams stand in a text several times
-            key.sort()
-            keys.append(key[np.append(True, key[1:] != key[:-1])])
-    key = np.unique(np.concatenate(keys))
-    return key >> BITS, key & ((1 << BITS) - 1)
+def present(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text, in no order."""
+    found = [(np.searchsorted(text, np.arange(len(offsets))).tolist(), bucket) for text, bucket in ngrams(data, offsets)]
+    last = np.zeros(1 << BITS, np.int32)  # where a bucket was seen last, so each is kept once
+    for i in range(len(offsets) - 1):
+        own = [bucket[at[i] : at[i + 1]] for at, bucket in found]
+        own = np.concatenate(own) if own else np.zeros(0, np.int32)
+        place = np.arange(len(own), dtype=np.int32)
+        last[own] = place
+        yield own[last[own] == place]
 
 
 class Model(NamedTuple):
@@ -176,42 +173,44 @@ def fit(scale: Scale, rows: list[np.ndarray], good: np.ndarray, apart: np.ndarra
 
 def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Scores of texts that stand one after the other."""
-    text, bucket = present(data, offsets, model.weights != 0)
-    margin = model.intercept + np.bincount(text, model.weights[bucket], len(offsets) - 1)
+    margin = model.intercept + np.array([model.weights[own].sum(dtype=float) for own in present(data, offsets)])
     return 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the training rows: ``labels`` (doc_id, quality) joined to their texts.
 
-    Tasks count the buckets of their rows, Spark adds the counts; the driver gets at most 2^BITS of them, and then the
+    Ids alone meet to find the sample; its texts are then picked by a broadcast of its ids, so no text of another
+    document is moved. Tasks count the buckets of the sample, Spark adds the counts; the driver gets at most 2^BITS of them, and then the
     sampled texts' buckets whose ratio is significant.
     """
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    rows = written(docs.select("doc_id", "text").join(one, "doc_id"), "labelled")
+    short = docs.where(F.octet_length("text") <= MAX_TEXT).select("doc_id", "text")
+    total = {r.quality: r.n for r in one.groupBy((F.col("quality") == 1).cast("int").alias("quality")).agg(F.count("*").alias("n")).collect()}
+    n_all = [total.get(y, 0) for y in (0, 1)]
+    if not all(n_all):
+        return constant(n_all[1], n_all[0])
+    known = one.join(short.select("doc_id").distinct(), "doc_id", "left_semi")
+    few = [known.where((F.col("quality") == 1) == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS) for good in (False, True)]
+    ids = F.broadcast(few[0].unionAll(few[1]))
+    sample = written(short.join(ids, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("quality", "text"), F.xxhash64("text")).alias("row")).select("doc_id", "row.*"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((2, (1 << BITS) + 1), np.int64)  # the last counts the texts
         for batch in batches:
             for part, data, offsets in chunks(batch):
-                text, bucket = present(data, offsets)
-                label = (np.asarray(part.column("quality")) == 1).astype(np.int64)
-                held[:, -1] += np.bincount(label, minlength=2)
-                held[:, :-1] += np.bincount(label[text] << BITS | bucket, minlength=2 << BITS).reshape(2, -1)
+                for y, own in zip(part.column("quality").to_pylist(), present(data, offsets)):
+                    held[int(y == 1)][own] += 1
+                    held[int(y == 1)][-1] += 1
         some = np.flatnonzero(held.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(held[0, some]), pa.array(held[1, some])], names=["bucket", "bad", "good"])
 
-    total = rows.mapInArrow(count, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    held = total.where((F.col("bad") + F.col("good") >= MIN_DOCS) | (F.col("bucket") == 1 << BITS)).toArrow().sort_by("bucket")
+    counts = sample.mapInArrow(count, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    held = counts.where((F.col("bad") + F.col("good") >= MIN_DOCS) | (F.col("bucket") == 1 << BITS)).toArrow().sort_by("bucket")
     bucket, bad, good = (held[c].to_numpy() for c in ("bucket", "bad", "good"))
-    n_bad, n_good = (int(x[-1]) if len(bucket) and bucket[-1] == 1 << BITS else 0 for x in (bad, good))
-    if not (n_bad and n_good):
-        return constant(n_good, n_bad)
-    scale = log_count_ratios(bucket[:-1], good[:-1], bad[:-1], n_good, n_bad)
-    short = rows.where(F.octet_length("text") <= MAX_TEXT)
-    ids = short.groupBy("doc_id").agg(F.first("quality").alias("quality"))
-    few = [ids.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS).select("doc_id") for y in (0, 1)]
-    sample = short.join(F.broadcast(few[0].unionAll(few[1])), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("quality", "text"), F.xxhash64("text")).alias("row")).select("doc_id", "row.*")
+    if not len(bucket) or not (bad[-1] and good[-1]):
+        return constant(n_all[1], n_all[0])
+    scale = log_count_ratios(bucket[:-1], good[:-1], bad[:-1], int(good[-1]), int(bad[-1]))
     place = np.full(1 << BITS, -1, np.int32)
     place[scale.buckets] = np.arange(len(scale.buckets))
     shared = docs.sparkSession.sparkContext.broadcast(place)
@@ -219,18 +218,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in chunks(batch):
-                text, bucket = present(data, offsets, shared.value >= 0)
-                at = np.searchsorted(text, np.arange(len(part) + 1))
-                packed = [shared.value[bucket[a:b]].tobytes() for a, b in zip(at[:-1], at[1:])]
+                packed = [np.sort(own[own >= 0]).tobytes() for own in (shared.value[b] for b in present(data, offsets))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("quality"), pa.array(packed, pa.binary())], names=["doc_id", "quality", "packed"])
 
     picked = sorted(((r.doc_id, r.quality, np.frombuffer(r.packed, np.int32)) for r in sample.mapInArrow(found, "doc_id long, quality int, packed binary").toLocalIterator()), key=lambda r: r[0])
-    forget(rows)
-    good_rows = np.array([int(r[1] == 1) for r in picked])
-    if set(good_rows.tolist()) != {0, 1}:
-        return constant(n_good, n_bad)
+    forget(sample)
+    labelled = np.array([int(r[1] == 1) for r in picked])
     apart = np.array([int(mixed(np.array([r[0]], np.int64).view(np.uint64))[0] % np.uint64(5)) == 0 for r in picked])
-    return fit(scale, [r[2] for r in picked], good_rows, apart, n_good / (n_good + n_bad))
+    return fit(scale, [r[2] for r in picked], labelled, apart, n_all[1] / sum(n_all))
 
 
 def constant(n_good: int, n_bad: int) -> Model:
