@@ -437,6 +437,47 @@ def test_novelty_has_few_errors_of_either_kind():
         assert not inside(word), word
 
 
+CONTEXTS = (
+    ("<dbPassword>", "</dbPassword>"), ("the password is ", " and stays so"), ('setClientSecret("', '");'), ('tokens: ["', '", "other"]'), ("Authorization: Bearer ", "\nHost: a.example"), ("secret_key = '", "'\nport = 80"),
+    ("export API_TOKEN=", "\n"), ("-- the credential ", ", as agreed, is to be kept by the user"),
+)
+
+
+@pytest.mark.parametrize("before, after", CONTEXTS)
+def test_random_strings_are_found_in_every_context(before, after):
+    import random
+    import string
+
+    rng, novelty = random.Random(9), secret_scan.Novelty()
+    for kind in (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"):
+        for length in (12, 14, 16, 20, 24, 32, 40):
+            made = []
+            while len(made) < 40:
+                x = "".join(rng.choices(kind, k=length))
+                made += [x] if any(c.isdigit() for c in x) else []
+            assert sum(any(before + x + after == t and a <= len(before) and b >= len(before) + length for a, _, b in novelty.spans(t)) for x in made for t in [before + x + after]) >= 36, (kind, length)
+
+
+WORDS = (
+    "com/apache/spark/pull/12345 com/example/project/internal/handlers 2024-01-15T12 20240115T120000 getUserAuthentication vokietis-nepriklausomybes donaudampfschifffahrtsgesellschaft src/main/java/org/acme/Service "
+    "application-development-environment user_session_timeout_seconds verantwortungsbewusstsein desafortunadamente anticonstitutionnellement responsabilidad desenvolvimento kommunikationsabteilung straordinariamente "
+    "utf8_general_ci x86_64-linux-gnu python3-devel-tools log4j2_configuration http2_server_push user_name_12345 sha256_checksum_file k8s-cluster-node7 test_case_42b oauth2_callback_url eu-central-1a-subnet "
+    "DATABASE_CONNECTION_STRING currentSessionConfigurationHandler node_modules/react/index 1234567890123 /usr/local/share/ca-certificates verschluesselungsverfahren niepodleglosciowy onafhankelijkheidsverklaring tietojenkasittelytiede"
+).split()
+
+
+@pytest.mark.parametrize("before, after", CONTEXTS)
+def test_words_paths_and_dates_are_no_secrets(before, after):
+    novelty = secret_scan.Novelty()
+    assert [w for w in WORDS if novelty.spans(before + w + after)] == []
+    for text in ("Verkehrsüberwachungsverkehrsgenehmigung", "Straßenverkehrsgenehmigung", "indépendantistes", "Unabhängigkeitserklärungsentwurf"):
+        assert novelty.spans(before + text + after) == [], text
+
+
+def test_worded():
+    assert all(map(secret_scan.worded, WORDS)) and not any(map(secret_scan.worded, ("kJhGfRtYuIoPlKm", "a1b2c3d4e5f6", "Zx9qLm2Rt7Vb4Kp1", "deadbeef-0000-4000-8000-1234567890ab", "T1T2T3T4T5T6T7")))
+
+
 def thue_morse(n, a, b):
     """A word of n letters and its complement; polynomial hashes modulo powers of two take them for equal."""
     bits = [bin(i).count("1") % 2 for i in range(n)]

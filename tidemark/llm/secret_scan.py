@@ -2,13 +2,14 @@
 
 Base spans come from three patterns (``ASSIGN``, ``ACCESS``, ``HEX``). Beside them, every token of 12 or
 more characters in a sensitive context (a word such as *password* or *key* shortly before or behind it)
-is a candidate. Its novelty is the number of bytes by which it lengthens the zstandard frame of its
-surrounding text, where the compressor is primed with a dictionary: the words of a public tokenizer's
-vocabulary (a parameter, read by the driver and sent to the tasks) and ``CODE``. Words, identifiers and
+is a candidate, unless a letter outside ASCII touches it: it is then a part of a word. Its novelty is the number of bytes by which it lengthens the zstandard frame of its
+surrounding text, followed by ``TAIL`` in both frames (zstandard matches nothing at the very end of its input), where the compressor is primed with a dictionary: the words of two public tokenizers'
+vocabularies, one of many languages (parameters, read by the driver and sent to the tasks) and ``CODE``. Words, identifiers and
 repeated strings add few bytes; random strings add most of theirs. A candidate with at least ``limit`` added
-bytes a character is reported as kind ``novel``. The limits lie between what was measured for identifiers
-of two or three frequent words (nine in ten below 0.83, 0.75, 0.75 and 0.60 bytes a character at 12, 16, 20
-and 24 characters) and for random letters and digits (nineteen in twenty above 0.75, 0.81, 0.80 and 0.75).
+bytes a character is reported as kind ``novel``. The limits are just below what nine in ten random strings of letters and digits add, measured
+in fourteen contexts, code and prose, at 12 to 40 characters. Strings that are worded (``WORDED``: words in lower case, capitals or camel case, and numbers, dates and times, with
+signs between) are held against higher limits: short words add as much as random letters, and no vocabulary has all words. So a random string of
+letters in one case alone, or of digits alone, is as a rule not found.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Equal rows get equal
 results; other columns than ``doc_id`` and ``text`` are not read. Without rows the result is empty.
@@ -21,6 +22,7 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +49,20 @@ SENSITIVE = re.compile(
 )
 REACH, CONTEXT = 48, 256
 MIN_CANDIDATE = 12
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}", re.A)
-#: (characters, least added bytes a character), in between by lines.
-LIMITS = ((12, 0.80), (16, 0.79), (20, 0.76), (24, 0.71), (40, 0.69))
-#: A file of base64 tokens and ranks, and the least letters of a word taken from it.
-VOCABULARY, MIN_WORD = "/opt/tokenizers/byte_bpe_50k.tiktoken", 4
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-]|[^\x00-\x7F])[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}+(?![^\W\d_a-zA-Z])")
+#: A word or a number; several of these with signs between, words then with a few digits too; humps of words are judged by ``worded``.
+_ONE, _PART, _SIGNS = r"(?:\d+(?:T\d+Z?)?|[A-Za-z]+)", r"(?:\d+(?:T\d+Z?)?[a-z]?|(?:[A-Za-z]+\d{0,3}){1,2})", "[/_=-]"
+WORDED = re.compile(rf"{_SIGNS}*(?:{_ONE}|{_PART}(?:{_SIGNS}+{_PART})+){_SIGNS}*", re.A)
+HUMP, RUN, MIXED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), re.compile(r"[A-Za-z]+"), re.compile(r"[A-Za-z]\d|\d(?!T\d)[A-Za-z]")
+#: Letters for each turn of case within a word, at least, for a string to count as worded.
+TURN_LETTERS = 5
+#: (characters, least added bytes a character), in between by lines; of worded strings.
+LIMITS = ((12, 0.63), (16, 0.66), (20, 0.69), (32, 0.70), (40, 0.69))
+WORD_LIMITS = ((12, 1.20), (24, 1.15), (32, 1.10), (40, 1.0))
+#: Closes both frames.
+TAIL = "\npassword = example\n"
+#: Files of base64 tokens and ranks, and the least letters of a word taken from them.
+VOCABULARY, MULTILINGUAL, MIN_WORD = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 4
 #: zstandard looks for short matches everywhere in the dictionary.
 FINE = {"window_log": 20, "chain_log": 18, "hash_log": 18, "search_log": 8, "min_match": 3, "target_length": 64, "strategy": zstandard.STRATEGY_BTULTRA}
 #: Quick tests on bytes: texts without any of these have no span of that kind.
@@ -84,19 +95,28 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
     return spans
 
 
-def dictionary(vocabulary: str = VOCABULARY) -> bytes:
-    """The words of a vocabulary, the most frequent last, then ``CODE``."""
-    words: dict[str, None] = {}
-    with open(vocabulary, "rb") as file:
-        for line in file:
-            word = base64.b64decode(line.split()[0]).strip()
-            if len(word) >= MIN_WORD and word.isalpha() and word.isascii():
-                words.setdefault(word.decode())
-    return f"{' '.join(reversed(words))} {CODE}".encode()
+def dictionary(vocabulary: str = VOCABULARY, multilingual: str = MULTILINGUAL) -> bytes:
+    """The words of both vocabularies by turns, the most frequent last, then ``CODE``."""
 
+    def words(path: str) -> list[str]:
+        with open(path, "rb") as file:
+            tokens = [base64.b64decode(line.split()[0]).strip() for line in file]
+        return [t.decode() for t in tokens if len(t) >= MIN_WORD and t.isalpha() and t.isascii()]
 
-def limit(length: int) -> float:
-    return float(np.interp(length, *zip(*LIMITS)))
+    turns = zip_longest(words(multilingual), words(vocabulary))
+    return f"{' '.join(reversed(dict.fromkeys(w for pair in turns for w in pair if w)))} {CODE}".encode()
+
+
+def worded(candidate: str) -> bool:
+    """Whether a candidate is made of words, numbers, dates and times."""
+    turns = len(HUMP.findall(candidate)) - len(RUN.findall(candidate))
+    if MIXED.search(candidate) and turns:  # digits within words: these have one case
+        return False
+    return bool(WORDED.fullmatch(candidate)) and turns * TURN_LETTERS <= sum(map(str.isalpha, candidate))
+
+
+def limit(candidate: str) -> float:
+    return float(np.interp(len(candidate), *zip(*(WORD_LIMITS if worded(candidate) else LIMITS))))
 
 
 class Novelty:
@@ -110,8 +130,8 @@ class Novelty:
 
     def of(self, text: str, start: int, end: int) -> float:
         before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-        around, candidate = (before + after).encode(), text[start:end].encode()
-        return (len(self.pack.compress(around + candidate)) - len(self.pack.compress(around))) / len(candidate)
+        around, candidate = f"{before}{after}\n", text[start:end]
+        return (len(self.pack.compress(f"{around}{candidate}{TAIL}".encode())) - len(self.pack.compress(f"{around}{TAIL}".encode()))) / len(candidate)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         hints = [m.span() for m in SENSITIVE.finditer(text)]
@@ -120,9 +140,10 @@ class Novelty:
         starts, ends, found = [a for a, _ in hints], [b for _, b in hints], []
         for m in CANDIDATE.finditer(text):
             for a, b in pieces(m.start(), m.end(), hints[bisect_left(starts, m.start()) : bisect_left(starts, m.end())]):
+                a = trimmed(text, a, b)
                 k, j = bisect_right(ends, a) - 1, bisect_left(starts, b)  # the last hint before it and the first behind it
                 near = (k >= 0 and a - ends[k] <= REACH) or (j < len(starts) and starts[j] - b <= REACH)
-                if near and self.of(text, a, b) >= limit(b - a):
+                if near and b - a >= MIN_CANDIDATE and self.of(text, a, b) >= limit(text[a:b]):
                     found.append((a, 3, b))
         return found
 
@@ -133,6 +154,11 @@ def pieces(start: int, end: int, inside: list[tuple[int, int]]) -> list[tuple[in
     return [(a, b) for a, b in zip(cuts[::2], cuts[1::2]) if b - a >= MIN_CANDIDATE]
 
 
+def trimmed(text: str, start: int, end: int) -> int:
+    """Where a string starts without the signs that part it from a name before it."""
+    return end - len(text[start:end].lstrip("=_-"))
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
@@ -161,9 +187,9 @@ def scan(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"])
 
 
-def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, multilingual: str = MULTILINGUAL) -> DataFrame:
     """Counts of base spans, their digest and all spans: one row for each row of ``docs``."""
-    words = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
+    words = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary, multilingual))
     return docs.select("doc_id", "text").mapInArrow(lambda batches: scan(batches, words.value), SCHEMA)
 
 
@@ -192,7 +218,7 @@ def redact(batches: Iterator[pa.RecordBatch], words: bytes) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
 
-def redacted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def redacted(docs: DataFrame, vocabulary: str = VOCABULARY, multilingual: str = MULTILINGUAL) -> DataFrame:
     """``docs`` with secrets replaced; every row stays."""
-    words = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
+    words = docs.sparkSession.sparkContext.broadcast(dictionary(vocabulary, multilingual))
     return docs.select([F.col(f"`{c}`") for c in docs.columns]).mapInArrow(lambda batches: redact(batches, words.value), docs.schema)
