@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.pairwise import binned_information, pairwise
+
 
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-squared with ``df`` degrees of freedom > x)."""
@@ -43,26 +44,14 @@ def granger_p(cause: np.ndarray, effect: np.ndarray, most: int = 5) -> float | N
     return min(found)
 
 
-def granger(pairs: DataFrame, most: int = 5) -> DataFrame:
-    """(a, b, n, p_a_causes_b, p_b_causes_a) of pairs (a, b, i, x, y). A group is one pair's days, which the calendar bounds."""
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-        return pd.DataFrame({"a": [rows["a"].iloc[0]], "b": [rows["b"].iloc[0]], "n": [len(rows)], "p_a_causes_b": [granger_p(x, y, most)], "p_b_causes_a": [granger_p(y, x, most)]})
-
-    return pairs.groupBy("a", "b").applyInPandas(test, "a string, b string, n long, p_a_causes_b double, p_b_causes_a double")
+def granger(series: DataFrame, most: int = 5) -> DataFrame:
+    """(a, b, n, p_a_causes_b, p_b_causes_a) of all pairs of series (asset, ts, ret) with common days."""
+    return pairwise(series, lambda x, y: [(len(x), granger_p(x, y, most), granger_p(y, x, most))] if len(x) else [], "n long, p_a_causes_b double, p_b_causes_a double")
 
 
-def mutual_information(pairs: DataFrame, bins: int = 8, least_rows: int = 60) -> DataFrame:
-    """(a, b, n, nats): mutual information of x and y, each cut into bins of equal counts within its pair (ties by day)."""
-    by = Window.partitionBy("a", "b")
-    cut = pairs.select("a", "b", F.ntile(bins).over(by.orderBy("x", "i")).alias("u"), F.ntile(bins).over(by.orderBy("y", "i")).alias("v"))
-    cells = cut.groupBy("a", "b", "u", "v").agg(F.count("*").alias("c"))
-    total = lambda *k: F.sum("c").over(Window.partitionBy("a", "b", *k))
-    cells = cells.withColumn("n", total()).withColumn("nu", total("u")).withColumn("nv", total("v"))
-    nats = F.sum(F.col("c") / F.col("n") * F.ln(F.col("c") * F.col("n") / (F.col("nu") * F.col("nv"))))
-    return cells.where(F.col("n") >= least_rows).groupBy("a", "b").agg(F.first("n").alias("n"), nats.alias("nats"))
+def mutual_information(series: DataFrame, bins: int = 8, least_rows: int = 60) -> DataFrame:
+    """(a, b, n, nats): mutual information of the common days of all pairs, each side cut into bins of equal counts within its pair (ties by day)."""
+    return pairwise(series, lambda x, y: binned_information(x, y, bins, least_rows), "n long, nats double")
 
 
 def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,21 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import safe_corr
-
-
-def pairs(series: DataFrame) -> DataFrame:
-    """(a, b, i, x, y) of series (asset, ts, ret): days that both have, a < b, numbered in time order.
-
-    Joined on the day: a day's rows are at most one for each series, and the series of a discovery run are capped.
-    """
-    a = series.select("ts", F.col("asset").alias("a"), F.col("ret").alias("x")).dropna()
-    b = series.select("ts", F.col("asset").alias("b"), F.col("ret").alias("y")).dropna()
-    both = a.join(b, "ts").where("a < b")
-    return both.withColumn("i", F.row_number().over(Window.partitionBy("a", "b").orderBy("ts")))
+from tidemark.operators.pairwise import average_ranks, best_lag, by_direction, correlation, correlations, pairwise
 
 
 def shifted(found: DataFrame, lags: list[int]) -> DataFrame:
-    """(a, b, lag, r, n) of ``pairs``: x at i + lag with y at i. One window over a pair gives all lags; no join."""
+    """(a, b, lag, r, n) of rows (a, b, i, x, y): x at i + lag with y at i. One window over a pair gives all lags; no join."""
     w = Window.partitionBy("a", "b").orderBy("i")
     moved = [F.struct(F.lit(k).alias("lag"), (F.lead("x", k).over(w) if k > 0 else F.lag("x", -k).over(w) if k < 0 else F.col("x")).alias("x")) for k in lags]
     each = found.select("a", "b", "y", F.array(*moved).alias("each")).select("a", "b", "y", F.inline("each")).where("x is not null")
@@ -29,8 +19,7 @@ def shifted(found: DataFrame, lags: list[int]) -> DataFrame:
 
 def lag_sweep(series: DataFrame, most: int = 20, least_rows: int = 60) -> DataFrame:
     """Each pair's best lag: the largest |r|, of equal ones the smallest lag. x at i + lag meets y at i, so b leads for a positive lag."""
-    r = shifted(pairs(series), list(range(-most, most + 1))).where(F.col("n") >= least_rows)
-    best = r.groupBy("a", "b").agg(F.min_by(F.struct("lag", "r", "n"), F.struct(-F.round(F.abs("r"), 9), "lag")).alias("best")).select("a", "b", "best.*")
+    best = pairwise(series, lambda x, y: best_lag(x, y, most, least_rows), "lag int, r double, n long")
     return best.withColumn("leader", F.when(F.col("lag") > 0, F.col("b")).when(F.col("lag") < 0, F.col("a")))
 
 
@@ -53,22 +42,12 @@ def leading(series: DataFrame, target: str, most: int = 21, least_rows: int = 60
 
 def regime_correlation(series: DataFrame, least_rows: int = 60, least_regime: int = 20) -> DataFrame:
     """all, bear and bull correlation of each pair; bear: the last 63 common days of x sum below zero, the days before are bull."""
-    found = pairs(series)
-    w = Window.partitionBy("a", "b").orderBy("i").rowsBetween(-62, 0)
-    down = F.coalesce(F.when(F.count("x").over(w) == 63, F.sum("x").over(w) < 0), F.lit(False))
-    step = found.withColumn("bear", down)
-    side = lambda c: [F.when(c, F.col(k)) for k in "xy"]
-    bears, bulls = side(F.col("bear")), side(~F.col("bear"))
-    done = step.groupBy("a", "b").agg(F.count("*").alias("n"), safe_corr("x", "y").alias("all"), F.count(bears[0]).alias("nb"), safe_corr(*bears).alias("bear"), F.count(bulls[0]).alias("nu"), safe_corr(*bulls).alias("bull"))
-    keep = lambda r, n: F.when(F.col(n) >= least_regime, F.col(r)).alias(r)
-    return done.where(F.col("n") >= least_rows).select("a", "b", "n", "all", keep("bear", "nb"), keep("bull", "nu"))
+    return pairwise(series, lambda x, y: by_direction(x, y, least_rows, least_regime), "n long, all double, bear double, bull double")
 
 
 def rank_correlation(series: DataFrame) -> DataFrame:
     """Spearman's r of each pair: the correlation of average ranks among the days that both have."""
-    found = pairs(series)
-    rank = lambda c: F.rank().over(Window.partitionBy("a", "b").orderBy(c)) + (F.count("*").over(Window.partitionBy("a", "b", c)) - 1) / 2
-    return found.select("a", "b", rank("x").alias("x"), rank("y").alias("y")).groupBy("a", "b").agg(safe_corr("x", "y").alias("spearman"), F.count("*").alias("n"))
+    return pairwise(series, lambda x, y: [(correlation(average_ranks(x), average_ranks(y)), len(x))] if len(x) else [], "spearman double, n long")
 
 
 def stress(levels: DataFrame, n: int = 21, q: float = 0.75) -> DataFrame:
@@ -111,4 +90,4 @@ def correlation_edges(prices: DataFrame, days: int = 252, least: float = 0.5) ->
     w = Window.partitionBy("asset").orderBy("ts")
     filled = grid.withColumn("close", F.coalesce(F.last("close", ignorenulls=True).over(w), F.first("close", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
     ret = filled.withColumn("ret", F.try_divide("close", F.lag("close").over(w)) - 1).select("asset", "ts", "ret")
-    return pairs(ret).groupBy("a", "b").agg(safe_corr("x", "y").alias("r")).where(F.abs("r") >= least)
+    return correlations(ret).select("a", "b", "r").where(F.abs("r") >= least)

@@ -1,10 +1,14 @@
-"""Exact vector search with built-in higher-order functions."""
+"""Vectors as columns: products, checks, points by id. Searches are those of ``vector_index``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.vector_index import alike, exact_top_k as top_k
+
+__all__ = ["alike", "by_ids", "checked", "cosine", "dot", "top_k"]
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -22,31 +26,3 @@ def checked(vectors: DataFrame, size: int, column: str = "embedding") -> DataFra
 def by_ids(vectors: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
     """Points of the ids that there are."""
     return vectors.join(ids.select(key).distinct(), key, "left_semi")
-
-
-def alike(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b of at least ``threshold``: a stated search of all against all, in pairs of blocks."""
-    n = blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("own")).withColumn("x", F.transform("x", lambda v: F.try_divide(v, F.sqrt(dot("x", "x")))))
-    left = rows.select(F.col("vec_id").alias("a"), F.col("x").alias("u"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    right = rows.select(F.col("vec_id").alias("b"), F.col("x").alias("v"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    return left.join(right, ["i", "j"]).where("a < b").select("a", "b", dot("u", "v").alias("cosine")).where(F.col("cosine") >= threshold)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = -1.0, payload: dict[str, object] | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): for each query (query_id, query) the nearest vectors by cosine, of those whose ``payload`` columns have these values.
-
-    Vectors are dealt into blocks, and each block meets all queries by a join. Ranks are taken of each
-    block's own candidates, then of the best of all blocks.
-    """
-    for column, value in (payload or {}).items():
-        vectors = vectors.where(F.col(column) == value)
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    met = dealt.join(asked, "block").select("block", "query_id", "vec_id", cosine("embedding", "query").alias("score")).where(F.col("score") >= threshold)
-
-    def best(found: DataFrame, *by: str) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), "vec_id"))).where(F.col("rank") <= k)
-
-    return best(best(met, "block", "query_id").drop("block", "rank"), "query_id").select("vec_id", "query_id", "score", "rank")

@@ -128,8 +128,8 @@ def catalog() -> dict:
         "quarantine_summary": (quarantined, "SELECT source, reason, count(*) AS n_rows, count(DISTINCT e) AS n_entries, count(DISTINCT e) FILTER (WHERE e >= 25) AS n_open FROM (SELECT l_orderkey % 50 AS e, l_returnflag AS source, CASE WHEN l_discount >= 0.09 THEN 'discount' ELSE 'tax' END AS reason FROM lineitem WHERE l_discount >= 0.09 OR l_tax >= 0.08) GROUP BY 1, 2"),
         "health_readings": (health, "SELECT event_id, event_type AS metric, value, CASE event_type WHEN 'purchase' THEN 100.0::DOUBLE WHEN 'view' THEN 50.0::DOUBLE END AS threshold, coalesce(value > CASE event_type WHEN 'purchase' THEN 100.0::DOUBLE WHEN 'view' THEN 50.0::DOUBLE END, false) AS flagged FROM events"),
         "retained_bars": (query(lambda b: sinks.retained(b, "ts", AS_OF, 2).groupBy("asset").agg(F.count("*").alias("n"))), f"SELECT asset, count(*) AS n FROM ({BARS}) WHERE ts >= DATE '1997-01-01' GROUP BY 1"),
-        "mutual_information": (query(lambda b: rounded(discovery.mutual_information(relations.pairs(series(b))), ["a", "b", "n"], ["nats"])), picked(f"SELECT a, b, any_value(n) AS n, sum(c / n * ln(c * n / (nu * nv))) AS nats FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY a, b) AS BIGINT) AS n, sum(c) OVER (PARTITION BY a, b, u) AS nu, sum(c) OVER (PARTITION BY a, b, v) AS nv FROM ({CELLS})) WHERE n >= 60 GROUP BY 1, 2", ["a", "b", "n"], ["nats"])),
-        "granger": (query(lambda b: rounded(discovery.granger(relations.pairs(series(b))), ["a", "b", "n"], ["p_a_causes_b", "p_b_causes_a"])), None),
+        "mutual_information": (query(lambda b: rounded(discovery.mutual_information(series(b)), ["a", "b", "n"], ["nats"])), picked(f"SELECT a, b, any_value(n) AS n, sum(c / n * ln(c * n / (nu * nv))) AS nats FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY a, b) AS BIGINT) AS n, sum(c) OVER (PARTITION BY a, b, u) AS nu, sum(c) OVER (PARTITION BY a, b, v) AS nv FROM ({CELLS})) WHERE n >= 60 GROUP BY 1, 2", ["a", "b", "n"], ["nats"])),
+        "granger": (query(lambda b: rounded(discovery.granger(series(b)), ["a", "b", "n"], ["p_a_causes_b", "p_b_causes_a"])), None),
         "regime_clusters": (query(regimes), None),
         "regime_mixture": (query(soft_regimes), None),
         "latent_factors": (query(latent_factors), None),

@@ -60,22 +60,17 @@ LAYERS = "SELECT DISTINCT * FROM (SELECT 'P' || l_partkey AS src, 'S' || l_suppk
 
 
 def hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = table(spark, sf_dir, "part").where("p_partkey <= 20").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"))
+    """From every part."""
+    start = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"))
     return graph.hops(_layers(spark, sf_dir), start, 3)
 
 
-HOPS = f"""WITH e AS ({LAYERS}), s AS (SELECT 'P' || p_partkey AS origin FROM part WHERE p_partkey <= 20),
+HOPS = f"""WITH e AS ({LAYERS}), s AS (SELECT 'P' || p_partkey AS origin FROM part),
  one AS (SELECT DISTINCT origin, dst AS node FROM s JOIN e ON origin = src), two AS (SELECT DISTINCT origin, dst AS node FROM one JOIN e ON node = src),
  three AS (SELECT DISTINCT origin, dst AS node FROM two JOIN e ON node = src)
  SELECT origin, origin AS node, 0 AS hop FROM s UNION ALL SELECT origin, node, 1 FROM one UNION ALL SELECT origin, node, 2 FROM two UNION ALL SELECT origin, node, 3 FROM three"""
 
 
-def hops_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """So from every part."""
-    start = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"))
-    return graph.hops(_layers(spark, sf_dir), start, 3)
-
-
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), F.col("p_brand").alias("class"))
     return graph.bridges(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).join(parts, "src"))
@@ -129,12 +124,6 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "embeddings")
-    asked = found.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return rounded(vectors.top_k(found, asked, 10), ["query_id", "vec_id", "rank"], ["score"])
-
-
-def top_k_of_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all."""
     found = table(spark, sf_dir, "embeddings")
     asked = found.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -146,7 +135,7 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("label", text.sentiment_label("sentiment"))
 
 
-TOP_K_OF_TWENTIETH = picked("SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank, score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 10", ["query_id", "vec_id", "rank"], ["score"])
+TOP_K = picked("SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank, score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 10", ["query_id", "vec_id", "rank"], ["score"])
 
 
 def _list(x: list[str]) -> str:
@@ -174,11 +163,11 @@ def catalog() -> dict:
         "reconcile": (reconcile, picked("SELECT *, abs(other - value) / abs(value) AS diff FROM (SELECT o_orderkey AS k, o_totalprice AS value, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS other FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) WHERE value <> 0 AND abs(other - value) / abs(value) > 0.005", ["k"], ["value", "diff"])),
         "upsert_keep_latest": (upsert, f"SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate >= DATE '{SPLIT}' DESC, o_orderdate DESC, o_orderkey DESC) = 1"),
         "lag_sweep": (query(lambda b: rounded(relations.lag_sweep(series(b)), ["a", "b", "lag", "n", "leader"], ["r"])), picked(SWEEP, ["a", "b", "lag", "n", "leader"], ["r"])),
-        "correlation_matrix": (query(lambda b: rounded(relations.pairs(series(b)).groupBy("a", "b").agg(relations.safe_corr("x", "y").alias("r")).withColumn("strength", relations.strength()), ["a", "b", "strength"], ["r"])), picked(f"SELECT *, CASE WHEN abs(r) >= 0.65 THEN 'strong' WHEN abs(r) >= 0.45 THEN 'moderate' ELSE 'weak' END AS strength FROM (SELECT a, b, corr(x, y) AS r FROM ({POINTS}) GROUP BY 1, 2)", ["a", "b", "strength"], ["r"])),
+        "correlation_matrix": (query(lambda b: rounded(relations.correlations(series(b)).drop("n").withColumn("strength", relations.strength()), ["a", "b", "strength"], ["r"])), picked(f"SELECT *, CASE WHEN abs(r) >= 0.65 THEN 'strong' WHEN abs(r) >= 0.45 THEN 'moderate' ELSE 'weak' END AS strength FROM (SELECT a, b, corr(x, y) AS r FROM ({POINTS}) GROUP BY 1, 2)", ["a", "b", "strength"], ["r"])),
         "factor_exposures": (exposures, picked(f"SELECT *, beta / se AS t FROM ({FIT})", ["asset", "regime", "n"], ["beta", "alpha", "r2", "se", "t"])),
         "graph_degrees": (lambda s, d: graph.degrees(_layers(s, d)), f"WITH e AS ({LAYERS}) SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1"),
         "graph_hops": (hops, HOPS),
-        "graph_hops_of_all": (hops_of_all, HOPS.replace(" WHERE p_partkey <= 20", "")),
+        "graph_hops_of_all": (hops, HOPS),
         "graph_bridges": (bridges, "SELECT l_suppkey AS dst, count(DISTINCT p_brand) AS n_classes, count(DISTINCT l_partkey) AS n_sources, count(*) AS n_edges FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2"),
         "graph_similarity": (similarity, picked("WITH w AS (SELECT l_returnflag || l_linestatus AS node, date_trunc('month', l_shipdate) AS factor, avg(l_discount) - 0.05 AS beta FROM lineitem GROUP BY 1, 2), n AS (SELECT node, sqrt(sum(beta * beta)) AS norm FROM w GROUP BY 1) SELECT a.node AS node_a, b.node AS node_b, sum(a.beta * b.beta) / (any_value(na.norm) * any_value(nb.norm)) AS cosine FROM w a JOIN w b USING (factor) JOIN n na ON na.node = a.node JOIN n nb ON nb.node = b.node WHERE a.node < b.node GROUP BY 1, 2", ["node_a", "node_b"], ["cosine"])),
         "graph_decay": (decay, f"WITH e AS (SELECT o_orderkey, {REL} AS hl, DATE '1999-01-01' - CAST(o_orderdate AS DATE) AS age, o_orderkey % 7 + 1 AS ev FROM orders) SELECT o_orderkey, round(CASE WHEN age <= 0 THEN 0.8 ELSE greatest(0.8 * pow(0.5, age / (hl * (1 + 0.2 * (ev - 1)))), 0.08) END, 6) AS confidence, CASE WHEN age <= 30 + 7 * least(ev - 1, 5) THEN 'fresh' WHEN age <= 90 + 7 * least(ev - 1, 5) THEN 'aging' WHEN age <= 180 + 7 * least(ev - 1, 5) THEN 'stale' ELSE 'expired' END AS staleness FROM e"),
@@ -188,8 +177,8 @@ def catalog() -> dict:
         "walk_forward_summary": (fold_summary, picked(f"WITH f AS ({FOLDS}), r AS (SELECT *, row_number() OVER ({S}) - 1 AS i FROM ({RETS})), v AS (SELECT asset, fold, CASE WHEN i >= train_start AND i < val_start THEN 'train' WHEN i >= val_start AND i < train_end THEN 'val' WHEN i >= test_start AND i < test_end THEN 'test' END AS part, avg(ret) AS value FROM r JOIN f USING (asset) GROUP BY 1, 2, 3) SELECT asset, part, count(value) AS n_folds, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM v WHERE part IS NOT NULL GROUP BY 1, 2", ["asset", "part", "n_folds"], ["mean", "std", "min", "max"])),
         "classification_metrics": (classification, picked("SELECT *, 2 * precision * recall / (precision + recall + 1e-9) AS f1 FROM (SELECT *, (tp + tn) / (tp + fp + tn + fn + 1e-9) AS accuracy, tp / (tp + fp + 1e-9) AS precision, tp / (tp + fn + 1e-9) AS recall FROM (SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars > 1000) AS tp, count(*) FILTER (WHERE quality = 0 AND n_chars > 1000) AS fp, count(*) FILTER (WHERE quality = 0 AND n_chars <= 1000) AS tn, count(*) FILTER (WHERE quality = 1 AND n_chars <= 1000) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY lang))", ["lang", "tp", "fp", "tn", "fn"], ["accuracy", "precision", "recall", "f1"])),
         "auc": (auc, "WITH s AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)), g AS (SELECT n_chars, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS q FROM s GROUP BY 1), h AS (SELECT *, coalesce(sum(q) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT round(CAST(sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS DOUBLE), 6) AS auc FROM h"),
-        "vector_top_k": (top_k, picked("SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank, score FROM (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 5) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) <= 10", ["query_id", "vec_id", "rank"], ["score"])),
-        "vector_top_k_of_twentieth": (top_k_of_twentieth, TOP_K_OF_TWENTIETH),
+        "vector_top_k": (top_k, TOP_K),
+        "vector_top_k_of_twentieth": (top_k, TOP_K),
         "text_scores": (text_scores, f"SELECT doc_id, sentiment, relevance, CASE WHEN sentiment > 0.1 THEN 'bullish' WHEN sentiment < -0.1 THEN 'bearish' ELSE 'neutral' END AS label FROM (SELECT doc_id, coalesce(round((u - d) / nullif(u + d, 0), 3), 0) AS sentiment, relevance FROM (SELECT doc_id, len(list_intersect(ws, {_list(BULL)})) AS u, len(list_intersect(ws, {_list(BEAR)})) AS d, round(len(list_filter(['license', 'token', 'version'], lambda q: contains(lower(text), q))) / 3, 3) AS relevance FROM (SELECT doc_id, text, list_distinct(regexp_split_to_array(lower(text), '\\W+')) AS ws FROM documents)))"),
         "stream_bars": (lambda s, d: bucketed(table(s, d, "events")), "SELECT event_type, date_trunc('day', ts) AS start, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, round(sum(value), 4) AS volume, count(*) AS n FROM events GROUP BY 1, 2"),
         "stream_last_values": (lambda s, d: last_values(table(s, d, "events")), "SELECT *, round((last - first) / first * 100, 4) AS change_pct FROM (SELECT event_type, arg_max(value, row(ts, event_id)) AS last, arg_min(value, row(ts, event_id)) AS first, max(ts) AS ts FROM events GROUP BY 1)"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,17 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in that of ``spark.checkpoint.dir``, which the whole cluster shares; a local session without one gets it in a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
 def upsert(rows: DataFrame, path: str, into: str, keys: list[str], order: list[str]) -> None:
     """Writes the table at ``path`` with ``rows`` merged by key to the folder ``into``, another one: readers keep the old until they switch."""
     old = stored(rows.sparkSession, path)
