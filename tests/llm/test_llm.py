@@ -478,6 +478,23 @@ def test_worded():
     assert all(map(secret_scan.worded, WORDS)) and not any(map(secret_scan.worded, ("kJhGfRtYuIoPlKm", "a1b2c3d4e5f6", "Zx9qLm2Rt7Vb4Kp1", "deadbeef-0000-4000-8000-1234567890ab", "T1T2T3T4T5T6T7")))
 
 
+def test_short_names_only_where_they_are_introduced(spark):
+    rows = [
+        ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: BSD\n", "bsd"), ('license = "ISC"', "isc"), ("License: Apache-2.0", "apache-2.0"), ("Licence: psf-2.0.", "psf-2"), ("mit freundlichen bsd isc zlib", ""), ("license: mitigated", ""),
+        ("spdx-license-identifier: mit-0", "mit-0"), ("License: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier:\n * MIT", "mit"), ("license: apache", "apache"),
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+
+
+def test_shards_of_a_text_that_is_everywhere(spark):
+    rows = [(i, "same" if i % 2 else f"own {i}") for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 3).collect()
+    assert len(got) == 4000 and len({r.shard for r in got if r.doc_id % 2}) == 1  # groups are whole
+    for s in range(3):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def thue_morse(n, a, b):
     """A word of n letters and its complement; polynomial hashes modulo powers of two take them for equal."""
     bits = [bin(i).count("1") % 2 for i in range(n)]

@@ -80,6 +80,12 @@ SENTENCES = (
     (30, 0.93, r"(?:copy of|see) the ", ""),
     (40, 0.90, r"licen[cs]e\s*[:=]\s*(?:the )?[\"']?", ""),
 )
+#: Short names that stand for a license only after ``spdx-license-identifier:`` or ``license:``, and their labels.
+SHORT = {
+    "mit": "mit", "mit-0": "mit-0", "bsd": "bsd", "isc": "isc", "0bsd": "0bsd", "zlib": "zlib", "unlicense": "unlicense", "apache": "apache", "apache-1.1": "apache-1.1", "apache-2.0": "apache-2.0", "bsl-1.0": "bsl-1.0",
+    "artistic-2.0": "artistic-2.0", "psf-2.0": "psf-2", "osl-3.0": "osl-3.0", "afl-3.0": "afl-3.0", "zpl-2.1": "zpl-2.1", "busl-1.1": "busl-1.1", "cpl-1.0": "cpl-1.0",
+}
+INTRODUCED = ((10, 0.99, "spdx-license-identifier", r"spdx-license-identifier:\s*"), (40, 0.90, "license", r"license\s*[:=]\s*[\"']?"), (40, 0.90, "licence", r"licence\s*[:=]\s*[\"']?"))
 #: License bodies and notices: label, confidence, keyword, a sentence that only these texts have.
 Q = "[\"'\u201c\u201d\u2018\u2019]{0,2}"
 BODIES = (
@@ -234,6 +240,7 @@ def rules() -> tuple[Rule, ...]:
         for version, suffix in versions.items():
             tail = rf",?{GAP}?(?:(?:\({GAP}?)?(?:version|ver\.?|v\.?){GAP}?|-{GAP}?)?{version}(?![0-9.]*[0-9])" if version else ""
             made.append(Rule(priority - 5 * bool(version), label + suffix, confidence, tuple(keys.split()), re.compile(rf"(?<![a-z0-9]){loose(before)}(?:{loose_names(names)}){tail}{after}(?![a-z0-9])"), label))
+    made += [Rule(priority, label, confidence, (key,), re.compile(rf"(?<![a-z0-9]){loose(before)}{re.escape(name)}(?![a-z0-9]|[.+-][a-z0-9])"), None) for name, label in SHORT.items() for priority, confidence, key, before in INTRODUCED]
     made += [Rule(15, label, confidence, (key,), re.compile(loose(sentence)), None) for label, confidence, key, sentence in BODIES]
     return tuple(sorted(made, key=lambda r: r.priority))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import n_partitions, written
+from tidemark.llm.shared import join_groups, n_partitions, written
 
 SHARDS, OVERHEAD = 24, 8
 #: Running sums that the driver holds at once.
@@ -121,9 +121,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest")), "sizes")
     first = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    groups = rows.groupBy("digest").agg(F.min(first).alias("first"), F.sum("size").alias("size"), F.count("*").alias("rows"))
+    groups = written(rows.groupBy("digest").agg(F.min(first).alias("first"), F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
     sums = written(running(groups.select("first", "size", "rows"), ["first", "size", "rows"], {"size": "size_end", "rows": "rows_end"}, GROUPED), "sums")
-    largest, total, n = sums.agg(F.max("size"), F.sum("size"), F.count("*")).first()
+    largest, total, n, n_rows = sums.agg(F.max("size"), F.sum("size"), F.count("*"), F.sum("rows")).first()
 
     def fetch(spans: list[tuple[int, int]]) -> tuple[list[int], bool]:
         within = F.lit(False)
@@ -139,7 +139,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # the last group of each shard, and how many rows stand up to it
     last = {r.size_end: (r.rows_end, r.first) for r in sums.where(F.col("size_end").isin(ends)).collect()}
     ranks = [0] + [last[e][0] if e else 0 for e in ends]
-    where = rows.join(groups.select("digest", "first"), "digest").select("first", "doc_id", "size", "text_crc32", F.lit(1).cast("long").alias("one"))
+    where = join_groups(rows, groups.select("digest", "first", "rows"), ["digest"], "rows", n_rows or 0).select("first", "doc_id", "size", "text_crc32", F.lit(1).cast("long").alias("one"))
     placed = running(where, ["first", "size", "doc_id"], {"one": "rank"}, PLACED)
     number = F.lit(0)
     begin = F.lit(0).cast("long")
