@@ -13,16 +13,17 @@ def factor() -> Column:
     return F.greatest(1 + F.col("strategy_return"), F.lit(0.0))
 
 
-def positions(prices: DataFrame, signals: DataFrame, threshold: float = 0.5, cost: float = 0.001, delay: int = 2) -> DataFrame:
+def positions(prices: DataFrame, signals: DataFrame, threshold: float = 0.5, cost: float = 0.001, delay: int = 2, short: bool = False) -> DataFrame:
     """Bars with position, strategy return, equity and drawdown. The signal (score) acts ``delay`` bars later:
 
     with 2 the position is that of the bar before and its return counts from the next bar; with 1 at once.
-    A missing score is 0. Costs fall due on bars where the position changes.
+    A missing score is 0. Costs fall due once on bars where the position changes. With ``short`` a signal below the threshold is a position of -1.
     """
-    scored = prices.join(signals, ["asset", "ts"]).withColumn("_want", F.coalesce((F.col("score") >= threshold).cast("int"), F.lit(0)))
+    held = F.coalesce((F.col("score") >= threshold).cast("int"), F.lit(0))
+    scored = prices.join(signals, ["asset", "ts"]).withColumn("_want", held * 2 - 1 if short else held)
     step = scored.withColumns({"position": F.coalesce(lag("_want"), F.lit(0)), "_ret": F.coalesce(F.try_divide("close", lag("close")) - 1, F.lit(0.0))})
     held = F.coalesce(lag("position"), F.lit(0)) if delay == 2 else F.col("position")
-    step = step.withColumns({"_held": held, "_change": F.abs(F.col("position") - F.coalesce(lag("position"), F.lit(0)))})
+    step = step.withColumns({"_held": held, "_change": (F.col("position") != F.coalesce(lag("position"), F.lit(0))).cast("int")})
     step = step.withColumn("strategy_return", F.col("_held") * F.col("_ret") - F.col("_change") * cost)
     step = step.withColumn("equity", F.product(factor()).over(so_far()))
     return step.withColumn("drawdown", F.col("equity") / F.max("equity").over(so_far()) - 1).drop("_want", "_ret", "_held", "_change", "score")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranges import running
+
 
 def folds(series: DataFrame, n_folds: int = 5, min_train: int = 120, val_frac: float = 0.15, gap: int = 0, rolling: bool = False) -> DataFrame:
     """Bounds (end exclusive) of each asset's folds, from its number of rows; folds that overflow are left out."""
@@ -37,19 +39,9 @@ def classification(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Exact area under the curve from counts of each distinct score; 0.5 for one class.
-
-    Scores are dealt by 4096 ranges of equal width; the few sums of ranges give each range its offset, so that
-    running sums stay within a range and no task sees all scores.
-    """
+    """Exact area under the curve from counts of each distinct score; 0.5 for one class. Running sums go by ranges of scores."""
     at = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    ends = at.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
-    part = F.coalesce(F.floor(F.try_divide((F.col(score) - F.col("lo")) * 4095, F.col("hi") - F.col("lo"))), F.lit(0)).alias("part")
-    dealt = at.crossJoin(F.broadcast(ends)).select(score, "p", "q", part)
-    before = dealt.groupBy("part").agg(F.sum("q").alias("own")).select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))  # at most 4096 rows
-    w = Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("q").over(w), F.lit(0)) + F.col("before")
-    won = dealt.join(F.broadcast(before), "part").withColumn("won", F.col("p") * (below + F.col("q") / 2))
+    won = running(at, score, "q").withColumn("won", F.col("p") * (F.col("before") + F.col("q") / 2))
     return won.agg(F.coalesce(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("q")).cast("double")), F.lit(0.5)).alias("auc"))
 
 
