@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,36 +35,46 @@ def logistic(rows: DataFrame, columns: list[str], label: str = "label", part: st
     return model.transform(made).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
+def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, all values at once."""
+    tiny = 1e-300
+    apart = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / apart(1 - (a + b) * x / (a + 1))
+    out = d.copy()
+    for m in range(1, 300):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / apart(1 + top * d)
+            c = apart(1 + top / c)
+            out = out * c * d
+        if (np.abs(c * d - 1) < 1e-13).all():
+            break
+    return out
+
+
+def t_tails(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided p of Student's t with n degrees of freedom; nan where one is missing or n is not positive."""
+    ok = np.isfinite(t) & (n > 0)
+    out = np.where(np.isinf(t) & (n > 0), 0.0, np.nan)
+    a, t = n[ok] / 2, t[ok]
+    b, x = np.full(len(a), 0.5), 2 * a / (2 * a + t * t)
+    gamma = np.frompyfunc(math.lgamma, 1, 1)
+    y = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(gamma(a + b).astype(float) - gamma(a).astype(float) - math.lgamma(0.5) + a * np.log(y) + b * np.log1p(-y))
+    low = x < (a + 1) / (a + b + 2)
+    tail = np.where(low, front * beta_fraction(np.where(low, a, b), np.where(low, b, a), np.where(low, y, 1 - y)) / np.where(low, a, b), 0.0)
+    tail = np.where(low, tail, 1 - front * beta_fraction(np.where(low, a, b), np.where(low, b, a), np.where(low, y, 1 - y)) / np.where(low, a, b))
+    out[ok] = np.where(t == 0, 1.0, np.clip(tail, 0.0, 1.0))
+    return out
+
+
 def t_tail(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function; Arrow batches of two columns."""
-
-    def beta_fraction(a: float, b: float, x: float) -> float:
-        tiny = 1e-300
-        c, d = 1.0, 1.0 / max(1 - (a + b) * x / (a + 1), tiny)
-        out = d
-        for m in range(1, 200):
-            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 / (1 + top * d or tiny)
-                c = 1 + top / c or tiny
-                out *= c * d
-            if abs(c * d - 1) < 1e-12:
-                break
-        return out
-
-    def tail(t: float, n: float) -> float | None:
-        if pd.isna(t) or pd.isna(n) or n <= 0:
-            return None
-        a, b, x = n / 2, 0.5, n / (n + t * t)
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-        if not 0 < x < 1:
-            return 1.0 if x >= 1 else 0.0
-        return front * beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * beta_fraction(b, a, 1 - x) / b
+    """Two-sided p of Student's t, by Arrow batches; null where t is, or df is not positive."""
 
     @F.pandas_udf("double")
     def run(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([tail(a, b) for a, b in zip(t, n)], dtype="float64")
+        return pd.Series(t_tails(t.to_numpy(float), n.to_numpy(float)))
 
-    return run(t, df.cast("double"))
+    return F.nanvl(run(t, df.cast("double")), F.lit(None).cast("double"))
 
 
 #: Confidence of evidence by accuracy: lowest accuracy and confidence (fixed values).

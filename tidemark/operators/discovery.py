@@ -58,8 +58,8 @@ def _assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with none of ``columns`` null, each standardised by the population's deviation (0 counts as 1), as one vector."""
     rows = rows.dropna(subset=columns)
     stats = rows.agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
-    scaled = [((F.col(c) - F.lit(stats[f"{c}_m"] or 0.0)) / F.lit(stats[f"{c}_s"] or 1.0)).alias(f"_{c}") for c in columns]
-    return VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_v").transform(rows.select("*", *scaled)).drop(*(f"_{c}" for c in columns))
+    scaled = [((F.col(c) - F.lit(stats[f"{c}_m"] or 0.0)) / F.lit(stats[f"{c}_s"] or 1.0)).alias(f"_scaled_{c}") for c in columns]
+    return VectorAssembler(inputCols=[f"_scaled_{c}" for c in columns], outputCol="_v").transform(rows.select("*", *scaled)).drop(*(f"_scaled_{c}" for c in columns))
 
 
 def clustered(rows: DataFrame, columns: list[str], k: int, soft: bool = False, seed: int = 42) -> DataFrame:

@@ -50,7 +50,7 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     old = customers.where("c_custkey % 3 <> 0").select("c_custkey", _case("c_mktsegment", STATUS, "quarantined").alias("status"), F.lit(0.25).alias("score"), F.array(F.lower("c_mktsegment")).alias("tags"), F.lit("old").alias("notes"))
-    new = customers.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 10000).alias("score"), F.array(F.lit("daily"), F.lower("c_mktsegment")).alias("tags"), F.lit("new").alias("notes"))
+    new = customers.where("c_custkey % 2 = 0 or c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 10000).alias("score"), F.array(F.lit("daily"), F.lower("c_mktsegment")).alias("tags"), F.lit("new").alias("notes"))
     return lifecycle.registered(old, new, "c_custkey").withColumn("tags", F.concat_ws(",", "tags"))
 
 
@@ -63,7 +63,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     found = orders.select(F.col("o_orderkey").alias("claim_id"), _case("o_orderpriority", CLAIM, "archived").alias("status"), F.when(F.col("o_orderstatus") == "P", "hypothesis").otherwise("relationship").alias("claim_type"))
-    edges = orders.where("o_orderkey % 2 = 1").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("l_returnflag") == "R", "rejected").otherwise("supported").alias("edge_status"))
+    edges = orders.join(table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("l_returnflag") == "R", "rejected").otherwise("supported").alias("edge_status"))
     return lifecycle.synced(found, edges, create_missing=True)
 
 
@@ -75,7 +75,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     old = suppliers.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("node"), F.create_map(F.lit("name"), F.lit("old"), F.lit("nation"), F.col("s_nationkey").cast("string")).alias("properties"))
-    new = suppliers.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("node"), F.create_map(F.lit("name"), F.col("s_name")).alias("properties"))
+    new = suppliers.where("s_suppkey % 2 = 0 or s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("node"), F.create_map(F.lit("name"), F.col("s_name")).alias("properties"))
     found = lifecycle.upserted_nodes(old, new)
     return found.select("node", F.col("properties")["name"].alias("name"), F.col("properties")["nation"].alias("nation"))
 
@@ -120,10 +120,10 @@ def catalog() -> dict:
     return {
         "source_transitions": (transitions, f"SELECT c_custkey, CASE WHEN accepted THEN s ELSE status END AS status, accepted FROM (SELECT *, CASE WHEN s IS NOT NULL THEN ({ALLOWED}) END AS accepted FROM ({CUSTOMERS}) LEFT JOIN (SELECT o_custkey AS c_custkey, {_sql_case('p', NEXT, 'rejected')} AS s FROM (SELECT o_custkey, arg_max(o_orderpriority, row(o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1)) USING (c_custkey))"),
         "source_probes": (probes, f"SELECT c_custkey, CASE WHEN adv THEN 'sampled' ELSE status END AS status, CASE WHEN adv THEN 'sampled' ELSE 'updated' END AS action FROM (SELECT *, status = 'discovered' AND (c_custkey % 11 = 0 OR {CODES}[c_custkey % {len(CODES)} + 1] NOT IN (405, 500, 503)) AS adv FROM ({CUSTOMERS}))"),
-        "source_candidates": (candidates, f"SELECT c_custkey, CASE WHEN o THEN status ELSE 'discovered' END AS status, CASE WHEN n THEN round(CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 ELSE 0.5 END, 4) ELSE 0.25 END AS score, CASE WHEN n AND (NOT o OR status = 'discovered') THEN array_to_string(list_sort(['daily', lower(c_mktsegment)]), ',') ELSE lower(c_mktsegment) END AS tags, concat_ws(chr(10), CASE WHEN o THEN 'old' END, CASE WHEN n THEN 'new' END) AS notes, CASE WHEN NOT o THEN 'created' WHEN n THEN 'updated' ELSE 'kept' END AS action FROM (SELECT *, c_custkey % 3 <> 0 AS o, c_custkey % 2 = 0 AS n FROM ({CUSTOMERS})) WHERE o OR n"),
+        "source_candidates": (candidates, f"SELECT c_custkey, CASE WHEN o THEN status ELSE 'discovered' END AS status, CASE WHEN n THEN round(CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 ELSE 0.5 END, 4) ELSE 0.25 END AS score, CASE WHEN n AND (NOT o OR status = 'discovered') THEN array_to_string(list_sort(['daily', lower(c_mktsegment)]), ',') ELSE lower(c_mktsegment) END AS tags, concat_ws(chr(10), CASE WHEN o THEN 'old' END, CASE WHEN n THEN 'new' END) AS notes, CASE WHEN NOT o THEN 'created' WHEN n THEN 'updated' ELSE 'kept' END AS action FROM (SELECT *, c_custkey % 3 <> 0 AS o, c_custkey % 2 = 0 OR c_custkey % 3 = 0 AS n FROM ({CUSTOMERS}))"),
         "claim_evaluation": (claims, f"SELECT claim_id, n, types, against, support, round(greatest(0, least(0.95, CASE support WHEN 'weak' THEN 0.3 WHEN 'moderate' THEN 0.6 WHEN 'strong' THEN 0.9 ELSE 0 END + least(0.05, greatest(types - 1, 0) * 0.01) - least(0.2, against * 0.05)))::DOUBLE, 4) AS score, CASE WHEN n = 0 THEN 'propose' WHEN rej THEN 'reject' WHEN support IN ('moderate', 'strong') THEN 'support' ELSE 'flag_weak' END AS advice, (n = 0)::BIGINT + rej::BIGINT + (NOT rej AND against > 0)::BIGINT + (types = 1 AND n >= 2)::BIGINT + (os = 'P')::BIGINT AS notes FROM ({LEVELS})"),
-        "claim_sync": (sync, f"WITH c AS (SELECT o_orderkey AS claim_id, {_sql_case('o_orderpriority', CLAIM, 'archived')} AS status, o_orderstatus AS os FROM orders), e AS (SELECT claim_id, count(*) FILTER (WHERE CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'supported' END <> status) AS k FROM c JOIN lineitem ON claim_id = l_orderkey WHERE claim_id % 2 = 1 GROUP BY 1) SELECT claim_id, status, CASE WHEN k > 0 THEN 'updated' WHEN k = 0 THEN 'unchanged' WHEN status <> 'supported' OR os = 'P' THEN 'skipped' ELSE 'created' END AS action, coalesce(k, 0) AS n_edges FROM c LEFT JOIN e USING (claim_id)"),
-        "node_upsert": (nodes, "SELECT s_suppkey AS node, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'old' END AS name, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0"),
+        "claim_sync": (sync, f"WITH c AS (SELECT o_orderkey AS claim_id, {_sql_case('o_orderpriority', CLAIM, 'archived')} AS status, o_orderstatus AS os FROM orders), e AS (SELECT claim_id, count(*) FILTER (WHERE CASE WHEN l_returnflag = 'R' THEN 'rejected' ELSE 'supported' END <> status) AS k FROM c JOIN lineitem ON claim_id = l_orderkey WHERE l_returnflag <> 'N' GROUP BY 1) SELECT claim_id, status, CASE WHEN k > 0 THEN 'updated' WHEN k = 0 THEN 'unchanged' WHEN status <> 'supported' OR os = 'P' THEN 'skipped' ELSE 'created' END AS action, coalesce(k, 0) AS n_edges FROM c LEFT JOIN e USING (claim_id)"),
+        "node_upsert": (nodes, "SELECT s_suppkey AS node, CASE WHEN s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 THEN s_name ELSE 'old' END AS name, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier"),
         "experiment_states": (experiments, f"WITH r AS (SELECT *, count(*) FILTER (WHERE action IN ('finish', 'fail', 'archive')) {SO_FAR} AS part, bool_or(action = 'backtest') {SO_FAR} AS bt FROM ({LOG})), p AS (SELECT user_id, part, max(action) FILTER (WHERE action IN ('finish', 'fail', 'archive')) AS st, count(*) FILTER (WHERE action = 'promote') AS asked, bool_or(action = 'promote' AND bt) AS pr, bool_or(bt) AS bt FROM r GROUP BY 1, 2), q AS (SELECT *, coalesce(pr AND st = 'finish', false) AS ok FROM p) SELECT user_id AS experiment_id, arg_max(CASE WHEN ok THEN 'promoted' WHEN st = 'finish' THEN 'completed' WHEN st = 'fail' THEN 'failed' WHEN st = 'archive' THEN 'archived' ELSE 'running' END, part) AS status, bool_or(bt) AS backtest, CAST(sum(ok::BIGINT) AS BIGINT) AS promotions, CAST(sum(asked) - sum(ok::BIGINT) AS BIGINT) AS refused FROM q GROUP BY 1"),
         "quarantine_summary": (quarantined, "SELECT source, reason, count(*) AS n_rows, count(DISTINCT e) AS n_entries, count(DISTINCT e) FILTER (WHERE e >= 25) AS n_open FROM (SELECT l_orderkey % 50 AS e, l_returnflag AS source, CASE WHEN l_discount >= 0.09 THEN 'discount' ELSE 'tax' END AS reason FROM lineitem WHERE l_discount >= 0.09 OR l_tax >= 0.08) GROUP BY 1, 2"),
         "health_readings": (health, "SELECT event_id, event_type AS metric, value, CASE event_type WHEN 'purchase' THEN 100.0::DOUBLE WHEN 'view' THEN 50.0::DOUBLE END AS threshold, coalesce(value > CASE event_type WHEN 'purchase' THEN 100.0::DOUBLE WHEN 'view' THEN 50.0::DOUBLE END, false) AS flagged FROM events"),

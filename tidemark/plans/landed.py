@@ -90,10 +90,11 @@ def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of even and odd keys as two feeds."""
     orders = table(spark, sf_dir, "orders")
-    house = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("symbol"), F.col("o_custkey").cast("string").alias("member"), F.to_date("o_orderdate").alias("traded"), F.col("o_totalprice").alias("amount"))
-    senate = orders.where("o_orderkey % 3 = 1").select(F.col("o_orderpriority").alias("symbol"), F.col("o_custkey").cast("string").alias("member"), F.to_date("o_orderdate").alias("traded"), F.col("o_orderstatus").alias("kind"))
-    return payloads.trades_of_both(house, senate, "1-URGENT")
+    house = orders.where("o_orderkey % 2 = 0").select(F.col("o_orderpriority").alias("symbol"), F.col("o_custkey").cast("string").alias("member"), F.to_date("o_orderdate").alias("traded"), F.col("o_totalprice").alias("amount"))
+    senate = orders.where("o_orderkey % 2 = 1").select(F.col("o_orderpriority").alias("symbol"), F.col("o_custkey").cast("string").alias("member"), F.to_date("o_orderdate").alias("traded"), F.col("o_orderstatus").alias("kind"))
+    return payloads.trades_of_both(house, senate)
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,33 +137,45 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A body of each kind for each region, of its nations."""
-    one = F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("k"))
-    made = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(one).alias("x"))
+    """A body of one of five kinds for each customer, of the customer's orders."""
+    one = F.struct(F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("string").alias("k"))
+    made = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(one).alias("x"))
     lines = lambda f: F.array_join(F.transform("x", f), "\n")
-    key = F.col("n_regionkey")
+    key = F.col("o_custkey") % 5
     body = F.when(key == 0, F.to_json("x")).when(key == 1, lines(lambda r: F.to_json(r))).when(key == 2, F.concat(F.lit('{"meta": {"a": 1}, "data": '), F.to_json("x"), F.lit("}"))).when(key == 3, F.concat(F.lit("name,k\n"), lines(lambda r: F.concat_ws(",", r["name"], r["k"])))).otherwise(F.lit("plain words"))
-    found = payloads.sniffed(made.select(key.alias("id"), body.alias("body")), 3)
+    found = payloads.sniffed(made.select(F.col("o_custkey").alias("id"), body.alias("body")), 3)
     return found.select("id", "format", F.size("rows").alias("n"), F.size(F.filter("rows", lambda r: r["name"].isNotNull() & r["k"].isNotNull())).alias("whole"))
 
 
+SNIFFED = """SELECT id, CASE WHEN n = 0 THEN 'unknown' ELSE (['json', 'ndjson', 'json_object', 'csv', 'unknown'])[id % 5 + 1] END AS format, n, n AS whole
+ FROM (SELECT o_custkey AS id, CAST(CASE WHEN o_custkey % 5 = 4 OR (o_custkey % 5 = 1 AND count(*) = 1) THEN 0 ELSE least(count(*), 3) END AS INT) AS n FROM orders GROUP BY 1)"""
+#: The kind of event that an order's priority stands for.
+KINDS = {"1-URGENT": "FOMC", "2-HIGH": "CPI", "3-MEDIUM": "NFP"}
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "orders").where("o_orderkey < 40").select(F.lit("FOMC").alias("kind"), F.to_date("o_orderdate").alias("date")).distinct()
+    """The first order of each priority and month as a known date."""
+    kind = F.coalesce(*(F.when(F.col("o_orderpriority") == k, v) for k, v in KINDS.items()), F.lit("OTHER"))
+    known = table(spark, sf_dir, "orders").groupBy(kind.alias("kind"), F.trunc("o_orderdate", "month").alias("m")).agg(F.min(F.to_date("o_orderdate")).alias("date")).drop("m")
     return payloads.macro_calendar(spark, 1996, known)
 
 
 def _calendar_sql() -> str:
     rule = " UNION ALL ".join(f"SELECT '{k}' AS kind, make_date(1996, m, {d}) AS date FROM (SELECT unnest({list(months)}) AS m)" for k, months, d in payloads.RULES)
-    known = "SELECT DISTINCT 'FOMC' AS kind, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey < 40 AND year(o_orderdate) = 1996"
+    kind = f"CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items())} ELSE 'OTHER' END"
+    known = f"SELECT {kind} AS kind, CAST(min(o_orderdate) AS DATE) AS date FROM orders WHERE year(o_orderdate) = 1996 GROUP BY {kind}, month(o_orderdate)"
     made = f"SELECT kind, CAST(date + CAST(CASE WHEN isodow(date) > 5 THEN 8 - isodow(date) ELSE 0 END AS INT) AS DATE) AS date FROM ({rule}) WHERE kind NOT IN (SELECT kind FROM ({known})) UNION ALL {known}"
     return f"SELECT kind || '_' || date AS event_id, kind, date FROM ({made})"
 
 
 def pulled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of half of the assets, some without a price, against all that are wanted."""
-    made = bars(spark, sf_dir)
-    got = payloads.complete_bars(made.where("asset < 'NO'").withColumn("high", F.when(F.month("ts") != 2, F.col("high"))))
-    return payloads.pull_summary(made.select("asset").distinct(), got)
+    """Orders as bars of their customers, those in process without a high, against all customers that are wanted."""
+    price = F.col("o_totalprice")
+    got = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("asset"), F.to_date("o_orderdate").alias("ts"), price.alias("open"), F.when(F.col("o_orderstatus") != "P", price).alias("high"), price.alias("low"), price.alias("close"))
+    return payloads.pull_summary(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asset")), payloads.complete_bars(got))
+
+
+PULLED = "SELECT CASE WHEN rows > 0 THEN 'success' ELSE 'failure' END AS status, count(*) AS assets, CAST(sum(rows) AS BIGINT) AS rows FROM (SELECT c_custkey, count(o_orderkey) AS rows FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' GROUP BY 1) GROUP BY 1"
 
 
 def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,16 +198,16 @@ def catalog() -> dict:
         "landed_filings": (filings, "SELECT CAST(o_custkey % 50 AS VARCHAR) AS symbol, CASE WHEN o_orderstatus = 'F' THEN '10-K' ELSE '10-Q' END AS form, CAST(o_orderdate AS DATE) AS filed, o_orderkey AS accession FROM orders WHERE o_orderstatus <> 'O'"),
         "landed_facts": (facts, f"SELECT symbol, label, \"end\", arg_max(val, (filed, val)) AS val, max(filed) AS filed FROM ({FACTS}) JOIN (SELECT symbol, label, min(unit_rank) AS unit_rank FROM ({FACTS}) GROUP BY 1, 2) USING (symbol, label, unit_rank) GROUP BY 1, 2, 3"),
         "landed_earnings": (earnings, "SELECT o_orderkey AS event_id, round(eps - est, 4) AS eps_surprise, round((eps - est) / nullif(abs(est), 0) * 100, 2) AS eps_surprise_pct, eps IS NOT NULL AS has_actuals FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 100 END AS eps, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(floor(o_totalprice / 10000) * 100 AS DOUBLE) END AS est FROM orders) WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-06-08' AND DATE '1996-06-29' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
-        "landed_trades": (trades, "SELECT o_orderpriority AS symbol, CAST(o_custkey AS VARCHAR) AS member, CAST(o_orderdate AS DATE) AS traded, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS amount, CASE WHEN o_orderkey % 3 = 0 THEN 'house' ELSE 'senate' END AS chamber, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus END AS kind FROM orders WHERE o_orderkey % 3 < 2 AND o_orderpriority = '1-URGENT'"),
+        "landed_trades": (trades, "SELECT o_orderpriority AS symbol, CAST(o_custkey AS VARCHAR) AS member, CAST(o_orderdate AS DATE) AS traded, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS amount, CASE WHEN o_orderkey % 2 = 0 THEN 'house' ELSE 'senate' END AS chamber, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS kind FROM orders"),
         "post_sentiment": (posts, f"SELECT count(*) AS mentions, CASE WHEN sum(s * w) / sum(w) > 0.05 THEN 'bullish' WHEN sum(s * w) / sum(w) < -0.05 THEN 'bearish' ELSE 'neutral' END AS label, round(sum(s * w) / sum(w), 6) AS score FROM ({POSTS})"),
         "search_interest": (interest, picked(f"SELECT *, CASE WHEN recent > mean * 1.1 THEN 'rising' WHEN recent < mean * 0.9 THEN 'falling' ELSE 'stable' END AS trend FROM (SELECT indicator AS term, avg(value) AS mean, max(value) FILTER (WHERE k = 1) AS current, avg(value) FILTER (WHERE k <= 4) AS recent FROM ({ranked}) GROUP BY 1)", ["term", "trend"], ["mean", "current", "recent"])),
         "message_ratio": (messages, picked("SELECT *, CASE WHEN bulls > 1.3 * bears THEN 'bullish' WHEN bears > 1.3 * bulls THEN 'bearish' ELSE 'neutral' END AS label, bulls / nullif(bulls + bears, 0) AS ratio FROM (SELECT event_type AS symbol, count(*) FILTER (WHERE value > 55) AS bulls, count(*) FILTER (WHERE value < 45) AS bears FROM events GROUP BY 1)", ["symbol", "bulls", "bears", "label"], ["ratio"])),
         "composite_mood": (mood, picked("SELECT *, CASE WHEN score > 0.2 THEN 'bullish' WHEN score < -0.2 THEN 'bearish' ELSE 'neutral' END AS overall FROM (SELECT event_type AS symbol, avg(CASE WHEN value > 40 THEN 1 WHEN value < 20 THEN -1 ELSE 0 END) AS score FROM events GROUP BY 1)", ["symbol", "overall"], ["score"])),
         "options_summary": (options, picked(f"SELECT *, CASE WHEN ratio > 1.2 THEN 'extreme_fear' WHEN ratio > 1.0 THEN 'fear' WHEN ratio > 0.8 THEN 'neutral' WHEN ratio > 0.6 THEN 'greed' ELSE 'extreme_greed' END AS signal, iv * sqrt(days / 365) * 100 AS implied_move FROM (SELECT *, puts / greatest(calls, 1) AS ratio FROM ({OPTIONS}))", ["symbol", "calls", "puts", "days", "signal"], ["iv", "ratio", "implied_move"])),
         "landed_news": (news, "SELECT p_partkey AS id, p_name AS title, p_type[1:8] AS summary, CASE WHEN p_partkey % 3 = 0 THEN 'http://x/' ELSE 'http://y/' END || p_partkey AS link, CASE WHEN p_partkey % 3 = 0 THEN '5' ELSE '6' END AS published FROM part WHERE p_partkey % 3 < 2"),
-        "sniffed_formats": (sniffed, "SELECT n_regionkey AS id, ['json', 'ndjson', 'json_object', 'csv', 'unknown'][n_regionkey + 1] AS format, CAST(CASE WHEN n_regionkey < 4 THEN least(count(*), 3) ELSE 0 END AS INT) AS n, CAST(CASE WHEN n_regionkey < 4 THEN least(count(*), 3) ELSE 0 END AS INT) AS whole FROM nation GROUP BY n_regionkey"),
+        "sniffed_formats": (sniffed, SNIFFED),
         "macro_calendar": (calendar, _calendar_sql()),
-        "pull_summary": (pulled, f"SELECT status, count(*) AS assets, CAST(sum(rows) AS BIGINT) AS rows FROM (SELECT asset, count(*) FILTER (WHERE asset < 'NO' AND month(ts) <> 2) AS rows, CASE WHEN count(*) FILTER (WHERE asset < 'NO' AND month(ts) <> 2) > 0 THEN 'success' ELSE 'failure' END AS status FROM ({BARS}) GROUP BY 1) GROUP BY 1"),
+        "pull_summary": (pulled, PULLED),
         "wide_series": (lambda s, d: payloads.wide(series(s, d), ["A", "N", "R"]), f"SELECT ts, max(value) FILTER (WHERE indicator = 'A') AS \"A\", max(value) FILTER (WHERE indicator = 'N') AS \"N\", max(value) FILTER (WHERE indicator = 'R') AS \"R\" FROM ({MACRO}) GROUP BY 1"),
         "series_spread": (spreads, f"WITH w AS (SELECT ts, max(value) FILTER (WHERE indicator = 'A') AS a, max(value) FILTER (WHERE indicator = 'N') AS n, max(value) FILTER (WHERE indicator = 'R') AS r FROM ({MACRO}) GROUP BY 1) SELECT 'a_minus_n' AS indicator, ts, round(a - n, 6) + 0.0 AS value FROM w WHERE a IS NOT NULL AND n IS NOT NULL UNION ALL SELECT 'a_to_r', ts, round(a / r, 6) + 0.0 FROM w WHERE a IS NOT NULL AND r IS NOT NULL"),
         "search_hits": (lambda s, d: payloads.search_hits(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), "the", 60), "SELECT item_id AS id, substring(text, CAST(greatest(strpos(lower(text), 'the') - 40, 1) AS INT), 60) AS snippet FROM benchmark WHERE strpos(lower(text), 'the') > 0"),

@@ -105,15 +105,16 @@ HIDDEN = f"SELECT a, b, x.label = y.label AS known, CASE WHEN a % 3 = 0 OR b % 3
 
 
 def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges from nations to regions as numbers; indices are held against the ids they stand for."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("src"), F.concat(F.lit("region "), F.col("n_regionkey")).alias("dst"), F.when(F.col("n_regionkey") == 0, "CAUSES").otherwise("BELONGS_TO").alias("rel_type"), F.when(F.col("n_nationkey") % 2 == 0, 0.9).alias("confidence"), F.when(F.col("n_nationkey") % 3 == 0, -0.7).alias("pearson_r"))
-    nodes = nation.select(F.explode(F.array("src", "dst")).alias("node"))
-    index, made = intelligence.tensors(nation, nodes, {"BELONGS_TO": 1, "CAUSES": 2}, 0.6)
-    n, most = index.agg(F.count_distinct("index"), F.max("index")).first()
-    return made.select("src", "dst", "type", "weight", (F.lit(n) == F.lit(most + 1)).alias("dense"))
+    """Edges from customers to nations to regions as numbers; a test holds the indices against the ids they stand for."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_name").alias("src"), F.concat(F.lit("nation "), F.col("c_nationkey")).alias("dst"), F.when(F.col("c_mktsegment") == "BUILDING", "CAUSES").otherwise("BELONGS_TO").alias("rel_type"), F.when(k % 2 == 0, 0.9).alias("confidence"), F.when(k % 3 == 0, -0.7).alias("pearson_r"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation "), F.col("n_nationkey")), F.concat(F.lit("region "), F.col("n_regionkey")), F.lit("BELONGS_TO"), F.lit(0.8), F.lit(None).cast("double"))
+    edges = customers.unionAll(nations)
+    _, made = intelligence.tensors(edges, edges.select(F.explode(F.array("src", "dst")).alias("node")), {"BELONGS_TO": 1, "CAUSES": 2}, 0.6)
+    return made.select("src", "dst", "type", "weight")
 
 
-TENSORS = "SELECT * FROM (SELECT n_name AS src, 'region ' || n_regionkey AS dst, CAST(CASE WHEN n_regionkey = 0 THEN 2 ELSE 1 END AS INT) AS type, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 0.9 WHEN n_nationkey % 3 = 0 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS weight, true AS dense FROM nation) WHERE weight >= 0.6"
+TENSORS = "SELECT * FROM (SELECT c_name AS src, 'nation ' || c_nationkey AS dst, CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END AS INT) AS type, CAST(CASE WHEN c_custkey % 2 = 0 THEN 0.9 WHEN c_custkey % 3 = 0 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS weight FROM customer UNION ALL SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey, 1, 0.8 FROM nation) WHERE weight >= 0.6"
 
 
 def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
