@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,5 +77,43 @@ def ewm(df: DataFrame, columns: dict[str, tuple[str | tuple[str, str], float]],
     return df.groupBy("asset").applyInPandas(run, schema)
 
 
+def _rolled(kind: str, n: int, columns: list[np.ndarray]) -> np.ndarray:
+    out = np.full(len(columns[0]), np.nan)
+    if len(out) < n:
+        return out
+    parts = [np.lib.stride_tricks.sliding_window_view(c, n) for c in columns]
+    whole = np.flatnonzero(~np.logical_or.reduce([np.isnan(p).any(1) for p in parts]))
+    x = parts[0][whole]
+    if kind == "rank":
+        found = ((x < x[:, -1:]).sum(1) + ((x == x[:, -1:]).sum(1) + 1) / 2) / n
+    else:
+        y = parts[1][whole]
+        u, v = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+        both, of_x, of_y = (u * v).sum(1), (u * u).sum(1), (v * v).sum(1)
+        below = of_y if kind == "beta" else np.sqrt(of_x * of_y)
+        fixed = (y == y[:, :1]).all(1) if kind == "beta" else (x == x[:, :1]).all(1) | (y == y[:, :1]).all(1)
+        found = np.divide(both, below, out=np.full(len(below), np.nan), where=~fixed & (below > 0))
+    out[whole + n - 1] = found
+    return out
+
+
+def rolled(df: DataFrame, columns: dict[str, tuple[str, int, tuple[str, ...]]]) -> DataFrame:
+    """Adds statistics of the last n rows: name -> (kind, n, columns); null unless all n rows have all of them.
+
+    rank: share of the values below the last, its equals counted half; corr: correlation of two; beta: slope of the first on the second. A task
+    takes the windows of one asset's series at once; as window aggregates each would carry n values a row.
+    """
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{n}` double" for n in columns)])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts", kind="stable")
+        values = {c: rows[c].to_numpy(float) for _, _, cs in columns.values() for c in cs}
+        for name, (kind, n, cs) in columns.items():
+            rows[name] = _rolled(kind, n, [values[c] for c in cs])
+        return rows
+
+    return df.groupBy("asset").applyInPandas(run, schema)
+
+
 def span(n: int) -> float:
     return 2 / (n + 1)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import ewm, flag, in_time, lag, last_rows, roll, rolling_corr, so_far, span
+from tidemark.functions.windows import ewm, flag, in_time, lag, last_rows, roll, rolled, so_far, span
 from tidemark.operators.asof import asof, event_distance
 from tidemark.operators.features import YEAR, true_range
 
@@ -64,10 +64,8 @@ def volatility_regime(bars: DataFrame) -> DataFrame:
     """vol_regime 0..3 by right-closed bins, vol_pct_rank in the last 252 bars, vol_expanding, variance_ratio, vol_breakout; needs ``volatility``."""
     vol = F.col("vol_21d")
     regime = F.when((vol > 0) & (vol <= 0.15), 0).when((vol > 0.15) & (vol <= 0.25), 1).when((vol > 0.25) & (vol <= 0.35), 2).when((vol > 0.35) & (vol <= 10), 3)
-    year = F.collect_list("vol_21d").over(last_rows(252))
-    rank = (F.size(F.filter(year, lambda x: x < vol)) + (F.size(F.filter(year, lambda x: x == vol)) + 1) / 2) / 252
     ratio = F.try_divide(F.pow("vol_5d", 2), F.pow("vol_63d", 2))
-    return bars.withColumns({"vol_regime": regime, "vol_pct_rank": F.when(F.count(vol).over(last_rows(252)) == 252, rank), "vol_expanding": flag(F.col("vol_5d") > vol), "variance_ratio": ratio, "vol_breakout": flag(ratio > 2)})
+    return rolled(bars, {"vol_pct_rank": ("rank", 252, ("vol_21d",))}).withColumns({"vol_regime": regime, "vol_expanding": flag(F.col("vol_5d") > vol), "variance_ratio": ratio, "vol_breakout": flag(ratio > 2)})
 
 
 def bands(bars: DataFrame) -> DataFrame:
@@ -102,12 +100,10 @@ def cross_asset(bars: DataFrame, peers: dict[str, str], benchmark: str) -> DataF
     step = bars.withColumn("_ret", F.try_divide("close", lag("close")) - 1)
     names = {f"_r_{n}": a for n, a in peers.items()} | {"_r_bench": benchmark}
     step = step.join(references(step, names, "_ret"), "ts", "left").join(references(bars, {"_bench": benchmark}, "close"), "ts", "left")
-    corr = {f"corr_{p}_{n}d": rolling_corr("_ret", f"_r_{p}", n) for p in peers for n in (21, 63)}
-    both = F.col("_ret").isNotNull() & F.col("_r_bench").isNotNull()
-    x, y = F.when(both, F.col("_ret")), F.when(both, F.col("_r_bench"))
-    beta = {f"beta_{n}d": F.when(F.count(x).over(last_rows(n)) == n, F.try_divide(F.covar_samp(x, y).over(last_rows(n)), F.var_samp(y).over(last_rows(n)))) for n in (21, 63, 252)}
+    corr = {f"corr_{p}_{n}d": ("corr", n, ("_ret", f"_r_{p}")) for p in peers for n in (21, 63)}
+    beta = {f"beta_{n}d": ("beta", n, ("_ret", "_r_bench")) for n in (21, 63, 252)}
     strength = {f"rel_strength_{n}d": F.try_divide("close", lag("close", n)) - F.try_divide("_bench", lag("_bench", n)) for n in (21, 63, 126, 252)}
-    return step.withColumns(corr | beta | strength).drop("_ret", "_bench", *names)
+    return rolled(step, corr | beta).withColumns(strength).drop("_ret", "_bench", *names)
 
 
 def aligned(bars: DataFrame, series: DataFrame, names: list[str], prefix: str, skip_nulls: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import ewm, flag, in_time, lag, last_rows, roll, rolling_corr, so_far, span
+from tidemark.functions.windows import ewm, flag, in_time, lag, last_rows, roll, rolled, rolling_corr, so_far, span
 
 YEAR = sqrt(252)
 #: Months with a rate decision and months of earnings reports (fixed values).
@@ -131,10 +131,8 @@ def exp_features(bars: DataFrame) -> DataFrame:
     step = step.withColumns({f"rsi_{n}": 100 - 100 / (1 + F.try_divide(roll(F.avg, "_gain", n), roll(F.avg, "_loss", n))) for n in (7, 14)} | {"vol_21d": roll(F.stddev_samp, "_log", 21) * YEAR, "bb_width": F.try_divide(4 * roll(F.stddev_samp, "close", 20), roll(F.avg, "close", 20)), "range_position": F.try_divide(F.col("close") - low, high - low), "ad_line": F.sum(clv * F.col("volume")).over(so_far())})
     vol = F.col("vol_21d")
     regime = F.when((vol > 0) & (vol <= 0.15), 0).when((vol > 0.15) & (vol <= 0.25), 1).when((vol > 0.25) & (vol <= 0.35), 2).when((vol > 0.35) & (vol <= 10), 3)
-    year = F.collect_list("vol_21d").over(last_rows(252))
-    rank = (F.size(F.filter(year, lambda x: x < F.col("vol_21d"))) + (F.size(F.filter(year, lambda x: x == F.col("vol_21d"))) + 1) / 2) / 252
     squeeze = F.when(F.count("bb_width").over(last_rows(125)) == 125, F.percentile("bb_width", F.lit(0.25)).over(last_rows(125)))
-    return step.withColumns({"vol_of_vol": roll(F.stddev_samp, "vol_21d", 21), "vol_regime": regime, "vol_pct_rank": F.when(F.count("vol_21d").over(last_rows(252)) == 252, rank), "bb_squeeze": flag(F.col("bb_width") < squeeze)}).drop("_gain", "_loss", "_log")
+    return rolled(step, {"vol_pct_rank": ("rank", 252, ("vol_21d",))}).withColumns({"vol_of_vol": roll(F.stddev_samp, "vol_21d", 21), "vol_regime": regime, "bb_squeeze": flag(F.col("bb_width") < squeeze)}).drop("_gain", "_loss", "_log")
 
 
 def forward_label(bars: DataFrame, horizon: int = 5, threshold: float = 0.0, strict_parity: bool = True) -> DataFrame:
