@@ -131,3 +131,41 @@ def mood(text: str) -> Column:
     up, down = has(RISING), has(FALLING)
     score = F.coalesce(F.round(F.try_divide(up - down, up + down), 3), F.lit(0.0))
     return F.struct(score.alias("score"), F.when(score > 0.1, "bullish").when(score < -0.1, "bearish").otherwise("neutral").alias("label"), up.alias("rising"), down.alias("falling"))
+
+
+def due(events: DataFrame, today: str, back: int = 7, ahead: int = 14, universe: DataFrame | None = None) -> DataFrame:
+    """Events (symbol, date, ...) from ``back`` days before today to ``ahead`` days after, of the symbols of a universe (symbol), if given."""
+    day = F.lit(today).cast("date")
+    near = events.where(F.col("date").between(F.date_sub(day, back), F.date_add(day, ahead)))
+    return near.join(universe.select("symbol").distinct(), "symbol", "left_semi") if universe is not None else near
+
+
+def context(values: DataFrame, indicators: list[str], most: int = 4) -> DataFrame:
+    """(country, indicator, ts, value): of (country, indicator, ts, value) the latest value of each country for the first ``most`` of a list of indicators."""
+    few = list(dict.fromkeys(indicators))[:most]
+    kept = values.where(F.col("indicator").isin(few) & F.col("value").isNotNull())
+    return kept.groupBy("country", "indicator").agg(F.max(F.struct("ts", "value")).alias("l")).select("country", "indicator", "l.*")
+
+
+def window_tensors(rows: DataFrame, columns: list[str], steps: int) -> DataFrame:
+    """(asset, n_real, tensor): the last ``steps`` rows of each asset in time as a list of rows of ``columns``, nulls as 0, with rows of 0 in front where there are fewer."""
+    w = Window.partitionBy("asset").orderBy(F.desc("ts"))
+    last = rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= steps)
+    cell = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    made = last.groupBy("asset").agg(F.count("*").cast("int").alias("n_real"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("k"), F.array(*map(cell, columns)).alias("x")))), lambda r: r["x"]).alias("t"))
+    return made.select("asset", "n_real", F.concat(F.array_repeat(F.array_repeat(F.lit(0.0), len(columns)), F.lit(steps) - F.col("n_real")), "t").alias("tensor"))
+
+
+def top_loadings(components: DataFrame, n: int = 5) -> DataFrame:
+    """(component, side, place, column, loading): of each component the ``n`` largest loadings above zero and the ``n`` smallest below."""
+    side = F.when(F.col("loading") > 0, "up").when(F.col("loading") < 0, "down")
+    w = Window.partitionBy("component", "side").orderBy(F.desc(F.abs("loading")), "column")
+    return components.withColumn("side", side).where("side is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("component", "side", "place", "column", "loading")
+
+
+def factor_exposures(returns: DataFrame, factors: DataFrame, least_rows: int = 24) -> DataFrame:
+    """(asset, factor, n, beta, r2): slope of returns (asset, ts, ret) on the changes of factor series (factor, ts, value) from one of their days to the next, on days that both have."""
+    moved = factors.withColumn("x", F.col("value") - F.lag("value").over(Window.partitionBy("factor").orderBy("ts"))).where("x is not null").select("factor", "ts", "x")
+    both = returns.join(moved, "ts")
+    fits = both.groupBy("asset", "factor").agg(F.count("*").alias("n"), F.regr_slope("ret", "x").alias("beta"), F.regr_r2("ret", "x").alias("r2"))
+    return fits.where(F.col("n") >= least_rows)

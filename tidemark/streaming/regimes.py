@@ -55,26 +55,32 @@ def moments(x: np.ndarray, share: np.ndarray) -> Mixture:
     return Mixture(n / n.sum(), mean, np.maximum(variance, 0) + LEAST_VARIANCE)
 
 
-def first_fit(x: np.ndarray, k: int, tries: int = 8) -> Mixture:
+def apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to each centre."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+
+
+def first_fit(x: np.ndarray, k: int, tries: int = 4) -> Mixture:
     """Moments of the best of some k-means clusterings: centres start far from each other, drawn with a fixed seed; ordered by their coordinates."""
-    rng, best = np.random.default_rng(42), None
+    rng, best, at = np.random.default_rng(42), None, x.mean(0)
+    x = x - at
     for _ in range(tries):
         centres = x[[rng.integers(len(x))]]
         while len(centres) < k:
-            far = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
+            far = apart(x, centres).min(1)
             centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(x))]])
         for _ in range(50):
-            own = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-            moved = np.array([x[own == j].mean(0) if (own == j).any() else centres[j] for j in range(k)])
-            if np.allclose(moved, centres):
+            own = np.eye(k)[apart(x, centres).argmin(1)]
+            n = own.sum(0)
+            moved = np.where(n[:, None] > 0, own.T @ x / np.maximum(n, 1)[:, None], centres)
+            if np.abs(moved - centres).max() < 1e-9:
                 break
             centres = moved
-        spread = float(((x[:, None] - centres[None]) ** 2).sum(2).min(1).sum())
+        spread = float(apart(x, centres).min(1).sum())
         if best is None or spread < best[0] - 1e-12:
             best = spread, centres
     centres = best[1][np.lexsort(best[1].T[::-1])]
-    own = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-    return moments(x, np.eye(k)[own])
+    return moments(x + at, np.eye(k)[apart(x, centres).argmin(1)])
 
 
 def fitted(x: np.ndarray, start: Mixture) -> Mixture:
