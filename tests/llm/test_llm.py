@@ -543,8 +543,8 @@ def test_fewer_candidates_survive_each_doubling(real):
     found, asked = None, []
     for level in range(len(sizes)):
         questions = blocks.passing(table, found, substring_dedup._asker(level, sizes, buckets), blocks.ASKED)
-        asked.append(sum(len(r.hashes) // (16 if level == 3 else 4) for r in questions.collect()))
-        known = blocks.answers(questions, level, wide=level == 3)
+        asked.append(sum(len(r.a) // (16 if level == 3 else 4) for r in questions.collect()))
+        known = blocks.answers(questions, level, buckets, wide=level == 3)
         found = known if found is None else found.unionAll(known)
     n_words = sum(len(spaced(t)) for _, t in texts or [(0, r.text or "") for r in real.collect()])
     assert asked[0] < n_words / 8 and asked[3] < n_words  # one window of each candidate at first, and fewer candidates later

@@ -5,19 +5,21 @@ by block. Every later pass is a job over the blocks with what was found out abou
 moves no text again.
 
 To learn which hashed items (shingles, windows) other documents have too, a block sends the distinct
-hashes of its items, in ascending order, packed by *buckets* (ranges of the hash). A bucket compares what
-all blocks sent and answers each with one flag a hash, in the same order. The block makes its items anew
-from its texts and reads the flags. So an item that is everywhere costs each block one entry; no group
-gathers all its places; and the answers have a row for each row of the questions.
+hashes of its items, in ascending order, as one row cut by *buckets* (ranges of the hash). The rows of a *group* of blocks meet in
+a task, which sends each bucket one row for all of them; a bucket compares what all groups sent and answers each with one flag a
+hash, in the same order; the group's task hands each block its flags, again as one row. The block makes its items anew
+from its texts and reads the flags. So an item that is everywhere costs each block one entry; no task
+gathers all its places. There are as many groups as buckets, one for the root of the text in units of ``ROW_BYTES``:
+the rows between groups and buckets are in proportion to the text, and what a group or a bucket holds grows with its root.
 
 A bucket tells hashes apart by the 32 low bits within its range of the high ones where a false alarm
 does no harm (a later, stricter question follows), and by 64 or 128 bits where it decides.
-The numbers of blocks and buckets grow with the bytes of the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -31,13 +33,17 @@ from pyspark.sql import types as T
 from tidemark.llm.shared import n_partitions, new_path, written
 from tidemark.llm.textarrays import chunks, mixed
 
-#: Most and least bytes of text of a block (where partitions would go without), bytes of text whose items make a bucket, and least buckets.
-BLOCK_BYTES, LEAST_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 1 << 20, 128 << 20, 32
+#: Most and least bytes of text of a block (where partitions would go without), text for a row between a group and a bucket, and least buckets.
+BLOCK_BYTES, LEAST_BYTES, ROW_BYTES, LEAST_BUCKETS = 8 << 20, 1 << 20, 256 << 10, 32
 
-ASKED = "block int, bucket int, hashes binary, others binary"
+#: What a block sends: up to three columns of bytes, each cut by buckets; ``lengths`` are, for all buckets, the numbers of answers that are wanted and the bytes of each column.
+ASKED = "block int, lengths binary, a binary, b binary, c binary"
+#: ``flags`` are the answers to one block in the order of what it sent.
 ANSWER = "block int, level int, bucket int, flags binary"
-_ASKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("others", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("flags", pa.binary())])
+PACKED = "group int, bucket int, blocks binary, sizes binary, a binary, b binary, c binary"
+ANSWERED = "group int, bucket int, blocks binary, sizes binary, found binary"
+COLUMNS = ("a", "b", "c")
+_ASKED, _PACKED, _ANSWERED = (pa.schema([(n.split()[0], pa.int32() if n.endswith("int") else pa.binary()) for n in s.split(", ")]) for s in (ASKED, PACKED, ANSWERED))
 
 
 class Blocks(NamedTuple):
@@ -71,7 +77,7 @@ def blocks(docs: DataFrame, whole: bool = False) -> Blocks:
     name = new_path(spark, "blocks")
     table = "tidemark_" + name.rsplit("-", 1)[1]
     dealt.mapInArrow(_pack, schema).repartition(n, "block").write.option("path", name).option("compression", "none").bucketBy(n, "block").saveAsTable(table)
-    return Blocks(spark.table(table), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)), size)
+    return Blocks(spark.table(table), max(LEAST_BUCKETS, math.isqrt(size // ROW_BYTES)), size)
 
 
 class Texts:
@@ -149,21 +155,86 @@ class Items:
         return np.stack([self.hashes[which], self.second[which]], axis=1)
 
 
+def parcel(block: int | None, wanted: np.ndarray, parts: list[list[bytes]]) -> pa.Table:
+    """The row of ``ASKED`` of a block from, for each bucket, how many answers it wants and the bytes of each column; no row without any."""
+    lengths = np.array([wanted, *([len(p) for p in column] for column in parts)], "<u4")
+    if block is None or not lengths.any():
+        return _ASKED.empty_table()
+    row = [block, zstandard.compress(lengths.tobytes(), 1), *(b"".join(column) for column in parts), *([b""] * (3 - len(parts)))]
+    return pa.table([pa.array([x], f.type) for x, f in zip(row, _ASKED)], schema=_ASKED)
+
+
+def _gathered(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        """What the blocks of a group sent, by bucket."""
+        table = table.sort_by("block")
+        lengths = np.stack([np.frombuffer(zstandard.decompress(x), "<u4").reshape(-1, buckets) for x in table["lengths"].to_pylist()])  # block, what, bucket
+        ends = np.cumsum(lengths, axis=2, dtype=np.int64)
+        columns = [[memoryview(x) for x in table[c].to_pylist()] for c in COLUMNS[: lengths.shape[1] - 1]]
+        blocks = table["block"].combine_chunks().to_numpy().astype("<i4").tobytes()
+        rows = []
+        for k in np.flatnonzero(lengths.any((0, 1))).tolist():
+            parts = [b"".join([data[e - n : e] for data, e, n in zip(column, ends[:, i + 1, k].tolist(), lengths[:, i + 1, k].tolist())]) for i, column in enumerate(columns)]
+            rows.append((key[0].as_py(), k, blocks, lengths[:, 0, k].tobytes(), *parts, *([b""] * (3 - len(parts)))))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _PACKED)], schema=_PACKED)
+
+    return gather
+
+
+def _worked(work: Callable, bits: bool) -> Callable[[pa.Table], pa.Table]:
+    def answer(table: pa.Table) -> pa.Table:
+        found = work(*(table[c].to_pylist() for c in COLUMNS))
+        ends = np.cumsum([0, *(int(np.frombuffer(s, "<u4").sum(dtype=np.int64)) for s in table["sizes"].to_pylist())]).tolist()
+        parts = [(np.packbits(found[i:j]) if bits else found[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:])]
+        return pa.table([*(table[c].combine_chunks() for c in ("group", "bucket", "blocks", "sizes")), pa.array(parts, pa.binary())], schema=_ANSWERED)
+
+    return answer
+
+
+def _handed(level: int, bits: bool) -> Callable[[pa.Table], pa.Table]:
+    def hand(table: pa.Table) -> pa.Table:
+        """The answers of all buckets to a group, by block."""
+        table = table.sort_by("bucket")
+        blocks = np.frombuffer(table["blocks"][0].as_py(), "<i4").tolist()
+        parts: list[list[np.ndarray]] = [[] for _ in blocks]
+        for sizes, found in zip(table["sizes"].to_pylist(), table["found"].to_pylist()):
+            ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
+            items = np.unpackbits(np.frombuffer(found, np.uint8), count=int(ends[-1])) if bits else np.frombuffer(found, np.uint8)
+            for own, piece in zip(parts, np.split(items, ends[:-1])):
+                own.append(piece)
+        whole = [np.concatenate(p) for p in parts]
+        flags = [(np.packbits(w) if bits else w).tobytes() for w in whole]
+        n = len(blocks)
+        return pa.table({"block": pa.array(blocks, pa.int32()), "level": pa.array([level] * n, pa.int32()), "bucket": pa.array([0] * n, pa.int32()), "flags": pa.array(flags, pa.binary())})
+
+    return hand
+
+
+def exchanged(parcels: DataFrame, buckets: int, work: Callable, level: int = 0, bits: bool = True) -> DataFrame:
+    """A row of ``ANSWER`` for each block that sent something. ``work`` gets, bucket by bucket, what groups of blocks sent (a list for each column)
+    and gives the answers to all of it, one after the other: flags, or whole bytes without ``bits``."""
+    packed = parcels.withColumn("group", F.pmod("block", F.lit(buckets))).groupBy("group").applyInArrow(_gathered(buckets), PACKED)
+    return packed.groupBy("bucket").applyInArrow(_worked(work, bits), ANSWERED).groupBy("group").applyInArrow(_handed(level, bits), ANSWER)
+
+
+def cut(data: np.ndarray, bucket: np.ndarray, buckets: int) -> list[bytes]:
+    """The bytes of rows that ascend with their bucket, for each bucket."""
+    at = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+    return [data[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+
+
 def asked(block: int | None, items: Items, buckets: int) -> pa.Table:
-    """Rows of ``ASKED``: hashes that the block has once (they want an answer), and others that it has more often."""
+    """The row of ``ASKED``: hashes that the block has once (a; they want an answer), and others that it has more often (b)."""
     once = items.count == 1
     bucket = bucket_of(items.hashes, buckets)
-    one, other = items.packed(once), items.packed(~once)
-    at, at_other = (np.searchsorted(b, np.arange(buckets + 1)) for b in (bucket[once], bucket[~once]))
-    rows = [(b, one[at[b] : at[b + 1]].tobytes(), other[at_other[b] : at_other[b + 1]].tobytes()) for b in np.unique(bucket).tolist()]
-    columns = list(zip(*rows)) if rows else [[]] * 3
-    return pa.Table.from_arrays([pa.array([block] * len(rows), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(_ASKED)[1:]))], schema=_ASKED)
+    return parcel(block, np.bincount(bucket[once], minlength=buckets), [cut(items.packed(once), bucket[once], buckets), cut(items.packed(~once), bucket[~once], buckets)])
 
 
-def _answer(level: int, wide: bool) -> Callable[[pa.Table], pa.Table]:
-    def answer(table: pa.Table) -> pa.Table:
-        ones, others = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint64 if wide else np.uint32) for c in ("hashes", "others"))
-        both = np.concatenate([ones, others])
+def _repeats(wide: bool) -> Callable:
+    def repeats(ones: list[bytes], others: list[bytes], _: list[bytes]) -> np.ndarray:
+        """Which of the ones occur anywhere else."""
+        one, other = (np.frombuffer(b"".join(c), np.uint64 if wide else np.uint32) for c in (ones, others))
+        both = np.concatenate([one, other])
         if wide:
             both = both.reshape(-1, 2)
             order = np.lexsort((both[:, 1], both[:, 0]))
@@ -178,29 +249,23 @@ def _answer(level: int, wide: bool) -> Callable[[pa.Table], pa.Table]:
         group = np.cumsum(new) - 1
         again = np.zeros(len(found), bool)
         again[order] = (np.bincount(group) > 1)[group]
-        size = np.array([len(h) for h in table["hashes"].to_pylist()]) // (16 if wide else 4)
-        at = np.concatenate([[0], np.cumsum(size)]).tolist()
-        flags = [np.packbits(again[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-        n = table.num_rows
-        return pa.Table.from_arrays([table["block"].combine_chunks(), pa.array([level] * n, pa.int32()), table["bucket"].combine_chunks(), pa.array(flags, pa.binary())], schema=_ANSWER)
+        return again[: len(one) // 2 if wide else len(one)]
 
-    return answer
+    return repeats
 
 
-def answers(questions: DataFrame, level: int, wide: bool = False) -> DataFrame:
+def answers(questions: DataFrame, level: int, buckets: int, wide: bool = False) -> DataFrame:
     """Rows of ``ANSWER``, written: which of the asked hashes another block has too."""
-    return written(questions.groupBy("bucket").applyInArrow(_answer(level, wide), ANSWER), "answers")
+    return written(exchanged(questions, buckets, _repeats(wide), level), "answers")
 
 
-def flagged(items: Items, found: pa.Table, level: int, buckets: int) -> np.ndarray:
+def flagged(items: Items, found: pa.Table, level: int) -> np.ndarray:
     """Which items (as they were given) occur more than once, in this block or elsewhere."""
     repeats = items.count > 1
     once = np.flatnonzero(~repeats)
-    at = np.searchsorted(bucket_of(items.hashes[once], buckets), np.arange(buckets + 1))
-    for own, bucket, flags in zip(found["level"].to_pylist(), found["bucket"].to_pylist(), found["flags"].to_pylist()):
+    for own, flags in zip(found["level"].to_pylist(), found["flags"].to_pylist()):
         if own == level:
-            a, b = at[bucket], at[bucket + 1]
-            repeats[once[a:b]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=b - a).astype(bool)
+            repeats[once] = np.unpackbits(np.frombuffer(flags, np.uint8), count=len(once)).astype(bool)
     return items.spread(repeats)
 
 

@@ -82,29 +82,29 @@ class Search:
             elif len(self.alive[k]):
                 self.alive[k] &= sliding(np.where(again, self.windows[k], MOST), width) == sliding(self.windows[k], width)
 
-    def upto(self, level: int, found: pa.Table | None, buckets: int) -> tuple[list[np.ndarray], Items]:
+    def upto(self, level: int, found: pa.Table | None) -> tuple[list[np.ndarray], Items]:
         """What is looked up at ``level``, by the answers of all levels before."""
         for before in range(level):
             at = self.at_level(before)
-            self.narrow(before, at, flagged(self.items(before, at), found, before, buckets))
+            self.narrow(before, at, flagged(self.items(before, at), found, before))
         at = self.at_level(level)
         return at, self.items(level, at)
 
 
 def _asker(level: int, sizes: list[int], buckets: int):
     def ask(texts: Texts, found: pa.Table | None) -> pa.Table:
-        return asked(texts.block, Search(texts, sizes).upto(level, found, buckets)[1], buckets)
+        return asked(texts.block, Search(texts, sizes).upto(level, found)[1], buckets)
 
     return ask
 
 
-def _removed(sizes: list[int], buckets: int):
+def _removed(sizes: list[int]):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(texts: Texts, found: pa.Table) -> pa.Table:
         search, last = Search(texts, sizes), len(sizes) - 1
-        at, items = search.upto(last, found, buckets)
-        search.narrow(last, at, flagged(items, found, last, buckets))
+        at, items = search.upto(last, found)
+        search.narrow(last, at, flagged(items, found, last))
         n_words, spans, kept = [], [], []
         for words, alive in zip(search.words, search.alive):
             gone = covered(np.flatnonzero(alive), sizes[-1], len(words.start))
@@ -125,9 +125,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -
     found = None
     for level in range(len(sizes)):
         questions = passing(table, found, _asker(level, sizes, buckets), ASKED)
-        known = answers(questions, level, wide=level == len(sizes) - 1)
+        known = answers(questions, level, buckets, wide=level == len(sizes) - 1)
         found = known if found is None else found.unionAll(known)
-    return passing(table, found, _removed(sizes, buckets), REMOVED)
+    return passing(table, found, _removed(sizes), REMOVED)
 
 
 def n_removed(removed: str = "removed"):

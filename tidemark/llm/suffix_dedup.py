@@ -25,11 +25,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import ASKED, Items, Texts, answers, asked, blocks, bucket_of, flagged, passing
+from tidemark.llm.blocks import ASKED, Items, Texts, answers, asked, blocks, bucket_of, exchanged, flagged, parcel, passing
 from tidemark.llm.difference_cover import Text, later_repeats
 from tidemark.llm.shared import written
 from tidemark.llm.textarrays import BYTE, covered, inside, joined, mixed, pieces, sliding, window_hashes
@@ -39,8 +38,6 @@ LENGTH = 100
 SHORT, SUFFIX_BYTES = 40, 16 << 20
 
 INFO = "block int, place int, doc_id long, digest binary"
-STRETCHES = "block int, bucket int, sizes binary, orders binary, packed binary"
-_STRETCHES = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("orders", pa.binary()), ("packed", pa.binary())])
 #: One row a question of any level, or of a text that is the earliest of its equals (level -1).
 FOUND = "block int, level int, bucket int, flags binary"
 REMOVED = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
@@ -96,7 +93,7 @@ class Search:
 
     def stretches(self, found: pa.Table, buckets: int) -> None:
         """Sets arrays over all stretches: piece, lo and hi (first and last place), bucket; and ``first``: of equal ones the earliest."""
-        flags, done, parts = flagged(self.items(), found, 0, buckets[0]), 0, []
+        flags, done, parts = flagged(self.items(), found, 0), 0, []
         for k, (windows, ok, at) in enumerate(zip(self.windows, self.ok, self.at)):
             again = np.zeros(len(windows), bool)
             again[at[flags[done : done + len(at)]]] = True
@@ -114,7 +111,7 @@ class Search:
             parts.append((np.full(len(lo), k), lo, hi, windows[anchor[start]], self.whole(windows, lo), self.whole(windows, hi)))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 3)
         self.piece, self.lo, self.hi, hashes, a, b = (np.concatenate(c) for c in zip(*parts)) if parts else empty
-        self.bucket = bucket_of(mixed(hashes), buckets[1])  # the smallest hashes spread over all buckets again
+        self.bucket = bucket_of(mixed(hashes), buckets)  # the smallest hashes spread over all buckets again
         # equal stretches: as many places, the same first and last string and window
         order = np.lexsort((np.arange(len(a)), self.hi - self.lo, b, a, hashes))
         new = np.ones(len(order), bool)
@@ -155,46 +152,42 @@ def _ask(length: int, short: int, buckets: int):
     return ask
 
 
-def _send(length: int, short: int, buckets: tuple[int, int]):
+def _send(length: int, short: int, buckets: int):
     def send(texts: Texts, found: pa.Table) -> pa.Table:
+        """The stretches of a block by bucket: their numbers of places (a), orders (b) and bytes (c); an answer is wanted for each place."""
         search = Search(texts, found, length, short)
         search.stretches(found, buckets)
-        pack, rows = zstandard.ZstdCompressor(level=3), []
         order, begin, size = search.orders(), search.begin(), search.hi - search.lo + 1
         raw, sent = np.concatenate(search.data) if search.data else np.zeros(0, np.uint8), search.sent()
+        wanted, parts = np.zeros(buckets, np.int64), [[b""] * buckets for _ in range(3)]
         for own in np.split(sent, np.flatnonzero(np.diff(search.bucket[sent])) + 1) if len(sent) else []:
-            span = size[own] + length - 1
+            span, k = size[own] + length - 1, int(search.bucket[own[0]])
             at = np.arange(span.sum()) + np.repeat(begin[own] - (np.cumsum(span) - span), span)
-            rows.append((int(search.bucket[own[0]]), size[own].astype(np.uint8).tobytes(), pack.compress(order[own].tobytes()), pack.compress(raw[at].tobytes())))
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        return pa.Table.from_arrays([pa.array([texts.block] * len(rows), pa.int32()), *(pa.array(c, f.type) for c, f in zip(columns, list(_STRETCHES)[1:]))], schema=_STRETCHES)
+            wanted[k] = size[own].sum()
+            for column, data in zip(parts, (size[own].astype(np.uint8), order[own], raw[at])):
+                column[k] = data.tobytes()
+        return parcel(texts.block, wanted, parts)
 
     return send
 
 
 def _compare(length: int):
-    def compare(table: pa.Table) -> pa.Table:
+    def compare(sizes: list[bytes], orders: list[bytes], texts: list[bytes]) -> np.ndarray:
         """For each place of the stretches of a bucket whether its string is also at an earlier place."""
-        unpack = zstandard.ZstdDecompressor().decompress
-        parts = [np.frombuffer(s, np.uint8) for s in table["sizes"].to_pylist()]
-        size = np.concatenate(parts).astype(np.int64)
-        order = np.concatenate([np.frombuffer(unpack(o), ORDER) for o in table["orders"].to_pylist()])
-        text = Text(np.frombuffer(b"".join(unpack(p) for p in table["packed"].to_pylist()), np.uint8), length)
+        size = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
+        order = np.frombuffer(b"".join(orders), ORDER)
+        text = Text(np.frombuffer(b"".join(texts), np.uint8), length)
         begin = np.cumsum(size + length - 1) - (size + length - 1)
         rank = np.empty(len(size), np.int64)
         rank[np.lexsort((order["start"], order["digest"], order["doc_id"], order["known"]))] = np.arange(len(size))
         total = np.concatenate([[0], np.cumsum(size)])
         offset = np.arange(total[-1]) - np.repeat(total[:-1], size)
-        later = later_repeats(text, np.repeat(begin, size) + offset, length, np.repeat(rank, size) * 256 + offset)
-        ends = total[np.cumsum([0, *(len(p) for p in parts)])].tolist()
-        flags = [np.packbits(later[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-        n = table.num_rows
-        return pa.table([table["block"].combine_chunks(), pa.array([1] * n, pa.int32()), table["bucket"].combine_chunks(), pa.array(flags, pa.binary())], names=["block", "level", "bucket", "flags"])
+        return later_repeats(text, np.repeat(begin, size) + offset, length, np.repeat(rank, size) * 256 + offset)
 
     return compare
 
 
-def _removed(length: int, short: int, buckets: tuple[int, int]):
+def _removed(length: int, short: int, buckets: int):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def remove(texts: Texts, found: pa.Table) -> pa.Table:
@@ -204,14 +197,14 @@ def _removed(length: int, short: int, buckets: tuple[int, int]):
         known = np.flatnonzero(~search.first)
         for k, lo, hi in zip(search.piece[known].tolist(), search.lo[known].tolist(), search.hi[known].tolist()):
             starts[k].append(np.arange(lo, hi + 1))
-        answer = {b: f for level, b, f in zip(found["level"].to_pylist(), found["bucket"].to_pylist(), found["flags"].to_pylist()) if level == 1}
         sent = search.sent()
-        for own in np.split(sent, np.flatnonzero(np.diff(search.bucket[sent])) + 1) if len(sent) else []:
-            size = search.hi[own] - search.lo[own] + 1
+        if len(sent):
+            size = search.hi[sent] - search.lo[sent] + 1
             total = np.concatenate([[0], np.cumsum(size)])
-            later = np.unpackbits(np.frombuffer(answer[int(search.bucket[own[0]])], np.uint8), count=total[-1]).astype(bool)
-            place = np.arange(total[-1]) + np.repeat(search.lo[own] - total[:-1], size)
-            piece = np.repeat(search.piece[own], size)
+            (flags,) = (f for level, f in zip(found["level"].to_pylist(), found["flags"].to_pylist()) if level == 1)
+            later = np.unpackbits(np.frombuffer(flags, np.uint8), count=total[-1]).astype(bool)
+            place = np.arange(total[-1]) + np.repeat(search.lo[sent] - total[:-1], size)
+            piece = np.repeat(search.piece[sent], size)
             for k in np.unique(piece[later]).tolist():
                 starts[k].append(place[later & (piece == k)])
         gone = {}
@@ -240,7 +233,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> D
     rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "block", "place")
     firsts = passing(table, None, _info(length), INFO).groupBy("digest").agg(F.min(rank).alias("first"))
     found = written(firsts.select("first.block", F.lit(-1).alias("level"), F.col("first.place").alias("bucket"), F.lit(None).cast("binary").alias("flags")), "firsts")
-    found = found.unionAll(answers(passing(table, found, _ask(length, short, buckets), ASKED), 0))
-    sent = passing(table, found, _send(length, short, (buckets, many)), STRETCHES)
-    found = found.unionAll(written(sent.groupBy("bucket").applyInArrow(_compare(length), FOUND), "repeats"))
-    return passing(table, found, _removed(length, short, (buckets, many)), REMOVED)
+    found = found.unionAll(answers(passing(table, found, _ask(length, short, buckets), ASKED), 0, buckets))
+    sent = passing(table, found, _send(length, short, many), ASKED)
+    found = found.unionAll(written(exchanged(sent, many, _compare(length), 1), "repeats"))
+    return passing(table, found, _removed(length, short, many), REMOVED)
