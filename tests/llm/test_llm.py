@@ -550,6 +550,25 @@ def test_fewer_candidates_survive_each_doubling(real):
     assert asked[0] < n_words / 8 and asked[3] < n_words  # one window of each candidate at first, and fewer candidates later
 
 
+def test_rows_of_the_exchange_grow_like_the_text(spark, real, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import blocks
+
+    for name, value in (("BLOCK_BYTES", 16 << 10), ("LEAST_BYTES", 16 << 10), ("ROW_BYTES", 4 << 10), ("LEAST_BUCKETS", 1)):
+        monkeypatch.setattr(blocks, name, value)
+    seen = []
+    for copies in (1, 4, 16):  # other words in each copy
+        docs = real.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("k"), "text").select((F.col("doc_id") * 100 + F.col("k")).alias("doc_id"), F.regexp_replace("text", r"(\S+)", F.concat(F.lit("$1"), F.col("k"))).alias("text"))
+        table, buckets, size = blocks.blocks(docs)
+        questions = blocks.passing(table, None, substring_dedup._asker(0, substring_dedup.lengths(35), buckets), blocks.ASKED).persist()
+        rows = questions.withColumn("group", F.pmod("block", F.lit(buckets))).groupBy("group").applyInArrow(blocks._gathered(buckets), blocks.PACKED).count()
+        assert questions.count() <= table.select("block").distinct().count() == blocks.answers(questions, 0, buckets).count()
+        seen.append((size, buckets, rows))
+    for (size, buckets, rows), (more, many, grown) in zip(seen, seen[1:]):
+        assert many > buckets and grown / rows <= 1.1 * more / size, seen
+
+
 def test_viterbi_finds_the_best_score():
     import random
 

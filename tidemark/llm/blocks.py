@@ -210,10 +210,10 @@ def _handed(level: int, bits: bool) -> Callable[[pa.Table], pa.Table]:
     return hand
 
 
-def exchanged(parcels: DataFrame, buckets: int, work: Callable, level: int = 0, bits: bool = True) -> DataFrame:
+def exchanged(parcels: DataFrame, buckets: int, work: Callable, level: int = 0, bits: bool = True, groups: int | None = None) -> DataFrame:
     """A row of ``ANSWER`` for each block that sent something. ``work`` gets, bucket by bucket, what groups of blocks sent (a list for each column)
-    and gives the answers to all of it, one after the other: flags, or whole bytes without ``bits``."""
-    packed = parcels.withColumn("group", F.pmod("block", F.lit(buckets))).groupBy("group").applyInArrow(_gathered(buckets), PACKED)
+    and gives the answers to all of it, one after the other: flags, or whole bytes without ``bits``. There are as many groups as buckets, if not told."""
+    packed = parcels.withColumn("group", F.pmod("block", F.lit(groups or buckets))).groupBy("group").applyInArrow(_gathered(buckets), PACKED)
     return packed.groupBy("bucket").applyInArrow(_worked(work, bits), ANSWERED).groupBy("group").applyInArrow(_handed(level, bits), ANSWER)
 
 

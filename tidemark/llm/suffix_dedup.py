@@ -235,5 +235,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, short: int = SHORT) -> D
     found = written(firsts.select("first.block", F.lit(-1).alias("level"), F.col("first.place").alias("bucket"), F.lit(None).cast("binary").alias("flags")), "firsts")
     found = found.unionAll(answers(passing(table, found, _ask(length, short, buckets), ASKED), 0, buckets))
     sent = passing(table, found, _send(length, short, many), ASKED)
-    found = found.unionAll(written(exchanged(sent, many, _compare(length), 1), "repeats"))
+    found = found.unionAll(written(exchanged(sent, many, _compare(length), 1, groups=buckets), "repeats"))
     return passing(table, found, _removed(length, short, many), REMOVED)
