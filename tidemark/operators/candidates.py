@@ -145,6 +145,14 @@ def probe_evidence(probes: DataFrame) -> DataFrame:
     return probes.select(F.substring(F.sha2(ref, 256), 1, 12).alias("evidence_id"), F.lit("source_registry").alias("source_type"), ref.alias("source_ref"), told.alias("summary"))
 
 
+def source_evidence(candidates: DataFrame) -> DataFrame:
+    """Evidence (evidence_id, source_type, source_ref, summary) of scored candidates: what they are by their description."""
+    ref = F.concat(F.lit("scout:"), "source_id")
+    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    told = F.concat(F.col("name"), F.format_string(", score %.2f, ", "score"), F.col("category"), F.lit(", official "), yes("official"), F.lit(", free "), yes("free"), F.lit(", by "), F.col("method"))
+    return candidates.where("problem is null").select(F.substring(F.sha2(ref, 256), 1, 12).alias("evidence_id"), F.lit("source_registry").alias("source_type"), ref.alias("source_ref"), told.alias("summary"))
+
+
 def answered(heads: DataFrame, gets: DataFrame) -> DataFrame:
     """Probes (source_id, http_status, latency_ms): a HEAD, or where that is refused (405, 501) the GET; ``method`` says which."""
     refused = F.col("http_status").isin(405, 501)

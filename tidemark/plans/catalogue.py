@@ -69,6 +69,13 @@ def source_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 SOURCE_CLAIMS = f"SELECT 'source_usefulness' AS claim_type, 'source:' || source_id AS subject, 'is_useful_for' AS predicate, 'domain:' || category AS object, 'proposed' AS status, 'scout,' || category || ',' || method AS tags, '' AS counterpoints, name || ': by its description alone' AS notes, round(round(score, 4), 6) + 0.0 AS confidence FROM ({SCORED})"
 
 
+def source_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.source_evidence(scored_candidates(spark, sf_dir))
+
+
+SOURCE_EVIDENCE = f"SELECT sha256('scout:' || source_id)[:12] AS evidence_id, 'source_registry' AS source_type, 'scout:' || source_id AS source_ref, name || printf(', score %.2f, ', score + 1e-9) || category || ', official no, free ' || CASE WHEN free THEN 'yes' ELSE 'no' END || ', by ' || method AS summary FROM ({SCORED})"
+
+
 def summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = folds(spark, sf_dir).withColumn("symbol", F.when(F.col("fold") <= 4, "aaa").otherwise("bbb"))
     return made.groupBy("symbol", "model").agg(F.count("*").alias("n_folds"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy"), F.count_if("beat").alias("n_beat"), (F.avg("auc") > 0.515).alias("overall"))
@@ -357,6 +364,7 @@ def catalog() -> dict:
         "candidates_normalised": (normalised, NORMALISED),
         "connector_proposals": (proposed, _proposed_sql()),
         "source_claims": (source_claims, SOURCE_CLAIMS),
+        "source_evidence": (source_evidence, SOURCE_EVIDENCE),
         "fold_claims": (fold_claims, _fold_claims_sql()),
         "relationship_claims": (relationship_claims, RELATIONSHIP_CLAIMS),
         "probe_summary": (probe_summary, PROBE_SUMMARY),

@@ -146,6 +146,16 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAIN = f"WITH f AS ({FILING_RELATIONS}) SELECT src, 1 AS tier, count(*) AS n_names FROM f WHERE rel = 'supplier_of' GROUP BY 1 UNION ALL SELECT 'top ' || rel, 0, CAST(sum(n) AS BIGINT) FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY rel ORDER BY n DESC, src, dst) <= 5) GROUP BY rel"
 
 
+def known_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that are read from filings beside those that are known beforehand, by kind and whether they are known and read."""
+    known = spark.createDataFrame([(a, b, "supplier_of") for a, b, _, _ in mentions.SUPPLIERS], "src string, dst string, rel string")
+    both = mentions.with_known(filing_relations(spark, sf_dir), known)
+    return both.groupBy("rel", "known", "read").agg(F.count("*").alias("n_relations"), F.sum("n").alias("n"), F.count_distinct("src").alias("n_src"))
+
+
+KNOWN_RELATIONS = f"SELECT rel, false AS known, true AS read, count(*) AS n_relations, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT src) AS n_src FROM ({FILING_RELATIONS}) GROUP BY rel UNION ALL SELECT 'supplier_of', true, false, {len(mentions.SUPPLIERS)}, 0, {len({a for a, *_ in mentions.SUPPLIERS})}"
+
+
 def full_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair's best lag; of pairs that are strong enough also Granger's p and the information, in the same pass."""
 
@@ -223,6 +233,7 @@ def catalog() -> dict:
         "pairs_in_budget": (budget, _budget_sql()),
         "headline_moods": (moods, MOODS),
         "supply_chain": (chain, CHAIN),
+        "known_relations": (known_relations, KNOWN_RELATIONS),
         "full_hunt": (full_hunt, None),
         "model_comparison": (model_comparison, None),
         "last_candles": (last_candles, picked(f"SELECT *, CAST(row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS INT) AS k FROM ({BARS}) QUALIFY row_number() OVER (PARTITION BY asset ORDER BY ts DESC) <= 365", ["asset", "ts", "k"], ["open", "high", "low", "close", "volume"])),
