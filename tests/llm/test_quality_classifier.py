@@ -44,6 +44,15 @@ def test_features_tell_texts_apart_as_plain_ones_do():
         assert [set(b.tolist()) for b in q.present(*arrays([TEXTS[i]]))] == [own[i]]  # neighbours in the array do not matter
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_long_texts_in_slices_have_the_same_features(monkeypatch, size):
+    whole = [set(b.tolist()) for b in q.present(*arrays(TEXTS))]
+    alone = [set(next(q.present(*arrays([t]))).tolist()) for t in TEXTS]
+    monkeypatch.setattr(q, "SLICE", size)
+    assert [set(b.tolist()) for b in q.present(*arrays(TEXTS))] == whole == alone
+    assert [set(next(q.present(*arrays([t]))).tolist()) for t in TEXTS] == alone
+
+
 def test_coordinate_descent_finds_the_least_loss():
     rng = np.random.default_rng(2)
     rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(60)]

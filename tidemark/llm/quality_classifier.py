@@ -36,6 +36,8 @@ BYTES, SHAPES, BITS = (2, 3, 4), (1, 2, 3), 19
 MAX_ROWS, MAX_TEXT = 2500, 16 << 10
 #: Least document count and least z of a feature that is kept; smoothing of counts; bound of a row's multiplier; passes over the rows.
 MIN_DOCS, MIN_Z, SMOOTHING, COST, PASSES = 4, 4.0, 1.0, 0.1, 30
+#: Bytes whose n-grams are made at once.
+SLICE = 4 << 20
 #: Score from which a text is predicted to be good.
 GOOD = 0.7
 
@@ -51,13 +53,21 @@ _TOP = np.uint64(64 - BITS)
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of the n-grams of texts that stand one after the other, some of them several times."""
-    folded, text = FOLDED[data].astype(np.uint64), np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    packed = folded
-    for n in range(2, max(BYTES) + 1):
-        packed = packed[:-1] | folded[n - 1 :] << np.uint64(8 * (n - 1)) if len(packed) > 1 else packed[:0]
-        if n in BYTES:
-            whole = np.flatnonzero(text[: len(packed)] == text[n - 1 :]) if len(packed) else np.zeros(0, np.int64)
-            yield text[whole], (mixed(packed[whole] + np.uint64(n << 40)) >> _TOP).astype(np.int32)
+    number = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    most = max(BYTES) - 1
+    for at in range(0, len(data), SLICE):  # a long text takes no more memory at once
+        packed = folded = FOLDED[data[at : at + SLICE + most]].astype(np.uint64)
+        text = number[at : at + SLICE + most]
+        for n in range(2, most + 2):
+            packed = packed[:-1] | folded[n - 1 :] << np.uint64(8 * (n - 1)) if len(packed) > 1 else packed[:0]
+            if n in BYTES:
+                whole = np.flatnonzero(text[: len(packed)][:SLICE] == text[n - 1 :][:SLICE]) if len(packed) else np.zeros(0, np.int64)
+                bucket = (mixed(packed[whole] + np.uint64(n << 40)) >> _TOP).astype(np.int32)
+                if len(data) > SLICE and len(offsets) == 2:
+                    bucket = np.unique(bucket)
+                    yield np.zeros(len(bucket), np.int32), bucket
+                else:
+                    yield text[whole], bucket
     words = Words(data, offsets)
     if not len(words.start):
         return
