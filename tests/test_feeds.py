@@ -7,6 +7,7 @@ import statistics
 import pytest
 
 from tidemark.sources import feeds
+from tidemark.sources import payloads as feeds_payloads
 
 DAY = dt.date(2024, 1, 1)
 OBSERVED = "indicator string, ts date, value double"
@@ -73,6 +74,15 @@ def test_filings_and_profiles(spark):
     assert [f.form for f in made["a"]] == ["10-1", "10-2", "10-3"] and made["b"] == made["c"] == []
 
 
+def test_training_bars_lack_nothing(spark):
+    at = dt.datetime(2024, 1, 1, 1)
+    raw = spark.createDataFrame([(at, 1.0, 2.0), (at, None, 2.0), (at, float("nan"), 2.0), (None, 1.0, 2.0)], "Date timestamp, Open double, CLOSE double")
+    (row,) = feeds_payloads.training_bars(raw, zone="+02:00").collect()
+    assert row.asDict() == {"date": dt.date(2023, 12, 31), "open": 1.0, "close": 2.0}
+    with pytest.raises(ValueError, match="case alone"):
+        feeds_payloads.training_bars(raw.withColumnRenamed("CLOSE", "oPEN"))
+
+
 def test_ciks_and_runs(spark):
     tickers = spark.createDataFrame([("aa",), ("BB",), ("zz",)], "symbol string")
     got = {r.symbol: r.cik for r in feeds.with_ciks(tickers, spark.createDataFrame([("AA", 12), ("aa", 11), ("bb", 7)], "ticker string, cik_str int")).collect()}

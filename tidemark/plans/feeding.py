@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.market import bars, rounded
 from tidemark.plans.sql import BARS, picked
-from tidemark.sources import feeds
+from tidemark.sources import feeds, payloads
 from tidemark.sources.sinks import new_folder
 from tidemark.sources.tables import table
 from tidemark.streaming import sinks
@@ -115,6 +115,16 @@ PROFILES = """WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS
  SELECT CAST(c_custkey AS VARCHAR) AS symbol, c_acctbal AS market_cap, CAST(c_nationkey AS DOUBLE) AS beta, CAST(NULL AS DOUBLE) AS ebitda, coalesce(eps, '') AS eps, coalesce(holders, '') AS holders, coalesce(filings, '') AS filings FROM customer LEFT JOIN e ON e.c = c_custkey LEFT JOIN h ON h.c = c_custkey LEFT JOIN a ON a.c = c_custkey"""
 
 
+def training_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bars of a raw pull in a zone of its own, without a volume in March."""
+    price, at = F.col("o_totalprice"), F.col("o_orderdate")
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Key"), (at + F.expr("INTERVAL 1 HOUR")).alias("Date"), price.alias("Open"), price.alias("Close"), F.when(F.month(at) != 3, price / 10).alias("Volume"))
+    return payloads.training_bars(raw, "Date", "+02:00").groupBy("date").agg(F.count("*").alias("n"), F.round(F.sum("close"), 2).alias("close"))
+
+
+TRAINING_BARS = "SELECT CAST(o_orderdate AS DATE) - 1 AS date, count(*) AS n, round(sum(o_totalprice), 2) AS close FROM orders WHERE month(o_orderdate) <> 3 GROUP BY 1"
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of two connectors: macro series, and bars of assets that need a year of days."""
     prices = bars(spark, sf_dir).groupBy("asset").agg(F.count("*").alias("n_written"), F.when(F.count("*") < 800, "too few").alias("error"))
@@ -138,6 +148,7 @@ def catalog() -> dict:
     """name -> (query, SQL or None)."""
     return {
         "macro_ingest": (ingested, _ingested_sql()),
+        "training_bars": (training_bars, TRAINING_BARS),
         "macro_scores": (macro_scores, _scores_sql()),
         "macro_recent": (recent, picked(f"SELECT * FROM ({OBSERVATIONS}) WHERE ts BETWEEN DATE '1995-01-01' AND DATE '1998-01-01' QUALIFY row_number() OVER (PARTITION BY indicator ORDER BY ts DESC) <= 12", ["indicator", "ts"], ["value"])),
         "company_facts": (company_facts, _facts_sql()),

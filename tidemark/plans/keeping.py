@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import baseline, discovery, expanded, features, mentions, pairwise, records, relations, validation, vector_index, walkforward
+from tidemark.operators import baseline, discovery, expanded, features, filters, mentions, pairwise, records, relations, validation, vector_index, walkforward
 from tidemark.plans.discovery import returns
 from tidemark.plans.market import BENCHMARK, bars, rounded
 from tidemark.plans.modelling import BRAND_CLOSES, FILING_RELATIONS, brand_closes, filing_relations, fitted_folds
@@ -67,6 +67,19 @@ def claim_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLAIM_GRAPH = "SELECT o_orderkey AS claim_id, CAST(o_custkey AS VARCHAR) AS asset, 'domain:' || o_orderpriority AS dst, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'weak' ELSE 'proposed' END AS status, 'Asset' AS src_kind, 'unknown' AS dst_kind, count(*) OVER (PARTITION BY o_custkey) AS src_claims, count(*) OVER (PARTITION BY o_orderpriority) AS dst_claims FROM orders"
 
 
+def provenance_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the graph of claims the edges of a status, relation and kind of end, and of least confidence, by what they point to."""
+    status = F.when(F.col("o_orderstatus") == "F", "supported").when(F.col("o_orderstatus") == "O", "weak").otherwise("draft")
+    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), F.concat(F.when(F.col("o_custkey") % 2 == 0, "asset:").otherwise("model:"), "o_custkey").alias("subject"), F.lit("is_like").alias("predicate"), F.concat(F.lit("domain:"), "o_orderpriority").alias("object"), (F.col("o_totalprice") / 500000).alias("confidence"), status.alias("status"))
+    nodes, found = records.claim_graph(claims, {"asset": "Asset", "domain": "Domain"})
+    kept = filters.matching(found, {"status": "active", "rel": "is_like"}, least={"confidence": 0.5})
+    assets = filters.matching(nodes, {"kind": "Asset"}).select(F.col("node").alias("src"))
+    return kept.join(assets, "src", "left_semi").groupBy("dst", "rel").agg(F.count("*").alias("n"), F.count_distinct("src").alias("n_src"), F.round(F.min("confidence"), 6).alias("least"))
+
+
+PROVENANCE_EDGES = "SELECT 'domain:' || o_orderpriority AS dst, 'is_like' AS rel, count(*) AS n, count(DISTINCT o_custkey) AS n_src, round(min(o_totalprice / 500000), 6) AS least FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 2 = 0 AND o_totalprice / 500000 >= 0.5 GROUP BY 1"
+
+
 def reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's closes on every day that any asset was traded."""
     made = bars(spark, sf_dir)
@@ -226,6 +239,7 @@ def catalog() -> dict:
         "kept_reports": (reports, "SELECT event_id AS entry_id, ts AS created, value FROM events WHERE user_id % 3 = 1 AND event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 25"),
         "vector_collections": (collections, COLLECTIONS),
         "claim_graph": (claim_graph, CLAIM_GRAPH),
+        "provenance_edges": (provenance_edges, PROVENANCE_EDGES),
         "benchmark_reindexed": (reindexed, picked(REINDEXED, ["ts", "since"], ["value"])),
         "scaling_parameters": (normalised, _normalised_sql()),
         "quality_spread": (quality_spread, QUALITY_SPREAD),

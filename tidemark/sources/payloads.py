@@ -66,6 +66,15 @@ def complete_bars(raw: DataFrame) -> DataFrame:
     return raw.dropna(subset=["open", "high", "low", "close"]).withColumn("adj_close", F.col("close"))
 
 
+def training_bars(raw: DataFrame, time: str = "Date", zone: str = "UTC") -> DataFrame:
+    """Bars under lower-case names without a row that lacks anything (not-a-numbers included), their times as days of UTC; columns whose names differ in case alone are an error."""
+    names = [c.lower() for c in raw.columns]
+    if len(set(names)) < len(names):
+        raise ValueError("columns whose names differ in case alone")
+    day = F.to_date(F.to_utc_timestamp(F.col(time.lower()), zone))
+    return raw.toDF(*names).dropna("any").withColumn(time.lower(), day)
+
+
 def pull_summary(wanted: DataFrame, pulled: DataFrame) -> DataFrame:
     """(status, assets, rows) of the assets wanted (asset): those with rows, and those without."""
     found = wanted.join(pulled.groupBy("asset").agg(F.count("*").alias("rows")), "asset", "left")
