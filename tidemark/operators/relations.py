@@ -51,7 +51,7 @@ def rank_correlation(series: DataFrame) -> DataFrame:
 
 
 def stress(levels: DataFrame, n: int = 21, q: float = 0.75) -> DataFrame:
-    """(ts, value, stress) of a series (ts, value): whether the mean of the last n values, gaps as 0, is above its own upper quantile."""
+    """(ts, value, stress) of a series (ts, value): whether the mean of the last n values, gaps as 0, is above its own upper quantile. One series, so its days are one window."""
     w = Window.orderBy("ts").rowsBetween(-(n - 1), 0)
     mean = levels.withColumn("_m", F.when(F.count("*").over(w) == n, F.avg(F.coalesce("value", F.lit(0.0))).over(w)))
     limit = mean.agg(F.percentile("_m", F.lit(q)).alias("_q"))

@@ -53,7 +53,7 @@ def edges_of(sums: DataFrame, least_rows: int, least: float) -> DataFrame:
 
 
 def ranking_of(edges: DataFrame) -> DataFrame:
-    """(node, degree, strength, rank): nodes by the sum of |r| of their edges, then by name. One row a node with edges."""
+    """(node, degree, strength, rank): nodes by the sum of |r| of their edges, then by name. One row a node with edges; nodes are assets, so one window ranks them."""
     ends = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.abs("r").alias("size"))
     each = ends.select(F.explode(F.array("src", "dst")).alias("node"), "size").groupBy("node").agg(F.sum("size").alias("strength"))
     order = Window.orderBy(F.desc(F.round("strength", 9)), "node")
