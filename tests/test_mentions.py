@@ -56,6 +56,25 @@ def test_both_ends(spark, docs):
     assert rows == {("E:acme", "E:beta", "supplier_of"): (1, 1), ("E:acme", "E:gamma", "acquired"): (1, 1), ("E:beta", "E:delta", "competes_with"): (1, 1), ("E:other", "E:acme", "partner_of"): (1, None)}
 
 
+@pytest.mark.parametrize("places", [1, 3, 8192])
+def test_places_in_blocks_carry_their_own_columns_alone(spark, docs, monkeypatch, places):
+    """However the places are dealt, and without the evidence (ends were found by a join on it, a row for each run of words)."""
+    monkeypatch.setattr(mentions, "PLACES", places)
+    aliases = spark.createDataFrame(ALIASES, "alias string, entity string")
+    got = mentions.resolved(mentions.mentioned(docs).select("doc_id", "rel", "start", "before", "after"), aliases)
+    assert got.columns == ["doc_id", "rel", "start", "before", "after", "src", "dst"]
+    rows = sorted(str((r.doc_id, r.rel, r.src, r.dst)) for r in got.collect())
+    assert len(rows) == len(plain(TEXTS, mentions.PHRASES))
+    linked = {(1, "supplier_of", "E:acme", "E:beta"), (1, "acquired", "E:acme", "E:gamma"), (1, "competes_with", "E:beta", "E:delta"), (None, "partner_of", "E:other", "E:acme"), (6, "acquired", None, "E:n"), (6, "licenses_to", "E:n", None)}
+    assert {r for r in rows if "E:" in r} == set(map(str, linked))
+
+
+def test_names_have_the_lengths_of_aliases(spark):
+    row = spark.createDataFrame([(["a", "b", "c"], [1, 3], [2]), ([], [1], [2])], "w array<string>, s array<int>, t array<int>")
+    got = row.select(mentions.names(row.w, row.s).alias("x"), mentions.names(row.w, row.t).alias("y")).collect()
+    assert got[0].x == ["a", "b", "c", "a b c"] and got[0].y == ["a b", "b c"] and got[1].x == got[1].y == []
+
+
 def test_symbols(spark):
     texts = [(1, "Buy $ABC and shares XYZ, not $TOOLONG or the CEO; ticker GDP"), (2, "NYSE   QQ $ABC $ABC"), (3, None), (4, "stock abc")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")

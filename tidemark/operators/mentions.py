@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Phrases and the relation that each names.
 PHRASES = (
@@ -25,6 +26,8 @@ PHRASES = (
 BEFORE, AFTER = 50, 100
 #: Words of the longest name that is looked up.
 NAME_WORDS = 3
+#: Places of a block, and the characters of a text that are dealt together.
+PLACES, STRETCH = 8192, 65536
 FOUND = "doc_id long, rel string, start int, stop int, before string, after string, evidence string"
 
 
@@ -50,36 +53,55 @@ def mentioned(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, FOUND)
 
 
-def names(text: str) -> Column:
-    """(first, last, alias) of all runs of 1 to ``NAME_WORDS`` words of a context, lower-cased; words are runs of letters, digits, _, #, $ and &."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w#$&]+"), 0)
-    run = lambda i, n: F.struct(i.alias("first"), (i + n - 1).alias("last"), F.array_join(F.slice(words, i, n), " ").alias("alias"))
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(NAME_WORDS), F.size(words) - i + 1)), lambda n: run(i, n))))
+def words(text: str) -> Column:
+    """Runs of letters, digits, _, #, $ and & of a context, lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w#$&]+"), 0)
+
+
+def names(found: Column, sizes: Column) -> Column:
+    """All runs of 1 to ``NAME_WORDS`` of some words whose length is one of ``sizes``, joined by a space."""
+    starts = lambda k: F.sequence(F.lit(1), F.size(found) - k + 1)
+    runs = lambda k: found if k == 1 else F.transform(starts(k), lambda i: F.array_join(F.slice(found, i, k), " "))
+    return F.concat(*(F.when(F.array_contains(sizes, k) & (F.size(found) >= k), runs(k)).otherwise(F.array().cast("array<string>")) for k in range(1, NAME_WORDS + 1)))
+
+
+def _nearest(own: list[str], entities: dict[str, str], sizes: list[int], last: bool) -> str | None:
+    """The entity of the run that ends last, or begins first, then of the longest; ``sizes`` are those of the names, the largest first."""
+    for i in range(len(own), 0, -1) if last else range(len(own)):
+        for k in sizes:
+            run = own[max(i - k, 0) : i] if last else own[i : i + k]
+            if len(run) == k and (entity := entities.get(" ".join(run))) is not None:
+                return entity
+    return None
 
 
 def resolved(found: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``mentioned`` rows with ``src`` and ``dst``: the nearest entity before and after the phrase by ``aliases`` (alias, entity); null where there is none.
+    """``mentioned`` rows, with whichever columns they have beside doc_id, start, before and after, and ``src`` and ``dst``: the nearest entity before and after the phrase by ``aliases`` (alias, entity); null where there is none.
 
-    Names of a context are joined to the aliases, however many these are. The nearest is the one that ends, or
-    begins, closest to the phrase, then the longest, then the first entity. An alias of several entities counts for the first.
+    The nearest is the one that ends, or begins, closest to the phrase, then the longest. An alias of several entities
+    counts for the first. Places are dealt into blocks of about ``PLACES``; the different names of a block are joined to the
+    aliases, however many these are, and those that are one come back to the block: what is shuffled is each place once
+    and each name once a block. A stretch of a text is in one block, rows without doc_id are dealt by their context.
     """
     known = aliases.select(F.lower("alias").alias("alias"), "entity").where("alias is not null and entity is not null").groupBy("alias").agg(F.min("entity").alias("entity"))
-    key = ["doc_id", "rel", "start", "stop", "evidence"]
-    places = found.groupBy(*key, "before", "after").agg(F.count("*").alias("copies"))
-
-    def side(context: str, near: Column, out: str) -> DataFrame:
-        each = places.where(F.length(F.regexp_extract(context, r"(?U)[\w#$&]", 0)) > 0).select(*key, F.inline(names(context)))
-        order = F.struct(near.alias("near"), (F.col("last") - F.col("first")).alias("size"), F.col("entity"))
-        best = F.min_by("entity", F.struct(-order["near"], -order["size"], order["entity"]))
-        return each.join(known, "alias").groupBy(*key).agg(best.alias(out))
-
-    def with_end(rows: DataFrame, end: DataFrame) -> DataFrame:
-        own = end.withColumnsRenamed({c: f"_{c}" for c in key})
-        return rows.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left").drop(*(f"_{c}" for c in key))
-
-    left, right = side("before", F.col("last"), "src"), side("after", -F.col("first"), "dst")
-    done = with_end(with_end(places, left), right)
-    return done.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*key, "before", "after", "src", "dst")
+    sizes = known.agg(F.collect_set(F.size(F.split("alias", " "))).alias("_sizes"))  # one row
+    n = found.agg(F.greatest(F.ceil(F.count("*") / PLACES), F.lit(1)).alias("_n"))  # one row
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.floor(F.col("start") / STRETCH))).otherwise(F.xxhash64("before", "after"))
+    places = found.crossJoin(F.broadcast(n)).withColumn("_block", F.pmod(own, "_n")).drop("_n")
+    said = places.select("_block", words("before").alias("b"), words("after").alias("a")).crossJoin(F.broadcast(sizes))
+    asked = said.select("_block", F.explode(F.array_union(names(F.col("b"), F.col("_sizes")), names(F.col("a"), F.col("_sizes")))).alias("alias")).distinct()
+    told = asked.join(known, "alias").select(*(F.col(c).alias(c) for c in ("_block", "alias", "entity")))
+
+    columns = found.columns
+
+    def look(rows: pa.Table, entities: pa.Table) -> pa.Table:
+        by_alias = dict(zip(entities["alias"].to_pylist(), entities["entity"].to_pylist()))
+        lengths = sorted({a.count(" ") + 1 for a in by_alias}, reverse=True)
+        ends = [pa.array([_nearest(x or [], by_alias, lengths, last) for x in rows[c].to_pylist()], pa.string()) for c, last in (("_before", True), ("_after", False))]
+        return rows.select(columns).append_column("src", ends[0]).append_column("dst", ends[1])
+
+    split = places.repartition("_block").withColumns({"_before": words("before"), "_after": words("after")})  # words are not shuffled
+    return split.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(look, T.StructType([*found.schema.fields, T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())]))
 
 
 def relations(linked: DataFrame) -> DataFrame:

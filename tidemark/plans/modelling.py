@@ -166,16 +166,18 @@ RELS = {"A": "supplier_of", "N": "partner_of", "R": "competes_with"}
 
 def filing_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales told as filings, one of each supplier and month, and the relations that are read from their text."""
-    sold = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     names = lambda t, key, name: table(spark, sf_dir, t).select(key, name)
-    sold = sold.join(names("supplier", "s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).join(names("customer", "c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    bought = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(names("customer", "c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
+    sold = table(spark, sf_dir, "lineitem").join(bought.select(F.col("o_orderkey").alias("l_orderkey"), "c_name"), "l_orderkey")
     said = F.when(F.col("l_returnflag") == "A", SAID["A"]).when(F.col("l_returnflag") == "N", SAID["N"]).otherwise(SAID["R"])
-    sentence = F.concat_ws(" ", "s_name", said, F.concat("c_name", F.lit(".")))
-    filings = sold.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(F.array_join(F.array_sort(F.collect_list(sentence)), " ").alias("text"))
-    filings = filings.select((F.col("l_suppkey") * 1000 + F.months_between("month", F.lit("1990-01-01")).cast("long")).alias("doc_id"), "text")
+    sales = sold.groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month")).agg(F.collect_list(F.concat_ws(" ", said, F.concat("c_name", F.lit(".")))).alias("told"))
+    sales = sales.join(names("supplier", "s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))  # the supplier's name is that of the whole filing
+    text = F.array_join(F.array_sort(F.transform("told", lambda t: F.concat_ws(" ", "s_name", t))), " ")
+    filings = sales.select((F.col("l_suppkey") * 1000 + F.months_between("month", F.lit("1990-01-01")).cast("long")).alias("doc_id"), text.alias("text"))
     aliases = names("supplier", "s_suppkey", F.col("s_name").alias("alias")).select("alias", F.concat(F.lit("S"), "s_suppkey").alias("entity"))
     aliases = aliases.unionByName(names("customer", "c_custkey", F.col("c_name").alias("alias")).select("alias", F.concat(F.lit("C"), "c_custkey").alias("entity")))
-    return mentions.relations(mentions.resolved(mentions.mentioned(filings), aliases))
+    places = mentions.mentioned(filings).select("doc_id", "rel", "start", "before", "after")
+    return mentions.relations(mentions.resolved(places, aliases))
 
 
 FILING_RELATIONS = f"SELECT 'S' || l_suppkey AS src, 'C' || o_custkey AS dst, CASE l_returnflag WHEN 'A' THEN '{RELS['A']}' WHEN 'N' THEN '{RELS['N']}' ELSE '{RELS['R']}' END AS rel, count(*) AS n, min(l_suppkey * 1000 + date_diff('month', DATE '1990-01-01', date_trunc('month', l_shipdate))) AS first_doc FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"
