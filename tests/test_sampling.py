@@ -53,3 +53,11 @@ def test_samples_move_sources(spark):
     got = {r.id: (r.status, r.action) for r in sampling.sampled(registry, raw).collect()}
     assert got == {1: ("validated", "validated"), 2: ("discovered", None), 4: ("sampled", "failed"), 5: ("sampled", "failed"), 77: ("sampled", None), 3: ("approved", None)}
     assert sampling.sampled(registry.limit(0), raw).count() == 0 and sampling.quality(sampling.rows_of(raw.limit(0))).count() == 0
+
+
+def test_shares_between_two_go_to_the_even_one(spark):
+    """11 of 16 cells filled: 31.25 % is told as 31.2, as Python and SQL print it (it was 31.3)."""
+    body = "[" + ", ".join('{"date": "2024-01-01"}' if i < 11 else '{"date": null}' for i in range(16)) + "]"
+    registry = spark.createDataFrame([(1, "sampled")], "id int, status string")
+    note = sampling.sampled(registry, spark.createDataFrame([(1, body)], "id int, body string")).first().note
+    assert note == f"rows=16 | cols=1 | null_rate={5 / 16:.1%} | format=json" and "31.2%" in note

@@ -102,8 +102,9 @@ def sampled(registry: DataFrame, raw: DataFrame, key: str = "id") -> DataFrame:
     """The registry (key, status, ...) after a sample of each of its sources at ``sampled`` that has a body in ``raw`` (id, body): those that pass become validated.
 
     ``action`` is validated, failed, or null for sources that were not sampled; ``note`` says what was seen.
+    The share of missing cells is rounded as numbers are printed in C: what stands exactly between two goes to the even one.
     """
     found = registry.where("status = 'sampled'").join(quality(rows_of(raw)).withColumnRenamed("id", key), key)
-    told = found.select(key, F.when(F.col("passed"), "validated").otherwise("failed").alias("action"), F.concat_ws(" | ", F.concat(F.lit("rows="), "n_rows"), F.concat(F.lit("cols="), "n_columns"), F.format_string("null_rate=%.1f%%", F.col("null_rate") * 100), F.concat(F.lit("format="), "format"), F.when(F.col("issues") != "", F.concat(F.lit("issues="), "issues"))).alias("note"))
+    told = found.select(key, F.when(F.col("passed"), "validated").otherwise("failed").alias("action"), F.concat_ws(" | ", F.concat(F.lit("rows="), "n_rows"), F.concat(F.lit("cols="), "n_columns"), F.concat(F.lit("null_rate="), F.format_number(F.col("null_rate") * 100, 1), F.lit("%")), F.concat(F.lit("format="), "format"), F.when(F.col("issues") != "", F.concat(F.lit("issues="), "issues"))).alias("note"))
     moved = transitioned(registry, told.where("action = 'validated'").select(key, F.lit("validated").alias("new_status")), key).drop("accepted")
     return moved.join(told, key, "left")
