@@ -171,3 +171,23 @@ def test_searches_start_from_all_rows(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert {r.query_id for r in found["vector_top_k_of_twentieth"](spark, d).collect()} == ids
     assert found["graph_hops_of_all"](spark, d).where("hop = 0").count() == spark.read.parquet(f"{d}/part.parquet").count()
+
+
+def test_merged_edges_need_both_ends_in_sql_too(spark, tmp_path):
+    """Orders of customers that there are not make no new edge, in the query and in its SQL (which made them)."""
+    import duckdb
+
+    from tidemark.plans.operations import SPLIT
+
+    d = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 > 0").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.read.parquet(f"{d}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    query, text = operations.catalog()["graph_merge_edges"]
+    con = duckdb.connect()
+    for t in ("customer", "orders"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = ("src", "dst", "rel", "evidence", "first_seen", "last_seen")
+    got, want = {tuple(r[c] for c in columns) for r in query(spark, str(tmp_path)).collect()}, set(con.sql(f"SELECT {', '.join(columns)} FROM ({text})").fetchall())
+    assert got == want
+    before = {r[0] for r in con.sql(f"SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderdate < DATE '{SPLIT}'").fetchall()}
+    assert all(int(src) % 3 > 0 or src in before for src, *_ in got)
