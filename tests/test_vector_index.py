@@ -100,3 +100,23 @@ def test_ids_may_be_text(spark):
     queries = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query array<float>")
     assert [r.vec_id for r in vi.exact_top_k(rows, queries, 2).orderBy("rank").collect()] == ["a", "b"]
     assert [(r.a, r.b) for r in vi.alike(rows, 0.9).collect()] == [("a", "b")]
+
+
+def test_blocks_grow_so_that_each_vector_meets_a_bounded_number(spark, frames, monkeypatch):
+    """With 2 meetings each row is dealt twice however small a square is (it was once for each block of ``size`` rows), and all pairs are found."""
+    rows, _ = made()
+    monkeypatch.setattr(vi, "MEETINGS", 2)
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    label = {i: x for i, _, x in rows}
+    want = {(a, b, label[a] is not None and label[a] == label[b]) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.95}
+    found = vi.alike(frames[0], 0.95, 20, same="label").collect()
+    assert len(found) == len(want) and {(r.a, r.b, r.known) for r in found} == want
+
+
+def test_best_of_rows_with_ties():
+    rng = np.random.default_rng(9)
+    score = rng.integers(0, 4, (30, 50)) / 3 + rng.choice([0, 2e-10, 3e-9], (30, 50))
+    query, at, value = vi.best_of_rows(score, 7)
+    order = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :7]
+    assert (at.reshape(30, 7) == order).all() and (query == np.repeat(range(30), 7)).all() and (value == np.round(score, 9)[query, at]).all()
+    assert vi.best_of_rows(score, 60)[0].size == 1500

@@ -108,13 +108,16 @@ def materialised(found: DataFrame, least: str = "moderate", least_r: float = 0.0
     return discovery_edges(kept, places=places)
 
 
-def hidden(pairs: DataFrame, known: DataFrame, least: float = 0.85, top: int | None = 100) -> DataFrame:
-    """Similar pairs (a, b, kind_a, kind_b, cosine): whether an edge (src, dst) is known, a type and a strength; unknown ones first. ``top`` limits what is reported; None: all."""
-    ends = known.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("_k", F.lit(True))
+def hidden(pairs: DataFrame, known: DataFrame | None, least: float = 0.85, top: int | None = 100) -> DataFrame:
+    """Similar pairs (a, b, kind_a, kind_b, cosine): whether an edge (src, dst) is known, a type and a strength; unknown ones first. ``top`` limits what is reported; None: all. Without a table of edges the pairs have ``known`` themselves."""
     kind = lambda k: (F.col("kind_a") == k) | (F.col("kind_b") == k)
-    done = pairs.where(F.col("cosine") >= least).join(ends, ["a", "b"], "left").withColumns({"known": F.coalesce("_k", F.lit(False)), "suggested": F.when(kind("macro"), "macro_impact").when(kind("sector"), "sector_membership").otherwise("hidden_correlation"), "strength": F.when(F.col("cosine") > 0.95, "very_strong").when(F.col("cosine") > 0.90, "strong").otherwise("moderate")})
-    done = done.drop("_k").orderBy("known", F.desc("cosine"), "a", "b")
-    return done.limit(top) if top else done
+    done = pairs.where(F.col("cosine") >= least)
+    if known is not None:
+        ends = known.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("_k", F.lit(True))
+        done = done.join(ends, ["a", "b"], "left").withColumn("known", F.coalesce("_k", F.lit(False))).drop("_k")
+    done = done.orderBy("known", F.desc("cosine"), "a", "b")
+    done = done.limit(top) if top else done
+    return done.withColumns({"suggested": F.when(kind("macro"), "macro_impact").when(kind("sector"), "sector_membership").otherwise("hidden_correlation"), "strength": F.when(F.col("cosine") > 0.95, "very_strong").when(F.col("cosine") > 0.90, "strong").otherwise("moderate")})
 
 
 def source_of(series: str, prices: tuple[str, ...], macros: tuple[str, ...]) -> Column:

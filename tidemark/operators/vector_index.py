@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, SAMPLE = 2048, 100_000
+#: All pairs: how many blocks a block meets before blocks grow, and the most numbers of one.
+MEETINGS, WIDEST = 24, 2**21
 
 
 class Cells(NamedTuple):
@@ -69,6 +71,20 @@ def in_blocks(rows: DataFrame, queries: DataFrame, score: Callable[[pa.Table, pa
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(score, schema)
 
 
+def best_of_rows(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the ``k`` largest of each row, by their value rounded to 9 places and then by column. Only what reaches the k-th largest is sorted."""
+    if score.shape[1] > k:
+        least = np.partition(score, -k, axis=1)[:, -k]
+        query, at = np.nonzero(score >= least[:, None] - 2e-9)  # all that may round to the k-th or more
+    else:
+        query, at = (x.reshape(-1) for x in np.indices(score.shape))
+    value = np.round(score[query, at], 9)
+    order = np.lexsort((at, -value, query))
+    query, at, value = query[order], at[order], value[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], at[kept], value[kept]
+
+
 def _best_of(k: int, threshold: float, row_type: pa.DataType, query_type: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = ["query_id", "vec_id", "score"]
 
@@ -76,12 +92,10 @@ def _best_of(k: int, threshold: float, row_type: pa.DataType, query_type: pa.Dat
         if not rows.num_rows or not queries.num_rows:
             return pa.table([pa.array([], t) for t in (query_type, row_type, pa.float64())], names)
         rows = rows.sort_by("id")
-        score = np.round(matrix(queries["_x"]) @ matrix(rows["_x"]).T, 9)
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # of equal scores the smaller id first
-        query, at = np.repeat(np.arange(len(score)), order.shape[1]), order.reshape(-1)
-        good = score[query, at] >= threshold
-        query, at = query[good], at[good]
-        return pa.table([queries["id"].combine_chunks().take(pa.array(query)), rows["id"].combine_chunks().take(pa.array(at)), pa.array(score[query, at])], names)
+        query, at, value = best_of_rows(matrix(queries["_x"]) @ matrix(rows["_x"]).T, k)  # of equal scores the smaller id first
+        good = value >= threshold
+        query, at, value = query[good], at[good], value[good]
+        return pa.table([queries["id"].combine_chunks().take(pa.array(query)), rows["id"].combine_chunks().take(pa.array(at)), pa.array(value)], names)
 
     return best
 
@@ -162,26 +176,42 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return done.withColumn("recall", F.col("n_hit") / F.col("n_exact"))
 
 
-def alike(vectors: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b of at least ``threshold``. Blocks i <= j meet once."""
-    rows = searchable(vectors).select(F.col("vec_id").alias("id"), "_x", F.size("_x").alias("dims"))
-    n = rows.groupBy("dims").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
-    dealt = rows.join(F.broadcast(n), "dims").withColumn("own", F.pmod(F.xxhash64("id", "_x"), F.col("n")).cast("int"))
-    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("n") - 1)))
-    right = dealt.select([F.col(c).alias(c) for c in dealt.columns]).withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def near(one: pa.Table, other: pa.Table) -> pa.Table:
-        score = matrix(one["_x"]) @ matrix(other["_x"]).T if one.num_rows and other.num_rows else np.zeros((0, 0))
-        a, b = np.nonzero(score >= threshold)
-        same = one.num_rows and one["own"][0] == other["own"][0] if other.num_rows else False
-        ids, others = one["id"].combine_chunks().take(pa.array(a)), other["id"].combine_chunks().take(pa.array(b))
-        table = pa.table({"a": ids, "b": others, "cosine": pa.array(score[a, b] if score.size else np.zeros(0))})
-        if same:  # a block with itself: each pair stands there both ways
-            return table.filter(pc.less(table["a"], table["b"]))
-        swap = pc.greater(table["a"], table["b"])
-        turned = pa.table({"a": pc.if_else(swap, table["b"], table["a"]), "b": pc.if_else(swap, table["a"], table["b"]), "cosine": table["cosine"]})
-        return turned.filter(pc.less(turned["a"], turned["b"]))
-
-    by = ["dims", "i", "j"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(near, f"a {kind}, b {kind}, cosine double")
+def alike(vectors: DataFrame, threshold: float, size: int = BLOCK, same: str | None = None) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b of at least ``threshold``, with ``known`` whether they have the same value of the column ``same``, if given (a null has not).
+
+    Two blocks meet once. There are blocks of ``size`` rows until these are ``MEETINGS``, then larger ones up to ``WIDEST`` numbers,
+    so each vector is shuffled ``MEETINGS`` times, as it came; a task scores ``size`` times ``size`` pairs at once. The pairs themselves are as many as there are.
+    """
+    kind = vectors.schema["embedding"].dataType
+    given = F.col("embedding") if kind.simpleString() == "array<float>" else F.col("embedding").cast("array<double>")
+    tag = F.lit(None).cast("int") if same is None else F.col(same)
+    rows = vectors.where(unit("embedding").isNotNull()).select(F.col("vec_id").alias("id"), given.alias("_x"), tag.alias("_tag"), F.size("embedding").alias("dims"))
+    most = F.greatest(F.lit(size), F.floor(F.lit(WIDEST) / F.col("dims")))
+    n = rows.groupBy("dims").agg(F.count("*").alias("_rows")).select("dims", F.greatest(F.ceil(F.col("_rows") / most), F.least(F.ceil(F.col("_rows") / size), F.lit(MEETINGS))).cast("int").alias("n"))
+    dealt = rows.join(F.broadcast(n), "dims").withColumn("own", F.pmod(F.xxhash64("id", "_x"), F.col("n")).cast("int")).withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = dealt.select("id", "_x", "_tag", "dims", "own", F.least("own", "_met").alias("i"), F.greatest("own", "_met").alias("j"))
+    id_type, names = rows.schema["id"].dataType.simpleString(), ["a", "b", "cosine", *(["known"] if same else [])]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(batches).combine_chunks()
+        x = matrix(found["_x"]).astype(np.float64)
+        x /= np.sqrt(np.sum(x * x, axis=1, keepdims=True))
+        ids, tags, own, i, j = found["id"].combine_chunks(), found["_tag"].combine_chunks(), found["own"].to_numpy(), found["i"][0].as_py(), found["j"][0].as_py()
+        one, other = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        for p in range(0, len(one), size):
+            for q in range(p if i == j else 0, len(other), size):
+                at, to = np.nonzero(x[one[p : p + size]] @ x[other[q : q + size]].T >= threshold)
+                at, to = one[p : p + size][at], other[q : q + size][to]
+                if i != j or p != q:  # a square with itself has each pair both ways
+                    turned = pc.greater(ids.take(pa.array(at)), ids.take(pa.array(to))).to_numpy(zero_copy_only=False)
+                    at, to = np.where(turned, to, at), np.where(turned, at, to)
+                kept = pc.less(ids.take(pa.array(at)), ids.take(pa.array(to))).to_numpy(zero_copy_only=False).astype(bool)
+                at, to = at[kept], to[kept]
+                if len(at):
+                    left, right = pa.array(at), pa.array(to)
+                    columns = [ids.take(left), ids.take(right), pa.array(np.einsum("ij,ij->i", x[at], x[to]))]
+                    if same:
+                        columns.append(pc.fill_null(pc.equal(tags.take(left), tags.take(right)), False))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return met.groupBy("dims", "i", "j").applyInArrow(near, f"a {id_type}, b {id_type}, cosine double" + (", known boolean" if same else ""))
