@@ -81,6 +81,25 @@ def test_jaccard_in_several_blocks(real):
     assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_groups(real, block_sets=3).collect()} == one
 
 
+def test_components_of_paths_take_no_rounds(spark, monkeypatch):
+    """Links of a block are mostly paths; a path in one batch took rounds of some 2,000 tasks each on many partitions."""
+    import random
+
+    from tidemark.llm import components
+
+    rounds, forget = [], components.forget
+    monkeypatch.setattr(components, "forget", lambda df: (rounds.append(1), forget(df)))
+    order = random.Random(5).sample(range(-60, 60), 120)
+    rows = [(a, b) for k, (a, b) in enumerate(zip(order, order[1:])) if k % 40 < 39] + [(7, 7), (None, 3), (3, None)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    want = {x: min(order[k : k + 40]) for k in (0, 40, 80) for x in order[k : k + 40]}
+    same([tuple(r) for r in components.components(links.coalesce(1)).collect()], want.items())
+    assert not rounds
+    same([tuple(r) for r in components.components(links.repartition(7)).collect()], want.items())
+    assert rounds
+    same(components.components(links.where("a = b")).collect(), [])
+
+
 @pytest.mark.parametrize("which", ["docs", "real"])
 def test_substrings(which, request):
     df = request.getfixturevalue(which)
