@@ -191,3 +191,21 @@ def test_merged_edges_need_both_ends_in_sql_too(spark, tmp_path):
     assert got == want
     before = {r[0] for r in con.sql(f"SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderdate < DATE '{SPLIT}'").fetchall()}
     assert all(int(src) % 3 > 0 or src in before for src, *_ in got)
+
+
+def test_hops_through_few_nodes_gather_no_node_in_a_task(spark):
+    """20,000 origins, 400 nodes, then 2: the last join sorted all origins of one node in one task."""
+    from tidemark.operators import graph
+
+    links = [spark.range(40000).selectExpr("concat('P', id % 20000) as src", "concat('S', pmod(hash(id), 400)) as dst"), spark.range(400).selectExpr("concat('S', id) as src", "concat('N', id % 2) as dst"), spark.range(2).selectExpr("concat('N', id) as src", "'R' as dst")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        found = graph.hops(links[0].union(links[1]).union(links[2]), spark.range(20000).selectExpr("concat('P', id) as node"), 3)
+        rows = {tuple(r) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Inner, BuildRight") >= 2, plan
+    two = {(o, f"N{int(n[1:]) % 2}", 2) for o, n, k in rows if k == 1}
+    assert {r for r in rows if r[2] == 2} == two and {r for r in rows if r[2] == 3} == {(o, "R", 3) for o, _, _ in two}
