@@ -95,3 +95,53 @@ def test_known_relations_chains_and_ranks(spark):
 def test_empty(spark, docs):
     aliases = spark.createDataFrame([], "alias string, entity string")
     assert mentions.mentioned(docs.limit(0)).count() == mentions.relations(mentions.resolved(mentions.mentioned(docs), aliases)).count() == 0
+
+
+def nearest(own, entities, sizes, last):
+    for i in range(len(own), 0, -1) if last else range(len(own)):
+        for k in sizes:
+            run = own[max(i - k, 0) : i] if last else own[i : i + k]
+            if len(run) == k and (entity := entities.get(" ".join(run))) is not None:
+                return entity
+    return None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_names_equal_a_plain_search(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdef")
+    said = lambda n: " ".join(word() for _ in range(rng.randint(0, n)))
+    known = {" ".join(word() for _ in range(rng.randint(1, 4))): None for _ in range(rng.choice((0, 1, 12)))}
+    known = {a: f"E{a}" for a in known}
+    rows = [(rng.choice((None, k % 9)), "rel", k, said(6), rng.choice((None, said(9)))) for k in range(150)]
+    found = spark.createDataFrame(rows, "doc_id long, rel string, start int, before string, after string").repartition(3)
+    aliases = spark.createDataFrame(list(known.items()), "alias string, entity string")
+    got = sorted(map(str, (tuple(r) for r in mentions.resolved(found, aliases).collect())))
+    short, sizes = {a: e for a, e in known.items() if a.count(" ") < mentions.NAME_WORDS}, range(mentions.NAME_WORDS, 0, -1)
+    assert got == sorted(str((*r, nearest(r[3].split(), short, sizes, True), nearest((r[4] or "").split(), short, sizes, False))) for r in rows)
+
+
+def test_places_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def scan(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    schema = "doc_id long, rel string, start int, before string, after string"
+    found = spark.createDataFrame([(k, "rel", k, "acme is", "to beta") for k in range(40)], schema).mapInArrow(scan, schema)
+    aliases = spark.createDataFrame(ALIASES, "alias string, entity string")
+    assert mentions.resolved(found, aliases, spark.range(1).select(F.lit(40).alias("rows"))).count() == 40
+    assert made.value == 40
+
+
+def test_filings_are_read_once_for_the_chain(spark):
+    from tidemark.plans import keeping
+
+    plan = keeping.chain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InArrow" not in plan and "lineitem" not in plan

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,42 +67,66 @@ def names(found: Column, sizes: Column) -> Column:
     return F.concat(*(F.when(F.array_contains(sizes, k) & (F.size(found) >= k), runs(k)).otherwise(F.array().cast("array<string>")) for k in range(1, NAME_WORDS + 1)))
 
 
-def _nearest(own: list[str], entities: dict[str, str], sizes: list[int], last: bool) -> str | None:
-    """The entity of the run that ends last, or begins first, then of the longest; ``sizes`` are those of the names, the largest first."""
-    for i in range(len(own), 0, -1) if last else range(len(own)):
-        for k in sizes:
-            run = own[max(i - k, 0) : i] if last else own[i : i + k]
-            if len(run) == k and (entity := entities.get(" ".join(run))) is not None:
-                return entity
-    return None
+def _runs(lists: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """All runs of k words of each row, joined by a space, in order: their row, their first word among all words, and the text."""
+    ends, words = lists.offsets.to_numpy().astype(np.int64), lists.values
+    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    at = np.flatnonzero(row[: max(len(row) - k + 1, 0)] == row[k - 1 :])
+    start = at + ends[0]
+    return row[at], start, pc.binary_join_element_wise(*(words.take(pa.array(start + i)) for i in range(k)), " ")
 
 
-def resolved(found: DataFrame, aliases: DataFrame) -> DataFrame:
+def _asked(rows: pa.Table) -> pa.Table:
+    """The different names of a block: runs of 1 to ``NAME_WORDS`` words whose length an alias has."""
+    sizes = sorted({k for k in rows["_sizes"][0].as_py() if k <= NAME_WORDS})
+    found = pa.chunked_array([_runs(rows[c].combine_chunks(), k)[2] for c in ("_before", "_after") for k in sizes], pa.string()).unique()
+    return pa.table([pa.repeat(rows["_block"][0], len(found)), found], names=["_block", "alias"])
+
+
+def _nearest(lists: pa.ListArray, aliases: pa.Array, entities: pa.Array, sizes: list[int], last: bool) -> pa.Array:
+    """For each row the entity of the run that ends last, or begins first, then of the longest; ``sizes`` are those of the aliases, the smallest first."""
+    near, which = np.full(len(lists), -1), np.full(len(lists), -1)
+    for k in sizes:
+        row, start, names = _runs(lists, k)
+        hit = pc.fill_null(pc.index_in(names, value_set=aliases), -1).to_numpy(zero_copy_only=False)
+        row, start, hit = (x[hit >= 0] for x in (row, start, hit))
+        edge = row[1:] != row[:-1]
+        one = np.flatnonzero(np.append(edge, True) if last else np.append(True, edge)) if len(row) else np.zeros(0, np.int64)
+        key = start[one] + k if last else len(lists.values) - start[one]
+        better = key >= near[row[one]]
+        near[row[one][better]], which[row[one][better]] = key[better], hit[one][better]
+    return entities.take(pa.array(which, mask=which < 0))
+
+
+def resolved(found: DataFrame, aliases: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """``mentioned`` rows, with whichever columns they have beside doc_id, start, before and after, and ``src`` and ``dst``: the nearest entity before and after the phrase by ``aliases`` (alias, entity); null where there is none.
 
     The nearest is the one that ends, or begins, closest to the phrase, then the longest. An alias of several entities
     counts for the first. Places are dealt into blocks of about ``PLACES``; the different names of a block are joined to the
     aliases, however many these are, and those that are one come back to the block: what is shuffled is each place once
     and each name once a block. A stretch of a text is in one block, rows without doc_id are dealt by their context.
+    ``counted`` is one row with about how many ``rows`` of ``found`` there are, where it is known without making them;
+    else they are made once more for it. It only settles the number of blocks.
     """
     known = aliases.select(F.lower("alias").alias("alias"), "entity").where("alias is not null and entity is not null").groupBy("alias").agg(F.min("entity").alias("entity"))
     sizes = known.agg(F.collect_set(F.size(F.split("alias", " "))).alias("_sizes"))  # one row
-    n = found.agg(F.greatest(F.ceil(F.count("*") / PLACES), F.lit(1)).alias("_n"))  # one row
+    rows = found.agg(F.count("*").alias("rows")) if counted is None else counted
+    n = rows.select(F.greatest(F.ceil(F.col("rows") / PLACES), F.lit(1)).alias("_n"))  # one row
     own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.floor(F.col("start") / STRETCH))).otherwise(F.xxhash64("before", "after"))
     places = found.crossJoin(F.broadcast(n)).withColumn("_block", F.pmod(own, "_n")).drop("_n")
-    said = places.select("_block", words("before").alias("b"), words("after").alias("a")).crossJoin(F.broadcast(sizes))
-    asked = said.select("_block", F.explode(F.array_union(names(F.col("b"), F.col("_sizes")), names(F.col("a"), F.col("_sizes")))).alias("alias")).distinct()
+    # both the names and the rows are made of this exchange, so the texts are read once; words are not shuffled
+    split = places.repartition("_block").withColumns({"_before": words("before"), "_after": words("after")})
+    asked = split.crossJoin(F.broadcast(sizes)).groupBy("_block").applyInArrow(_asked, "_block long, alias string")
     told = asked.join(known, "alias").select(*(F.col(c).alias(c) for c in ("_block", "alias", "entity")))
 
     columns = found.columns
 
     def look(rows: pa.Table, entities: pa.Table) -> pa.Table:
-        by_alias = dict(zip(entities["alias"].to_pylist(), entities["entity"].to_pylist()))
-        lengths = sorted({a.count(" ") + 1 for a in by_alias}, reverse=True)
-        ends = [pa.array([_nearest(x or [], by_alias, lengths, last) for x in rows[c].to_pylist()], pa.string()) for c, last in (("_before", True), ("_after", False))]
+        by = [entities[c].combine_chunks() for c in ("alias", "entity")]
+        lengths = sorted({a.count(" ") + 1 for a in by[0].to_pylist()})
+        ends = [_nearest(rows[c].combine_chunks(), *by, lengths, last) for c, last in (("_before", True), ("_after", False))]
         return rows.select(columns).append_column("src", ends[0]).append_column("dst", ends[1])
 
-    split = places.repartition("_block").withColumns({"_before": words("before"), "_after": words("after")})  # words are not shuffled
     return split.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(look, T.StructType([*found.schema.fields, T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())]))
 
 

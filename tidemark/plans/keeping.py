@@ -151,8 +151,10 @@ MOODS = """SELECT o_orderkey, CASE WHEN u + d = 0 THEN 0.0 ELSE round((u - d) /
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many names each supplier reaches directly, read from filings; and how many of each relation are the most named."""
-    found = filing_relations(spark, sf_dir)
+    """How many names each supplier reaches directly, read from filings; and how many of each relation are the most named. The relations are read once, and written for what asks them."""
+    path = new_folder(spark, "relations")
+    filing_relations(spark, sf_dir).write.parquet(path)
+    found = spark.read.parquet(path)
     return mentions.chain(found).unionAll(mentions.ranked(found, 5).groupBy("rel").agg(F.sum("n").alias("n_names")).select(F.concat(F.lit("top "), "rel").alias("src"), F.lit(0).alias("tier"), "n_names"))
 
 

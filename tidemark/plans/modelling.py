@@ -177,7 +177,8 @@ def filing_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = names("supplier", "s_suppkey", F.col("s_name").alias("alias")).select("alias", F.concat(F.lit("S"), "s_suppkey").alias("entity"))
     aliases = aliases.unionByName(names("customer", "c_custkey", F.col("c_name").alias("alias")).select("alias", F.concat(F.lit("C"), "c_custkey").alias("entity")))
     places = mentions.mentioned(filings).select("doc_id", "rel", "start", "before", "after")
-    return mentions.relations(mentions.resolved(places, aliases))
+    said_once = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("rows"))  # a sale is one sentence with one phrase
+    return mentions.relations(mentions.resolved(places, aliases, said_once))
 
 
 FILING_RELATIONS = f"SELECT 'S' || l_suppkey AS src, 'C' || o_custkey AS dst, CASE l_returnflag WHEN 'A' THEN '{RELS['A']}' WHEN 'N' THEN '{RELS['N']}' ELSE '{RELS['R']}' END AS rel, count(*) AS n, min(l_suppkey * 1000 + date_diff('month', DATE '1990-01-01', date_trunc('month', l_shipdate))) AS first_doc FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3"
